@@ -40,12 +40,12 @@ def uniform(key: str, position: str, replicate: str) -> str:
     seed = f"(({key}) * 7919 + ({position}) * 104729 + ({replicate}) * 1299709 + 12345) % {MODULUS}"
     once = f"(({seed}) * {MULTIPLIER} + 11) % {MODULUS}"
     twice = f"(({once}) * 48271 + ({position}) * 65537) % {MODULUS}"
-    return f"((({twice}) * {MULTIPLIER}) % {MODULUS}) / {float(MODULUS)!r}"
+    return f"((({twice}) * {MULTIPLIER}) % {MODULUS}) / {float(MODULUS)!r}D"
 
 
 def poisson_weight(u: str) -> str:
     """Poisson(1) weight of a uniform number (SQL text)."""
-    cases = " ".join(f"WHEN {u} < {limit!r} THEN {k}" for k, limit in enumerate(POISSON_ONE))
+    cases = " ".join(f"WHEN {u} < {limit!r}D THEN {k}" for k, limit in enumerate(POISSON_ONE))
     return f"CASE {cases} ELSE {len(POISSON_ONE)} END"
 
 

@@ -77,10 +77,7 @@ def summary(metrics: DataFrame, by: Sequence[str] = ("combo", "metric")) -> Data
     There are few groups and each spans all locations; the percentiles are computed over
     value ranges so that no task holds a whole group.
     """
-    weighted_mean = F.expr("sum(v * cnt) / sum(cnt)").alias("mean")
-    return percentiles(metrics, by, "value", SUMMARY_PERCENTILES, extra=[weighted_mean]).select(
-        *by, "n", "mean", *SUMMARY_PERCENTILES
-    )
+    return percentiles(metrics, by, "value", SUMMARY_PERCENTILES, mean="mean")
 
 
 def metric_catalog(metrics: DataFrame) -> DataFrame:

@@ -1,26 +1,61 @@
-"""Joining per-key statistics back to the rows they came from when some keys are hot.
+"""Handling of groups that hold a large share of all rows.
 
-A key counts as hot when it holds more than 1/PARTS of all rows. By the pigeonhole
-principle fewer than PARTS keys can be hot, so the list of hot keys is small whatever
-the data volume and may be broadcast. Rows of a hot key are spread over several salts in
-proportion to its share, and its one statistics row is repeated once per salt.
+A group counts as hot when it holds more than 1/PARTS of all rows and more than FLOOR rows.
+By the pigeonhole principle fewer than PARTS groups can be hot, so a list of them is small
+whatever the data volume and may be broadcast. Whether there are any is checked before the
+plan is built: the usual case gets the plain plan, the skewed case the one that splits.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugewise.session import checkpoint_dir
+
 PARTS = 256
+FLOOR = 1_000_000
+
+
+def settle(frame: DataFrame) -> DataFrame:
+    """``frame`` written once to the shared checkpoint folder and read back.
+
+    Used where a result feeds several consumers: lost executors then cost a re-read, not
+    another run of everything upstream, and the planner knows the true size.
+    """
+    if getattr(frame, "_settled", False):
+        return frame
+    spark = frame.sparkSession
+    path = f"{checkpoint_dir(spark)}/gaugewise/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    stored = spark.read.schema(frame.schema).parquet(path)
+    stored._settled = True
+    return stored
 
 
-def hot_keys(stats: DataFrame, keys: Sequence[str], count_col: str = "n", parts: int = PARTS) -> DataFrame:
-    """Keys with more than 1/parts of all rows, with the number of splits each one needs."""
-    total = stats.agg(F.sum(count_col)).scalar()
-    share = F.col(count_col).cast("double") * parts / total
-    return stats.where(share > 1).select(*keys, F.ceil(share).cast("int").alias("_splits"))
+@dataclass(frozen=True)
+class Crowding:
+    """Total rows, rows of the largest group, and the size from which a group is hot."""
+
+    total: int
+    largest: int
+    threshold: float
+
+    @property
+    def any_hot(self) -> bool:
+        return self.largest > self.threshold
+
+
+def crowding(counts: DataFrame, count_col: str = "n", parts: int | None = None, floor: int | None = None) -> Crowding:
+    """Looks at group sizes (one row per group); a single row reaches the driver."""
+    parts, floor = parts or PARTS, FLOOR if floor is None else floor
+    row = counts.agg(F.sum(count_col).alias("total"), F.max(count_col).alias("largest")).first()
+    total, largest = int(row["total"] or 0), int(row["largest"] or 0)
+    return Crowding(total, largest, max(total / parts, floor))
 
 
 def attach(
@@ -29,14 +64,23 @@ def attach(
     keys: Sequence[str],
     count_col: str = "n",
     how: str = "inner",
-    parts: int = PARTS,
 ) -> DataFrame:
-    """``rows`` joined with the one ``stats`` row of their key; hot keys are salted.
+    """``rows`` joined with the one ``stats`` row of their key.
 
-    ``stats`` has one row per key and carries ``count_col``, which is dropped.
+    ``stats`` has one row per key and carries in ``count_col`` how many rows the key has;
+    that column is dropped. Rows of a hot key are spread over several salts in proportion
+    to its share, and its statistics row is repeated once per salt.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(stats, keys, count_col, parts))
+    stats = settle(stats)
+    crowd = crowding(stats, count_col)
+    if not crowd.any_hot:
+        return rows.join(stats.drop(count_col), keys, how)
+    hot = F.broadcast(
+        stats.where(F.col(count_col) > crowd.threshold).select(
+            *keys, F.ceil(F.col(count_col) * (PARTS / crowd.total)).cast("int").alias("_splits")
+        )
+    )
     splits = F.coalesce("_splits", F.lit(1))
     salted_rows = (
         rows.join(hot, keys, "left")

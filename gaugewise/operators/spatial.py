@@ -55,7 +55,7 @@ def nearest(
     """Nearest candidate of every point: ``point_id``, ``candidate_id``, ``distance_m``.
 
     Both inputs have ``gpi``, ``lon``, ``lat``. Points without a candidate within
-    ``max_dist_m`` are absent. Candidates at the same distance (to the micrometre) are
+    ``max_dist_m`` are absent. Candidates at the same distance (to the millimetre) are
     decided by the smaller id.
     """
     located = F.col("lon").isNotNull() & F.col("lat").isNotNull()
@@ -104,7 +104,7 @@ def nearest(
         frontier.join(opened, [f"p{a}" for a in axes])
         .selectExpr(
             f"`{point_id}`",
-            f"struct(round({haversine_m('lon', 'lat', '_lon', '_lat')}, 6) AS d, `{candidate_id}` AS id) AS _hit",
+            f"struct(round({haversine_m('lon', 'lat', '_lon', '_lat')}, 3) AS d, `{candidate_id}` AS id) AS _hit",
         )
         .groupBy(point_id)
         .agg(F.min("_hit").alias("_hit"))

@@ -418,7 +418,7 @@ def timestamp_seconds_versioned(spark, d):
 def resolution_in_m(spark, d):
     unit = F.expr("CASE p_size % 3 WHEN 0 THEN 'km' WHEN 1 THEN 'deg' END")
     value = F.expr("CASE p_size % 3 WHEN 1 THEN p_size / 100D ELSE CAST(p_size AS DOUBLE) END")
-    return c.table(spark, d, "part").select("p_partkey", r6(resolution_in_m_col(value, unit), "resolution_m"))
+    return c.table(spark, d, "part").select("p_partkey", resolution_in_m_col(value, unit).alias("resolution_m")).select("p_partkey", r6("resolution_m"))
 
 
 @query(

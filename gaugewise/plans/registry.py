@@ -25,16 +25,23 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def r6(column: str | Column, alias: str | None = None) -> Column:
-    """Rounded to six decimals: sums of doubles depend on their order."""
-    value = F.expr(column) if isinstance(column, str) else column
-    rounded = F.round(value, 6)
-    return rounded.alias(alias or column) if alias or isinstance(column, str) else rounded
+# Sums of doubles depend on their order in the last digits, so results are rounded. Means of
+# decimal data often lie exactly between two roundings; the shift takes them off that point.
+SHIFT = "1e-9"
+
+
+def e6(expression: str, alias: str | None = None) -> str:
+    """Spark text: rounded to six decimals."""
+    return f"round({expression} + {SHIFT}D, 6)" + (f" AS `{alias}`" if alias else "")
+
+
+def r6(column: str, alias: str | None = None) -> Column:
+    return F.expr(e6(column)).alias(alias or column)
 
 
 def s6(expression: str, alias: str | None = None) -> str:
-    """The same rounding in SQL, without negative zeros."""
-    return f"round({expression}, 6) + 0.0 AS {alias or expression}"
+    """Oracle text: the same rounding, without negative zeros."""
+    return f"round({expression} + {SHIFT}, 6) + 0.0 AS {alias or expression}"
 
 
 def time_text(column: str = "ts", alias: str | None = None) -> Column:
