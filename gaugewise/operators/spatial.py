@@ -2,10 +2,10 @@
 
 Comparing every point with every candidate is quadratic, and so is comparing the points of
 one crowded map cell. Instead each point keeps a short list of cells that can still hold its
-nearest candidate. Going one level down replaces a cell by its occupied children and drops
-those whose bounding box is farther away than the farthest corner of the best one. Every
-level is one equi-join on the cell with at most eight children per row, and only the few
-cells left at the bottom are opened.
+nearest candidate. Going STEP levels down replaces a cell by its occupied descendants and
+drops those whose bounding box is farther away than the farthest corner of the best one.
+Every step is one equi-join on the cell with a bounded number of descendants per row, and
+only the few cells left at the bottom are opened.
 """
 
 from __future__ import annotations
@@ -14,35 +14,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.functions.geo import chord, haversine_m, with_unit_vector
+from gaugewise.operators.skew import settle
 
-#: Cells are halved until none holds more distinct places than this, or MAX_LEVEL is reached (12 m).
-LEAF_SIZE = 32
+#: Cells are divided until none holds more distinct places than this, or MAX_LEVEL is reached (12 m).
+LEAF_SIZE = 64
 MAX_LEVEL = 20
+STEP = 2
 #: Down to this level the table of occupied cells has at most 8**4 rows and is broadcast.
 BROADCAST_LEVEL = 4
 
+_AXES = ("_x", "_y", "_z")
+_CELLS = [f"c{a}" for a in _AXES]
 
-def _cell(axis: str, level: int) -> str:
-    cells = 2**level
-    return f"CAST(least(floor(({axis} + 1) / 2 * {cells}), {cells - 1}) AS BIGINT)"
+
+def _with_cells(places: DataFrame) -> DataFrame:
+    """Adds the cell of every place at MAX_LEVEL; coarser cells follow by shifting bits."""
+    cells = 2**MAX_LEVEL
+    return places.selectExpr(
+        "*", *[f"CAST(least(floor(({a} + 1) / 2 * {cells}), {cells - 1}) AS BIGINT) AS c{a}" for a in _AXES]
+    )
 
 
 def _depth(places: DataFrame) -> int:
     """First level at which no cell is crowded (one row per level reaches the driver)."""
-    levels = ", ".join(
-        f"struct({level} AS level, {', '.join(_cell(a, level) + f' AS c{a[-1]}' for a in ('_x', '_y', '_z'))})"
-        for level in range(1, MAX_LEVEL + 1)
-    )
+    shifted = [f"shiftright({c}, {MAX_LEVEL} - level) AS {c}" for c in _CELLS]
     crowding = (
-        places.selectExpr(f"inline(array({levels}))")
-        .groupBy("level", "cx", "cy", "cz")
+        places.withColumn("level", F.explode(F.sequence(F.lit(STEP), F.lit(MAX_LEVEL), F.lit(STEP))))
+        .selectExpr("level", *shifted)
+        .groupBy("level", *_CELLS)
         .count()
         .groupBy("level")
         .agg(F.max("count").alias("most"))
         .collect()
     )
-    fitting = [row["level"] for row in crowding if row["most"] <= LEAF_SIZE]
-    return min(fitting, default=MAX_LEVEL)
+    return min((row["level"] for row in crowding if row["most"] <= LEAF_SIZE), default=MAX_LEVEL)
+
+
+def _occupied(places: DataFrame, level: int) -> DataFrame:
+    """Occupied cells of a level: their tight bounding boxes and the cell STEP levels up."""
+    boxes = [f"min({a}) AS lo{a}" for a in _AXES] + [f"max({a}) AS hi{a}" for a in _AXES]
+    cells = (
+        places.selectExpr(*_AXES, *[f"shiftright({c}, {MAX_LEVEL - level}) AS {c}" for c in _CELLS])
+        .groupBy(*_CELLS)
+        .agg(*map(F.expr, boxes))
+        .selectExpr("*", *[f"shiftright(c{a}, {STEP}) AS p{a}" for a in _AXES])
+    )
+    return F.broadcast(cells) if level <= BROADCAST_LEVEL else cells
 
 
 def nearest(
@@ -60,48 +77,39 @@ def nearest(
     """
     located = F.col("lon").isNotNull() & F.col("lat").isNotNull()
     # candidates at one place compete by id alone, so only the smallest id has to travel
-    places = with_unit_vector(
-        candidates.where(located).groupBy("lon", "lat").agg(F.min("gpi").alias(candidate_id))
-    )
+    distinct = candidates.where(located).groupBy("lon", "lat").agg(F.min("gpi").alias(candidate_id))
+    places = settle(_with_cells(with_unit_vector(distinct)))
     depth = _depth(places)
-    axes = ("_x", "_y", "_z")
-    boxes = [f"min({a}) AS lo{a}" for a in axes] + [f"max({a}) AS hi{a}" for a in axes]
-
-    def cells(level: int) -> DataFrame:
-        """Occupied cells with their tight bounding boxes and the cell one level up."""
-        occupied = (
-            places.selectExpr("_x", "_y", "_z", *[f"{_cell(a, level)} AS c{a}" for a in axes])
-            .groupBy(*[f"c{a}" for a in axes])
-            .agg(*map(F.expr, boxes))
-            .selectExpr("*", *[f"CAST(floor(c{a} / 2) AS BIGINT) AS p{a}" for a in axes])
-        )
-        return F.broadcast(occupied) if level <= BROADCAST_LEVEL else occupied
 
-    nearest_sq = " + ".join(f"power(greatest(lo{a} - {a}, {a} - hi{a}, 0D), 2)" for a in axes)
-    farthest_sq = " + ".join(f"power(greatest(abs({a} - lo{a}), abs(hi{a} - {a})), 2)" for a in axes)
+    near_sq = " + ".join(f"power(greatest(lo{a} - {a}, {a} - hi{a}, 0D), 2)" for a in _AXES)
+    far_sq = " + ".join(f"power(greatest(abs({a} - lo{a}), abs(hi{a} - {a})), 2)" for a in _AXES)
     limit = 5.0 if max_dist_m is None else chord(max_dist_m) ** 2
     # the margins keep rounding from pruning a cell that is exactly as far as the bound
     within = "_near <= _bound * (1 + 1e-9D) + 1e-15D"
+    kept = [point_id, "lon", "lat", *_AXES]
+    parents = [f"p{a}" for a in _AXES]
 
     frontier = with_unit_vector(points.where(located).select(F.col("gpi").alias(point_id), "lon", "lat")).selectExpr(
-        "*", *[f"CAST(0 AS BIGINT) AS p{a}" for a in axes], f"CAST({limit!r} AS DOUBLE) AS _bound"
+        *kept, *[f"CAST(0 AS BIGINT) AS {p}" for p in parents], f"CAST({limit!r} AS DOUBLE) AS _bound"
     )
-    for level in range(1, depth + 1):
-        kept = [point_id, "lon", "lat", *axes]
+    for level in range(STEP, depth + 1, STEP):
         frontier = (
-            frontier.join(cells(level), [f"p{a}" for a in axes])
-            .selectExpr(*kept, *[f"c{a}" for a in axes], "_bound", f"{nearest_sq} AS _near", f"{farthest_sq} AS _far")
+            frontier.join(_occupied(places, level), parents)
+            .selectExpr(*kept, *_CELLS, "_bound", f"{near_sq} AS _near", f"{far_sq} AS _far")
             .where(within)
             # a point has few cells left, so this window is over a handful of rows
             .withColumn("_bound", F.expr(f"least(_bound, min(_far) OVER (PARTITION BY `{point_id}`, lon, lat))"))
             .where(within)
-            .selectExpr(*kept, *[f"c{a} AS p{a}" for a in axes], "_bound")
+            .selectExpr(*kept, *[f"c{a} AS p{a}" for a in _AXES], "_bound")
         )
     opened = places.selectExpr(
-        f"`{candidate_id}`", "lon AS _lon", "lat AS _lat", *[f"{_cell(a, depth)} AS p{a}" for a in axes]
+        f"`{candidate_id}`",
+        "lon AS _lon",
+        "lat AS _lat",
+        *[f"shiftright(c{a}, {MAX_LEVEL - depth}) AS p{a}" for a in _AXES],
     )
     best = (
-        frontier.join(opened, [f"p{a}" for a in axes])
+        frontier.join(opened, parents)
         .selectExpr(
             f"`{point_id}`",
             f"struct(round({haversine_m('lon', 'lat', '_lon', '_lat')}, 3) AS d, `{candidate_id}` AS id) AS _hit",

@@ -175,8 +175,8 @@ def progress_pct(spark, d):
           WHERE EXISTS (SELECT 1 FROM others o WHERE o.gpi = r.gpi
             AND abs(epoch_us(o.ts) - epoch_us(r.ts)) <= 1800000000) GROUP BY r.gpi),
         in_box AS (SELECT DISTINCT gpi FROM refs)
-        SELECT p.gpi, CASE WHEN h.n >= 2 THEN 0.0 WHEN h.n IS NOT NULL THEN 1.0 WHEN b.gpi IS NOT NULL THEN 4.0
-          ELSE 7.0 END AS status FROM points p LEFT JOIN hit h USING (gpi) LEFT JOIN in_box b USING (gpi)""",
+        SELECT p.gpi, CASE WHEN h.n >= 2 THEN 0::DOUBLE WHEN h.n IS NOT NULL THEN 1 WHEN b.gpi IS NOT NULL THEN 4
+          ELSE 7 END AS status FROM points p LEFT JOIN hit h USING (gpi) LEFT JOIN in_box b USING (gpi)""",
 )
 def status_codes(spark, d):
     """Per location: 0 matched, 1 too few matches, 4 data but no match, 7 no data."""

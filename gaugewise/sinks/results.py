@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def config_hash(settings: Mapping, runtime_fields=("id", "name_tag", "total_points", "error_points", "ok_points",
-                                                   "output_file", "progress")) -> str:
+def config_hash(settings: Mapping) -> str:
     """Stable key of a configuration: the same settings resume the same results."""
-    kept = {k: v for k, v in settings.items() if k not in runtime_fields and not callable(v)}
-    return hashlib.sha1(json.dumps(kept, sort_keys=True, default=str).encode("utf-8")).hexdigest()[:16]
+    text = json.dumps(settings, sort_keys=True, default=str)
+    return hashlib.sha1(text.encode("utf-8")).hexdigest()[:16]
 
 
 def batch_path(root: str, settings: Mapping, batches: int) -> str:
@@ -54,6 +53,11 @@ def finished_batches(spark: SparkSession, path: str) -> set[int]:
     return {int(status.getPath().getParent().getName().split("=")[1]) for status in found}
 
 
+def write_results(wide: DataFrame, path: str, compression: str = "zstd") -> None:
+    """The wide result table, compressed; repeated runs replace it."""
+    wide.write.mode("overwrite").option("compression", compression).parquet(path)
+
+
 def write_table(frame: DataFrame, path: str, **options) -> None:
     """A small result table (summary, metadata, status) as a single file, replacing an earlier one."""
     frame.coalesce(1).write.mode("overwrite").options(**options).parquet(path)
