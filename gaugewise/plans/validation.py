@@ -164,7 +164,7 @@ class ValidationPlan:
                     *by,
                     f"'{'_and_'.join(names)}' AS combo",
                     "inline(array(struct(concat(metric, '_ci_lower_', dataset) AS metric, lower AS value),"
-                    " struct(concat(metric, '_ci_upper_', dataset), upper)))",
+                    " struct(concat(metric, '_ci_upper_', dataset) AS metric, upper AS value)))",
                 )
                 tidy = tidy.unionByName(bounds)
         return tidy
