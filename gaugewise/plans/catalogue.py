@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from gaugewise.plans import queries_match, queries_results, queries_scan, queries_series  # noqa: F401
+from gaugewise.plans import (  # noqa: F401
+    queries_match,
+    queries_results,
+    queries_scan,
+    queries_series,
+    queries_stream,
+)
 from gaugewise.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
