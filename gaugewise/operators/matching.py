@@ -15,7 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewise.functions.timing import epoch_us, tile_of
+from gaugewise.functions.timing import DAY_US, epoch_us, tile_of
+from gaugewise.operators.skew import attach, crowding, settle
 
 
 def unique_times(series: DataFrame, keys: Sequence[str] = ("gpi",)) -> DataFrame:
@@ -39,10 +40,8 @@ def match_nearest(
 
     series = tagged(ref_name, reference)
     for name, other in others.items():
-        if not unique:
-            other = unique_times(other.where(F.col("value").isNotNull()), keys)
         series = series.unionByName(tagged(name, other))
-    return match_datasets(series, ref_name, list(others), half_window_us, keys, unique=True, **options)
+    return match_datasets(series, ref_name, list(others), half_window_us, keys, unique, **options)
 
 
 def match_datasets(
@@ -65,11 +64,22 @@ def match_datasets(
     while every reference row is kept.
     """
     keys, others = list(keys), list(others)
-    tile_us = tile_us or max(64 * half_window_us, 1)
+    tile_us = tile_us or tile_width(half_window_us)
     series = series.where(F.col("dataset").isin(reference, *others) & F.col("value").isNotNull())
     if not unique:
         candidates = unique_times(series.where(F.col("dataset") != reference), ["dataset", *keys])
-        series = series.where(F.col("dataset") == reference).select(*candidates.columns).unionByName(candidates)
+        rows = series.where(F.col("dataset") == reference).select(*candidates.columns)
+        times = settle(rows.groupBy("dataset", *keys, "ts").agg(F.count(F.lit(1)).alias("n")))
+        if crowding(times).any_hot:
+            # match the distinct times, with their row counts in place of values, and join the rows back
+            distinct = times.withColumn("value", F.col("n").cast("double")).select(*candidates.columns)
+            found = match_datasets(
+                distinct.unionByName(candidates), reference, others, half_window_us, keys, True, tile_us, combined,
+                keep_times,
+            )
+            rows = rows.select(*keys, "ts", F.col("value").cast("double").alias(reference))
+            return attach(rows, found.withColumnRenamed(reference, "n"), [*keys, "ts"]).select(*found.columns)
+        series = rows.unionByName(candidates)
 
     is_ref = F.col("dataset") == reference
     us = F.col("_us")
@@ -117,6 +127,12 @@ def match_datasets(
     return matched.select(*keys, "ts", reference, *columns)
 
 
+def tile_width(half_window_us: int) -> int:
+    """Width of the time tiles: wide against the tolerance, so that few candidates are repeated, yet
+    narrow enough to split a location that holds a large share of all rows."""
+    return max(min(64 * half_window_us, max(8 * half_window_us, 30 * DAY_US)), 1)
+
+
 def _closer(i: int, half_window_us: int) -> Column:
     before, after = F.col(f"_p_{i}"), F.col(f"_n_{i}")
     gap_before = F.col("_us") - before["us"]

@@ -66,7 +66,7 @@ def moving_mean(
     keys = list(keys)
     key_list = ", ".join(f"`{k}`" for k in keys)
     half = int(window_days * DAY_US / 2)
-    tile_us = tile_us or 32 * half
+    tile_us = tile_us or 8 * half
     series = series.where(F.col("value").isNotNull()).select(*keys, "ts", F.col("value").cast("double").alias("value"))
     if unique:
         merged = series.withColumn("_copies", F.lit(1).cast("bigint"))

@@ -19,6 +19,8 @@ from gaugewise.session import checkpoint_dir
 
 PARTS = 256
 FLOOR = 1_000_000
+#: Copies of one row that travel together.
+CHUNK = 100_000
 
 
 def settle(frame: DataFrame) -> DataFrame:
@@ -65,11 +67,13 @@ def attach(
     count_col: str = "n",
     how: str = "inner",
 ) -> DataFrame:
-    """``rows`` joined with the one ``stats`` row of their key.
+    """``rows`` joined with the ``stats`` rows of their key (usually one).
 
-    ``stats`` has one row per key and carries in ``count_col`` how many rows the key has;
-    that column is dropped. Rows of a hot key are spread over several salts in proportion
-    to its share, and its statistics row is repeated once per salt.
+    ``stats`` carries in ``count_col`` how many rows the key has; that column is dropped.
+    Rows of a hot key are spread over several salts in proportion to its share, and its
+    statistics are repeated once per salt. The salt comes from the content of the row, so
+    a task that runs twice gives every row the same one; exact copies of a row, which
+    would share a salt, are merged first and travel as counted chunks.
     """
     keys = list(keys)
     stats = settle(stats)
@@ -77,15 +81,21 @@ def attach(
     if not crowd.any_hot:
         return rows.join(stats.drop(count_col), keys, how)
     hot = F.broadcast(
-        stats.where(F.col(count_col) > crowd.threshold).select(
-            *keys, F.ceil(F.col(count_col) * (PARTS / crowd.total)).cast("int").alias("_splits")
-        )
+        stats.where(F.col(count_col) > crowd.threshold)
+        .groupBy(*keys)
+        .agg(F.max(F.ceil(F.col(count_col) * (PARTS / crowd.total))).cast("int").alias("_splits"))
     )
     splits = F.coalesce("_splits", F.lit(1))
-    salted_rows = (
-        rows.join(hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), splits).cast("int"))
-        .drop("_splits")
+    chunks = (
+        rows.groupBy(*rows.columns)
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(_copies - 1) DIV {CHUNK}"))))
+        .withColumn("_size", F.least(F.lit(CHUNK), F.col("_copies") - F.col("_chunk") * CHUNK))
+    )
+    salted_rows = chunks.join(hot, keys, "left").select(
+        *rows.columns,
+        "_size",
+        F.pmod(F.xxhash64(*rows.columns) + F.col("_chunk"), splits).cast("int").alias("_salt"),
     )
     salted_stats = (
         stats.drop(count_col)
@@ -93,4 +103,5 @@ def attach(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1)))
         .drop("_splits")
     )
-    return salted_rows.join(salted_stats, [*keys, "_salt"], how).drop("_salt")
+    joined = salted_rows.join(salted_stats, [*keys, "_salt"], how).drop("_salt")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_size")))).drop("_copy", "_size")

@@ -24,6 +24,7 @@ def upscale(
     series: DataFrame,
     lut: DataFrame,
     temporal_stability: bool = False,
+    sizes: DataFrame | None = None,
     r_min: float = 0.6,
     see_max: float = 0.05,
     min_stations: int = 4,
@@ -32,9 +33,11 @@ def upscale(
 
     With ``temporal_stability`` a reference point with more than ``min_stations`` points
     drops those that follow the mean badly: correlation below ``r_min`` or standard error
-    of the regression above ``see_max``.
+    of the regression above ``see_max``. ``sizes`` (gpi, n) tells roughly how long each
+    series is, where a cheaper source than ``series`` knows it.
     """
-    sizes = series.groupBy("gpi").agg(F.count(F.lit(1)).alias("n"))
+    if sizes is None:
+        sizes = series.groupBy("gpi").agg(F.count(F.lit(1)).alias("n"))
     mapping = lut.select("gpi", "ref_gpi").join(sizes, "gpi")
     placed = attach(series.select("gpi", "ts", "value"), mapping, ["gpi"])
     if temporal_stability:

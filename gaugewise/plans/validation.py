@@ -22,6 +22,7 @@ from gaugewise.operators.metrics import metrics_long, pair_names, triple_names
 from gaugewise.operators.scaling import scale
 from gaugewise.operators.series import climatology_anomaly, moving_anomaly
 from gaugewise.operators.spatial import nearest
+from gaugewise.operators.skew import attach
 from gaugewise.operators.stability import stability_slopes
 from gaugewise.operators.subwindows import BULK, INTRA_ANNUAL, SEPARATOR, label_recurring, label_years
 from gaugewise.operators.upscaling import lookup_table, upscale
@@ -54,6 +55,8 @@ class ValidationPlan:
         require_utc(spark)
         self.spark, self.run = spark, run
         self._sources = dict(sources or {})
+        #: Whether the reference points of a plan are fewer than those of the reference dataset.
+        self.restricted = None not in run.bbox or run.spatial_ref.reader in STATION_READERS
 
     # -- inputs ----------------------------------------------------------------------------
 
@@ -102,15 +105,19 @@ class ValidationPlan:
 
     def located_series(self, config: DatasetConfig, reference_points: DataFrame) -> DataFrame:
         """A dataset's series under the reference points it belongs to (``gpi`` is the reference)."""
-        ids = reference_points.select("gpi")
+        # rows per location before filters: a scan of one column
+        sizes = self.source(config).series.groupBy("gpi").agg(F.count(F.lit(1)).alias("n"))
         if config.id == self.run.spatial_ref.id:
-            return self.series(config).join(ids, "gpi", "left_semi")
+            if not self.restricted:
+                return self.series(config)
+            return attach(self.series(config), reference_points.select("gpi").join(sizes, "gpi"), ["gpi"])
         if self.run.upscaling_method != "none":
             lut = lookup_table(reference_points, self.points(config))
-            return upscale(self.series(config), lut, self.run.temporal_stability)
+            return upscale(self.series(config), lut, self.run.temporal_stability, sizes)
         hits = nearest(reference_points, self.source(config).points, config.max_dist_m)
-        mapping = hits.select(F.col("gpi").alias("_ref"), F.col("other_gpi").alias("gpi"))
-        return self.series(config).join(mapping, "gpi").select(F.col("_ref").alias("gpi"), "ts", "value")
+        mapping = hits.select(F.col("gpi").alias("_ref"), F.col("other_gpi").alias("gpi")).join(sizes, "gpi")
+        placed = attach(self.series(config), mapping, ["gpi"])
+        return placed.select(F.col("_ref").alias("gpi"), "ts", "value")
 
     def matched(self, reference_points: DataFrame) -> DataFrame:
         """Rows in which all datasets have a value: ``gpi, ts`` and one column per dataset."""
@@ -236,6 +243,7 @@ def run_validation(
     the same configuration are not repeated.
     """
     plan = ValidationPlan(spark, run, sources)
+    plan.restricted = plan.restricted or batches > 1
     path = sink.batch_path(output, run.settings(), batches)
     points = plan.reference_points()
     with tracked(spark, run.id):

@@ -5,21 +5,31 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
+#: Used where spark-submit sets nothing else. Shuffles start with many partitions and are merged
+#: at run time to about 128 MB each, so one setting serves small and very large inputs.
+DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+}
+
 
 def session(app: str = "gaugewise", master: str | None = None, **conf) -> SparkSession:
     """Session with the settings the plans assume: UTC, AQE, and skew-join splitting.
 
     On a cluster leave ``master`` unset and let spark-submit decide it.
     """
-    builder = (
-        SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-    )
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
+    submitted = SparkConf()
+    for key, value in DEFAULTS.items():
+        if not submitted.contains(key):
+            builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -32,6 +42,8 @@ def local_session(cpus: int = 8, app: str = "gaugewise-local", **conf) -> SparkS
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
         "spark.sql.shuffle.partitions": str(cpus),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(cpus),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
     }
     return session(app, master=f"local[{cpus}]", **{**defaults, **conf})
 

@@ -57,6 +57,25 @@ def test_matching_against_all_pairs(spark, tile_hours):
     assert sorted(got) == sorted(expected)
 
 
+def test_matching_hot_reference_times(spark, crowded):
+    rng = np.random.default_rng(12)
+    ref = [(0, 5.0, float(v)) for v in rng.integers(0, 3, 200)] + random_rows(13, n=100)
+    other = random_rows(14) + [(0, 6.0, 1.5)]
+    plain = match_nearest(series(spark, ref), {"o": series(spark, other)}, 5 * HOUR, unique=True)
+    hot = match_nearest(series(spark, ref), {"o": series(spark, other)}, 5 * HOUR)
+    assert "_chunk" in hot._jdf.queryExecution().optimizedPlan().toString()
+    best = {}
+    for g, h, v in other:
+        best[(g, h)] = min(v, best.get((g, h), v))
+    expected = []
+    for g, h, v in ref:
+        near = sorted((abs(oh - h), oh, ov) for (og, oh), ov in best.items() if og == g and abs(oh - h) <= 5)
+        if near:
+            expected.append((g, h, v, near[0][2]))
+    got = [(r.gpi, (r.ts - EPOCH).total_seconds() / 3600, r.ref, r.o) for r in hot.collect()]
+    assert sorted(got) == sorted(expected) and plain.columns == hot.columns
+
+
 def test_matching_before_the_epoch_and_ties(spark):
     ref = series(spark, [(1, -400000.0, 1.0), (1, 0.0, 2.0)])
     other = series(spark, [(1, -400001.0, 5.0), (1, -399999.0, 6.0), (1, 2.0, 7.0), (1, 2.001, 8.0)])
@@ -123,6 +142,18 @@ def test_hot_keys_are_salted(spark, crowded):
     assert got == {(r.k, r.i, top[r.k]) for r in rows.collect()}
 
 
+def test_copies_of_a_row_are_spread_and_kept(spark, crowded, monkeypatch):
+    from gaugewise.operators import skew
+
+    monkeypatch.setattr(skew, "CHUNK", 7)
+    rows = spark.createDataFrame([(0, 1.0)] * 100 + [(1, 2.0), (1, 2.0), (2, 3.0)], "k int, v double")
+    two_rows_per_key = spark.createDataFrame(
+        [(0, "a", 100), (0, "b", 100), (1, "c", 2), (2, "d", 1)], "k int, s string, n long"
+    )
+    counts = {(r.k, r.s): r["count"] for r in attach(rows, two_rows_per_key, ["k"]).groupBy("k", "s").count().collect()}
+    assert counts == {(0, "a"): 100, (0, "b"): 100, (1, "c"): 2, (2, "d"): 1}
+
+
 def _check_percentiles(spark):
     rows = pd.DataFrame(random_rows(5, n=2000), columns=["gpi", "h", "value"])
     table = percentiles(spark.createDataFrame(rows), ["gpi"], "value", {"lo": 0.05, "mid": 0.5, "hi": 1.0}, mean="mean")
