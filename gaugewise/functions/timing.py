@@ -33,3 +33,13 @@ def within_period(ts: Column, start, end) -> Column:
     if end is not None:
         keep = keep & (ts <= F.lit(end).cast("timestamp_ntz"))
     return keep
+
+
+# Forms in which times are written.
+TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+
+
+def parse_time(text: Column) -> Column:
+    """Time from text in any of the known forms as TIMESTAMP_NTZ in UTC; NULL for anything else."""
+    tries = [F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz") for form in TIME_FORMATS]
+    return F.coalesce(*tries)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.functions import stats
+from gaugewise.operators.ranking import with_ranks
 
 #: Status of a location and sub-window.
 STATUS_OK = 0
@@ -33,11 +34,18 @@ def metrics_wide(
     others: Sequence[str],
     by: Sequence[str] = ("gpi",),
     triples: bool = False,
+    ranked: bool = False,
 ) -> DataFrame:
-    """Moments of all pairs (and triples) of every location in a single aggregation."""
+    """Moments of all pairs (and triples) of every location in a single aggregation.
+
+    ``ranked`` says that ``rank_<dataset>`` columns are present for the rank correlation.
+    """
     aggregates = []
     for i, names in enumerate(pair_names(reference, others)):
         aggregates += stats.pair_moments(*map(_quoted, names), prefix=f"_p{i}_")
+        if ranked:
+            x, y = (_quoted(f"rank_{name}") for name in names)
+            aggregates.append(f"{stats.pearson(x, y)} AS _p{i}_rho")
     if triples:
         for i, names in enumerate(triple_names(reference, others)):
             aggregates += stats.triple_moments(*map(_quoted, names), prefix=f"_t{i}_")
@@ -52,6 +60,7 @@ def metrics_long(
     triples: bool = False,
     min_obs: int = stats.MIN_OBS,
     pair_metrics: Sequence[str] = stats.PAIR_METRICS,
+    rank_correlation: bool = False,
 ) -> DataFrame:
     """Tidy metrics: ``by``, ``combo`` (datasets joined by ``_and_``), ``metric``, ``value``.
 
@@ -71,6 +80,8 @@ def metrics_long(
         combo, n = "_and_".join(names), f"_p{i}_n"
         for metric in pair_metrics:
             add(combo, metric, stats.pair_metric(metric, f"_p{i}_"), n=None if metric == "n_obs" else n)
+        if rank_correlation:
+            add(combo, "rho", f"_p{i}_rho", n)
         add_status(combo, n)
     if triples:
         for i, names in enumerate(triple_names(reference, others)):
@@ -79,7 +90,9 @@ def metrics_long(
                 for side, dataset in zip(stats.TRIPLE_SIDES, names):
                     add(combo, f"{metric}_{dataset}", stats.triple_metric(metric, side, f"_t{i}_"), n)
             add_status(combo, n)
-    wide = metrics_wide(matched, reference, others, by, triples)
+    if rank_correlation:
+        matched = with_ranks(matched, by, [reference, *others])
+    wide = metrics_wide(matched, reference, others, by, triples, ranked=rank_correlation)
     return wide.selectExpr(*map(_quoted, by), f"inline(array({', '.join(entries)}))")
 
 

@@ -128,7 +128,7 @@ def percentiles(
 
 
 def with_ranks(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Adds ``rank_<column>``: the average rank (ties share it) of the row in its group."""
+    """Adds ``rank_<column>``: the average rank (ties share it) of the row in its group; NULL has none."""
     keys, names = list(keys), _quoted(keys)
     rows = settle(rows)
     group = f"PARTITION BY {', '.join(names)}"
@@ -136,7 +136,8 @@ def with_ranks(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
         return rows.selectExpr(
             "*",
             *[
-                f"rank() OVER ({group} ORDER BY `{c}`) + (count(1) OVER ({group}, `{c}`) - 1) / 2D AS `rank_{c}`"
+                f"CASE WHEN `{c}` IS NOT NULL THEN rank() OVER ({group} ORDER BY `{c}` NULLS LAST) "
+                f"+ (count(1) OVER ({group}, `{c}`) - 1) / 2D END AS `rank_{c}`"
                 for c in columns
             ],
         )
@@ -149,5 +150,5 @@ def with_ranks(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
         ranks = counted.where(F.col("_column") == column).selectExpr(
             *names, f"v AS `{column}`", f"below + (cnt + 1) / 2D AS `rank_{column}`", "cnt AS _n"
         )
-        ranked = attach(ranked, ranks, [*keys, column], count_col="_n")
+        ranked = attach(ranked, ranks, [*keys, column], count_col="_n", how="left")
     return ranked

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.operators.ranking import percentiles
@@ -94,6 +94,59 @@ def metric_catalog(metrics: DataFrame) -> DataFrame:
     )
 
 
+#: Separates the datasets in the name of a result table.
+DATASET_JOINER = "_with_"
+
+
+def join_dataset_keys(keys: Sequence[str]) -> str:
+    return DATASET_JOINER.join(keys)
+
+
+def dataset_keys(name: str | Column) -> list[str] | Column:
+    """The datasets named in the name of a result table (plain text or a column)."""
+    return name.split(DATASET_JOINER) if isinstance(name, str) else F.split(name, DATASET_JOINER)
+
+
+def unlisted(used: DataFrame, known: DataFrame, key: str = "dataset") -> DataFrame:
+    """Datasets that occur in results but not in a list of known ones."""
+    return used.select(key).distinct().join(known.select(key), key, "left_anti")
+
+
+def first_per_class(rows: DataFrame, kind: str, order: Sequence[str], keep: int = 5) -> DataFrame:
+    """The first rows of every class; the planner limits each task to ``keep`` rows per class before the shuffle."""
+    ranked = rows.withColumn(
+        "_k", F.expr(f"row_number() OVER (PARTITION BY `{kind}` ORDER BY {', '.join(f'`{o}`' for o in order)})")
+    )
+    return ranked.where(F.col("_k") <= keep).drop("_k")
+
+
+# Names of overview plots of pairs and of triples.
+PAIR_PLOT = "overview_{ref}_and_{other}_{metric}.png"
+PAIR_PLOT_PATTERN = r"^(?:bulk_)?overview_(\d+)-(.+)_and_(\d+)-([^_]+)_(.+)\.png$"
+TRIPLE_PLOT_PATTERN = r"^(?:bulk_)?overview_(\d+)-(.+)_and_(\d+)-(.+)_and_(\d+)-([^_]+)_(snr|beta|err_std)_for_(\d+)-(.+)\.png$"
+
+
+def parse_plot_names(files: DataFrame, name: str = "file") -> DataFrame:
+    """``kind`` (pair or triple), ``combo`` and ``metric`` of overview plots; other files are left out."""
+    text = F.col(name)
+
+    def part(pattern, *groups):
+        return F.concat_ws("-", *[F.regexp_extract(text, pattern, g) for g in groups])
+
+    triple, pair = text.rlike(TRIPLE_PLOT_PATTERN), text.rlike(PAIR_PLOT_PATTERN)
+    p, t = PAIR_PLOT_PATTERN, TRIPLE_PLOT_PATTERN
+    return files.where(triple | pair).select(
+        text.alias(name),
+        F.when(triple, "triple").otherwise("pair").alias("kind"),
+        F.when(triple, F.concat_ws("_and_", part(t, 1, 2), part(t, 3, 4), part(t, 5, 6)))
+        .otherwise(F.concat_ws("_and_", part(p, 1, 2), part(p, 3, 4)))
+        .alias("combo"),
+        F.when(triple, F.concat(F.regexp_extract(text, t, 7), F.lit("_for_"), part(t, 8, 9)))
+        .otherwise(F.regexp_extract(text, p, 5))
+        .alias("metric"),
+    )
+
+
 def compare_runs(
     first: DataFrame,
     second: DataFrame,

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugewise.functions.geo import in_bbox
+from gaugewise.functions.timing import parse_time
 from gaugewise.operators import results
 from gaugewise.operators.matching import match_datasets
 from gaugewise.operators.metrics import metrics_long
 from gaugewise.operators.spatial import nearest
 from gaugewise.operators.upscaling import lookup_table, upscale
 from gaugewise.plans import canonical as c
-from gaugewise.plans.queries_match import MATCHED, SQL_PAIR, matched_three
+from gaugewise.plans.queries_match import MATCHED, SQL_PAIR, SQL_R, matched_three
 from gaugewise.plans.queries_scan import POINTS, QUALITY, SENSORS
 from gaugewise.plans.registry import query, r6, s6, sql_time_text, time_text
 
@@ -309,3 +310,88 @@ def actual_interval(spark, d):
             "date_format(least(_last, TIMESTAMP_NTZ'2000-12-31'), 'yyyy-MM-dd') AS actual_to",
         )
     )
+
+
+# --- names, classes, listings -----------------------------------------------------------------
+
+
+@query(
+    "dataset_keys_from_name",
+    """SELECT gpi, unnest(string_split(name, '_with_')) AS dataset FROM (
+         SELECT gpi, string_agg(dataset, '_with_' ORDER BY dataset) AS name FROM (
+           SELECT DISTINCT l_suppkey AS gpi, l_returnflag AS dataset FROM lineitem) GROUP BY gpi)""",
+)
+def dataset_keys_from_name(spark, d):
+    """Result-table names of every location, and the datasets read back from them."""
+    # one array entry per dataset
+    names = (
+        c.observations(spark, d)
+        .groupBy("gpi")
+        .agg(F.concat_ws(results.DATASET_JOINER, F.array_sort(F.collect_set("dataset"))).alias("name"))
+    )
+    return names.select("gpi", F.explode(results.dataset_keys(F.col("name"))).alias("dataset"))
+
+
+@query(
+    "datasets_not_listed",
+    "SELECT DISTINCT event_type AS dataset FROM events WHERE event_type NOT IN ('click', 'error')",
+)
+def datasets_not_listed(spark, d):
+    """Datasets in use that are missing from a list of known ones."""
+    used = c.irregular(spark, d)
+    return results.unlisted(used, used.where("dataset IN ('click', 'error')").select("dataset").distinct())
+
+
+@query(
+    "first_five_per_class",
+    f"""SELECT event_type, event_id, {sql_time_text('ts')} FROM (SELECT *, row_number() OVER (
+        PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events) WHERE k <= 5""",
+)
+def first_five_per_class(spark, d):
+    first = results.first_per_class(c.table(spark, d, "events"), "event_type", ["ts", "event_id"])
+    return first.select("event_type", "event_id", time_text())
+
+
+@query(
+    "plot_name_parsing",
+    f"""WITH {MATCHED}, {_PAIRS}, {_LONG} SELECT DISTINCT 'overview_' || named || '_' || metric || '.png' AS file,
+        'pair' AS kind, named AS combo, metric FROM (SELECT metric, CASE combo WHEN 'A_and_N' THEN '0-A_and_1-N'
+        ELSE '0-A_and_2-R' END AS named FROM long UNION ALL SELECT 'status', CASE combo WHEN 'A_and_N'
+        THEN '0-A_and_1-N' ELSE '0-A_and_2-R' END FROM long)""",
+)
+def plot_name_parsing(spark, d):
+    matched = matched_three(spark, d).withColumnsRenamed({"A": "0-A", "N": "1-N", "R": "2-R"})
+    catalog = metrics_long(matched, "0-A", ["1-N", "2-R"], pair_metrics=_METRICS).select("combo", "metric").distinct()
+    files = catalog.select(F.concat(F.lit("overview_"), "combo", F.lit("_"), "metric", F.lit(".png")).alias("file"))
+    return results.parse_plot_names(files)
+
+
+@query(
+    "time_parsing",
+    f"""SELECT event_id, {sql_time_text("CASE event_id % 5 WHEN 0 THEN date_trunc('day', ts) WHEN 1 THEN "
+        "date_trunc('minute', ts) WHEN 2 THEN date_trunc('second', ts) WHEN 3 THEN date_trunc('second', ts) "
+        "- INTERVAL 2 HOUR END", 'ts')} FROM events""",
+)
+def time_parsing(spark, d):
+    """Times written in every known form and read back."""
+    written = F.expr(
+        "CASE event_id % 5 WHEN 0 THEN date_format(ts, 'yyyy-MM-dd') WHEN 1 THEN date_format(ts, 'yyyy-MM-dd HH:mm')"
+        " WHEN 2 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss')"
+        " WHEN 3 THEN concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), '+02:00') ELSE event_type END"
+    )
+    rows = c.table(spark, d, "events").select("event_id", parse_time(written).alias("ts"))
+    return rows.select("event_id", time_text())
+
+
+@query(
+    "pairwise_all_with_rho",
+    f"""WITH {MATCHED}, ranked AS (SELECT gpi,
+          rank() OVER (PARTITION BY gpi ORDER BY A) + (count(*) OVER (PARTITION BY gpi, A) - 1) / 2.0 AS x,
+          rank() OVER (PARTITION BY gpi ORDER BY N) + (count(*) OVER (PARTITION BY gpi, N) - 1) / 2.0 AS y FROM matched)
+        SELECT gpi, 'rho' AS metric, {s6(f'CASE WHEN count(*) >= 10 THEN {SQL_R} END', 'value')} FROM ranked GROUP BY gpi
+        UNION ALL SELECT gpi, 'n_obs', {s6('count(*)', 'value')} FROM ranked GROUP BY gpi""",
+)
+def pairwise_all_with_rho(spark, d):
+    """Rank correlation computed together with the other metrics of a pair."""
+    metrics = metrics_long(matched_three(spark, d), "A", ["N", "R"], rank_correlation=True)
+    return metrics.where("combo = 'A_and_N' AND metric IN ('rho', 'n_obs')").select("gpi", "metric", r6("value"))

@@ -22,7 +22,7 @@ from gaugewise.operators.metrics import metrics_long, pair_names, triple_names
 from gaugewise.operators.scaling import scale
 from gaugewise.operators.series import climatology_anomaly, moving_anomaly
 from gaugewise.operators.spatial import nearest
-from gaugewise.operators.skew import attach
+from gaugewise.operators.skew import attach, settle
 from gaugewise.operators.stability import stability_slopes
 from gaugewise.operators.subwindows import BULK, INTRA_ANNUAL, SEPARATOR, label_recurring, label_years
 from gaugewise.operators.upscaling import lookup_table, upscale
@@ -39,6 +39,7 @@ ANOMALY_WINDOW_DAYS = 35
 @dataclass(frozen=True)
 class RunResult:
     path: str
+    table: str
     total: int
     ok: int
     error: int
@@ -142,9 +143,7 @@ class ValidationPlan:
 
     @property
     def others(self) -> list[str]:
-        return sorted(
-            (name for name in self.run.names.values() if name != self.reference), key=lambda n: int(n.split("-")[0])
-        )
+        return [name for name in self.run.names.values() if name != self.reference]
 
     @property
     def with_triples(self) -> bool:
@@ -162,7 +161,9 @@ class ValidationPlan:
 
     def metrics(self, matched: DataFrame) -> DataFrame:
         rows, by = self.labelled(matched)
-        tidy = metrics_long(rows, self.reference, self.others, by=by, triples=self.with_triples)
+        tidy = metrics_long(
+            rows, self.reference, self.others, by=by, triples=self.with_triples, rank_correlation=True
+        )
         if self.run.stability_metrics:
             tidy = tidy.unionByName(stability_slopes(tidy).select(*tidy.columns))
         if self.with_triples and self.run.bootstrap_tcol_cis:
@@ -183,7 +184,7 @@ class ValidationPlan:
             prefix = f"{window}{SEPARATOR}" if window else ""
             for names in pair_names(self.reference, self.others):
                 combo = "_and_".join(names)
-                metrics = [*stats.PAIR_METRICS, "status"]
+                metrics = [*stats.PAIR_METRICS, "rho", "status"]
                 if self.run.stability_metrics and window == BULK:
                     metrics += ["slopeR", "slopeBIAS", "slopeURMSD"]
                 keys += [f"{prefix}{m}_between_{combo}" for m in metrics]
@@ -207,6 +208,12 @@ class ValidationPlan:
             return sorted(row["tsw"] for row in found)
         return []
 
+    @property
+    def output_name(self) -> str:
+        """Name of the result table: the datasets with their variables, reference first."""
+        labels = {self.run.name_of(c): f"{self.run.name_of(c)}.{c.variable.name}" for c in self.run.datasets}
+        return res.join_dataset_keys([labels[name] for name in (self.reference, *self.others)])
+
     @property
     def first_combo(self) -> str:
         return "_and_".join(pair_names(self.reference, self.others)[0]) if self.others else self.reference
@@ -250,13 +257,13 @@ def run_validation(
         done = sink.finished_batches(spark, path)
         for batch_id in (b for b in range(batches) if b not in done):
             part = sink.with_batch(points, batches).where(F.col("batch_id") == batch_id).drop("batch_id")
-            metrics = plan.metrics(plan.matched(part))
+            metrics = plan.metrics(settle(plan.matched(part)))
             data = plan.source(run.spatial_ref).series
             complete = res.with_missing_points(metrics, part, data, plan.first_combo)
             sink.write_batch(complete, path, batch_id)
             LOG.info("batch %d of %d written to %s", batch_id + 1, batches, path)
         metrics = sink.read_results(spark, path).drop("batch_id")
-        sink.write_results(plan.wide(metrics, points), f"{path}/wide")
+        sink.write_results(plan.wide(metrics, points), f"{path}/wide/{plan.output_name}")
         sink.write_summary_csv(res.summary(metrics.where("metric <> 'status'")), f"{path}/summary")
         counts = res.progress(res.count_status(metrics, plan.first_combo, points)).first()
         finished = replace(
@@ -267,4 +274,4 @@ def run_validation(
             progress=counts["progress"] or 0,
         )
         sink.write_table(metadata.attributes(spark, finished), f"{path}/run_metadata")
-    return RunResult(path, counts["total"], counts["ok"], counts["error"])
+    return RunResult(path, f"{path}/wide/{plan.output_name}", counts["total"], counts["ok"], counts["error"])

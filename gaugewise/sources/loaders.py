@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gaugewise.config import DatasetConfig
 from gaugewise.operators.series import clean, extend
+from gaugewise.sources.netcdf import GRID_FILE, netcdf_source
 from gaugewise.sources.stations import CLASS_FILE, attach_frm_classes
 
 
@@ -35,8 +36,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _parquet_source(spark: SparkSession, config: DatasetConfig) -> Source:
     root = config.storage_path.rstrip("/")
     if not _exists(spark, f"{root}/series"):
-        from gaugewise.sources.netcdf import netcdf_source
-
         points, series = netcdf_source(spark, root)
         return Source(points, series)
     series = spark.read.parquet(f"{root}/series")
@@ -76,6 +75,12 @@ LOADERS: dict[str, Callable[[SparkSession, DatasetConfig], Source]] = {
     "SMOSL2Reader": load_cleaned,
 }
 STATION_READERS = ("ISMN_Interface",)
+GRID_READERS = ("SMAPTs",)
+
+
+def register_loader(reader: str, loader: Callable[[SparkSession, DatasetConfig], Source]) -> None:
+    """Makes a further reader name usable in configurations."""
+    LOADERS[reader] = loader
 
 
 def load(spark: SparkSession, config: DatasetConfig) -> Source:
@@ -94,3 +99,5 @@ def check_storage(configs) -> None:
             raise FileNotFoundError(f"storage path of {config.short_name} is missing: {path}")
         if not path.is_dir():
             raise NotADirectoryError(f"storage path of {config.short_name} is not a folder: {path}")
+        if config.reader in GRID_READERS and not any((path / name).exists() for name in ("points", GRID_FILE)):
+            raise FileNotFoundError(f"{config.short_name} needs points/ or {GRID_FILE} in {path}")

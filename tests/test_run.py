@@ -75,7 +75,7 @@ def test_full_run(spark, folders, tmp_path):
     run = parse_run(config(folders, tcol=True))
     result = run_validation(spark, run, str(tmp_path))
     expected = brute_force(spark, folders)
-    got = {r["gpi"]: r.asDict() for r in spark.read.parquet(f"{result.path}/wide").collect()}
+    got = {r["gpi"]: r.asDict() for r in spark.read.parquet(result.table).collect()}
     assert result.total == 10 and result.ok + result.error == 10
     assert set(expected.gpi) <= set(got)
     for gpi, group in expected.groupby("gpi"):
@@ -84,6 +84,8 @@ def test_full_run(spark, folders, tmp_path):
         assert row["R_between_0-A_and_1-N"] == pytest.approx(group.a.corr(group.n))
         assert row["BIAS_between_0-A_and_2-R"] == pytest.approx(group.a.mean() - group.r.mean())
         assert row["network"].startswith("NATION_")
+        assert row["rho_between_0-A_and_1-N"] == pytest.approx(group.a.rank().corr(group.n.rank()))
+    assert result.table.endswith("0-A.soil_moisture_with_1-N.soil_moisture_with_2-R.soil_moisture")
     assert "snr_0-A_between_0-A_and_1-N_and_2-R" in got[0]
     stored = dict(spark.read.parquet(f"{result.path}/run_metadata").collect())
     assert stored["val_dc_dataset0"] == "A" and stored["val_ref"] == "val_dc_dataset0"
@@ -170,6 +172,7 @@ def test_cli_run(spark, folders, tmp_path):
     file = tmp_path / "run.json"
     file.write_text(json.dumps(config(folders)))
     assert main([str(file), "--output", str(tmp_path / "out"), "--log-level", "ERROR"]) == 0
+    assert list(tmp_path.glob("out/*/statistics.zip"))
     broken = config(folders)
     broken["validation_run"]["dataset_configurations"][0]["dataset"]["storage_path"] = "/no/such/place"
     file.write_text(json.dumps(broken))

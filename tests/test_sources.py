@@ -61,7 +61,9 @@ def test_unknown_reader(spark, tmp_path):
 def test_storage_check(tmp_path):
     file = tmp_path / "file"
     file.write_text("")
-    loaders.check_storage([config(tmp_path, "SMAPTs"), config("s3a://bucket/x", "SMAPTs")])
+    loaders.check_storage([config(tmp_path, "ISMN_Interface"), config("s3a://bucket/x", "SMAPTs")])
+    with pytest.raises(FileNotFoundError, match="grid.nc"):
+        loaders.check_storage([config(tmp_path, "SMAPTs")])
     with pytest.raises(FileNotFoundError):
         loaders.check_storage([config(tmp_path / "missing", "SMAPTs")])
     with pytest.raises(NotADirectoryError):
