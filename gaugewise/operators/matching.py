@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.functions.timing import DAY_US, epoch_us, tile_of
+from gaugewise.operators import skew
 from gaugewise.operators.skew import attach, crowding, settle
 
 
@@ -70,7 +71,10 @@ def match_datasets(
         candidates = unique_times(series.where(F.col("dataset") != reference), ["dataset", *keys])
         rows = series.where(F.col("dataset") == reference).select(*candidates.columns)
         times = settle(rows.groupBy("dataset", *keys, "ts").agg(F.count(F.lit(1)).alias("n")))
-        if crowding(times).any_hot:
+        crowd = crowding(times)
+        if crowd.total > skew.FLOOR:
+            tile_us = _fitting_tile(times, keys, tile_us, half_window_us)
+        if crowd.any_hot:
             # match the distinct times, with their row counts in place of values, and join the rows back
             distinct = times.withColumn("value", F.col("n").cast("double")).select(*candidates.columns)
             found = match_datasets(
@@ -133,6 +137,16 @@ def tile_width(half_window_us: int) -> int:
     return max(min(64 * half_window_us, max(8 * half_window_us, 30 * DAY_US)), 1)
 
 
+def _fitting_tile(times: DataFrame, keys: list[str], tile_us: int, half_window_us: int) -> int:
+    """Narrows the tile while one tile of one location holds a large share of all reference rows."""
+    while tile_us > 2 * half_window_us:
+        tiles = times.groupBy(*keys, tile_of(epoch_us(), tile_us).alias("_tile")).agg(F.count(F.lit(1)).alias("n"))
+        if not crowding(tiles).any_hot:
+            break
+        tile_us = max(tile_us // 8, 2 * half_window_us)
+    return tile_us
+
+
 def _closer(i: int, half_window_us: int) -> Column:
     before, after = F.col(f"_p_{i}"), F.col(f"_n_{i}")
     gap_before = F.col("_us") - before["us"]

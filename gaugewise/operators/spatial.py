@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.functions.geo import chord, haversine_m, with_unit_vector
-from gaugewise.operators.skew import settle
+from gaugewise.operators import skew
+from gaugewise.operators.skew import attach, settle
 
 #: Cells are divided until none holds more distinct places than this, or MAX_LEVEL is reached (12 m).
 LEAF_SIZE = 64
@@ -62,6 +63,19 @@ def _occupied(places: DataFrame, level: int) -> DataFrame:
     return F.broadcast(cells) if level <= BROADCAST_LEVEL else cells
 
 
+def _top_cells(places: DataFrame) -> str | None:
+    """SQL text that gives every point all occupied cells of the first step (at most 64); None if there are none."""
+    columns = _CELLS + [f"{side}{a}" for a in _AXES for side in ("lo", "hi")]
+    cells = _occupied(places, STEP).select(*columns).collect()
+    structs = [
+        "struct("
+        + ", ".join(f"{row[c]}L AS {c}" if c in _CELLS else f"CAST({row[c]!r} AS DOUBLE) AS {c}" for c in columns)
+        + ")"
+        for row in cells
+    ]
+    return f"inline(array({', '.join(structs)}))" if structs else None
+
+
 def nearest(
     points: DataFrame,
     candidates: DataFrame,
@@ -88,14 +102,28 @@ def nearest(
     within = "_near <= _bound * (1 + 1e-9D) + 1e-15D"
     kept = [point_id, "lon", "lat", *_AXES]
     parents = [f"p{a}" for a in _AXES]
+    top = _top_cells(places)
+    if top is None:
+        # no candidate anywhere
+        return points.where(F.lit(False)).selectExpr(
+            f"gpi AS `{point_id}`", f"CAST(NULL AS BIGINT) AS `{candidate_id}`", "CAST(NULL AS DOUBLE) AS distance_m"
+        )
+    start = with_unit_vector(points.where(located).select(F.col("gpi").alias(point_id), "lon", "lat"))
+    frontier = start.selectExpr(*kept, f"CAST({limit!r} AS DOUBLE) AS _bound", top)
+
+    many = depth > BROADCAST_LEVEL and points.count() > skew.FLOOR
+
+    def descend(rows: DataFrame, below: DataFrame, level: int) -> DataFrame:
+        """Rows joined with what lies below their cell; with many points, crowded cells are salted."""
+        if level <= BROADCAST_LEVEL or not many:
+            return rows.join(below, parents)
+        rows = settle(rows)
+        return attach(rows, below.join(rows.groupBy(*parents).agg(F.count(F.lit(1)).alias("n")), parents), parents)
 
-    frontier = with_unit_vector(points.where(located).select(F.col("gpi").alias(point_id), "lon", "lat")).selectExpr(
-        *kept, *[f"CAST(0 AS BIGINT) AS {p}" for p in parents], f"CAST({limit!r} AS DOUBLE) AS _bound"
-    )
     for level in range(STEP, depth + 1, STEP):
+        cells = frontier if level == STEP else descend(frontier, _occupied(places, level), level)
         frontier = (
-            frontier.join(_occupied(places, level), parents)
-            .selectExpr(*kept, *_CELLS, "_bound", f"{near_sq} AS _near", f"{far_sq} AS _far")
+            cells.selectExpr(*kept, *_CELLS, "_bound", f"{near_sq} AS _near", f"{far_sq} AS _far")
             .where(within)
             # a point has few cells left, so this window is over a handful of rows
             .withColumn("_bound", F.expr(f"least(_bound, min(_far) OVER (PARTITION BY `{point_id}`, lon, lat))"))
@@ -109,7 +137,7 @@ def nearest(
         *[f"shiftright(c{a}, {MAX_LEVEL - depth}) AS p{a}" for a in _AXES],
     )
     best = (
-        frontier.join(opened, parents)
+        descend(frontier, opened, depth)
         .selectExpr(
             f"`{point_id}`",
             f"struct(round({haversine_m('lon', 'lat', '_lon', '_lat')}, 3) AS d, `{candidate_id}` AS id) AS _hit",

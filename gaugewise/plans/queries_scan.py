@@ -29,7 +29,8 @@ SENSORS = """sensors AS (SELECT p_partkey AS gpi, (p_partkey * 1453 % 3600) / 10
   (p_partkey * 733 % 1700) / 10.0 - 85 AS lat, p_brand AS network,
   (p_size - 1) / 20.0 AS depth_from, p_size / 20.0 AS depth_to FROM part)"""
 FRM = """frm AS (SELECT p_partkey AS gpi, CASE p_size % 3 WHEN 0 THEN 'very representative'
-  WHEN 1 THEN 'representative' ELSE 'not representative' END AS frm_class FROM part WHERE p_partkey % 3 <> 0)"""
+  WHEN 1 THEN 'representative' ELSE 'not representative' END AS frm_class FROM part
+  WHERE p_type IN ('STANDARD', 'ECONOMY', 'MEDIUM', 'PROMO'))"""
 
 
 @query(

@@ -264,7 +264,8 @@ def run_validation(
             LOG.info("batch %d of %d written to %s", batch_id + 1, batches, path)
         metrics = sink.read_results(spark, path).drop("batch_id")
         sink.write_results(plan.wide(metrics, points), f"{path}/wide/{plan.output_name}")
-        sink.write_summary_csv(res.summary(metrics.where("metric <> 'status'")), f"{path}/summary")
+        groups = [c for c in ("tsw", "combo", "metric") if c in metrics.columns]
+        sink.write_summary_csv(res.summary(metrics.where("metric <> 'status'"), groups), f"{path}/summary")
         counts = res.progress(res.count_status(metrics, plan.first_combo, points)).first()
         finished = replace(
             run,

@@ -341,6 +341,20 @@ def test_nearest_point(spark, monkeypatch, leaf, max_dist):
             assert _great_circle(ask, places[got[i][0]]) == pytest.approx(distance, abs=0.002)
 
 
+def test_nearest_point_with_crowded_cells(spark, crowded, monkeypatch):
+    from gaugewise.operators import spatial
+
+    monkeypatch.setattr(spatial, "BROADCAST_LEVEL", 0)
+    test_nearest_point(spark, monkeypatch, 4, None)
+
+
+def test_tile_is_narrowed_for_a_dense_location(spark, crowded):
+    from gaugewise.operators.matching import _fitting_tile
+
+    rows = series(spark, [(0, h / 60, 1.0) for h in range(3000)]).select("gpi", "ts")
+    assert _fitting_tile(rows, ["gpi"], 64 * HOUR, HOUR // 60) < 8 * HOUR
+
+
 def test_lookup_table_is_long(spark):
     grid = spark.createDataFrame([(1, 0.0, 0.0), (2, 90.0, 0.0)], "gpi bigint, lon double, lat double")
     sensors = spark.createDataFrame([(i, float(i), 1.0) for i in range(80)], "gpi bigint, lon double, lat double")
