@@ -30,7 +30,7 @@ from gaugewise.session import require_utc
 from gaugewise.sinks import metadata
 from gaugewise.sinks import results as sink
 from gaugewise.sources.loaders import STATION_READERS, Source, load
-from gaugewise.sources.timestamps import adapt_timestamps, time_rule
+from gaugewise.sources.timestamps import adapt_timestamps, raw_period, time_rule
 
 LOG = logging.getLogger(__name__)
 ANOMALY_WINDOW_DAYS = 35
@@ -51,8 +51,10 @@ class ValidationPlan:
     def __init__(self, spark: SparkSession, run: RunConfig, sources: dict[int, Source] | None = None):
         if run.intra_annual_metrics and run.stability_metrics:
             raise ValueError("intra-annual and stability metrics exclude each other")
-        if run.spatial_ref is None:
-            raise ValueError("a run needs at least one dataset configuration")
+        if len(run.datasets) < 2:
+            raise ValueError("a run needs at least two dataset configurations")
+        if len({config.id for config in run.datasets}) < len(run.datasets):
+            raise ValueError("dataset configurations need different ids")
         require_utc(spark)
         self.spark, self.run = spark, run
         self._sources = dict(sources or {})
@@ -83,10 +85,13 @@ class ValidationPlan:
         rule = time_rule(config.short_name, config.version)
         margin = timedelta(days=ANOMALY_WINDOW_DAYS / 2) if run.anomalies == "moving_avg_35_d" else timedelta(0)
         needs_all = run.anomalies == "climatology"
-        exact = adapt_timestamps(raw, config.short_name, config.version) if rule else raw
-        if run.period and not needs_all:
-            start, end = run.period
-            exact = exact.where(within_period(F.col("ts"), start - margin, end + margin))
+        bounded = run.period is not None and not needs_all
+        if bounded:
+            start, end = run.period[0] - margin, run.period[1] + margin
+            raw = raw.where(raw_period(rule, start, end)) if rule else raw
+        exact = adapt_timestamps(raw, config.short_name, config.version)
+        if bounded:
+            exact = exact.where(within_period(F.col("ts"), start, end))
         kept = exact.where(flt.keep(variable, config.filters, config.parametrised_filters)).select(
             "gpi", "ts", F.nanvl(F.col(variable.name).cast("double"), F.lit(None).cast("double")).alias("value")
         )

@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    # recording the Python call site of every expression is slow for plans with hundreds of them
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,3 +56,16 @@ def adapt_timestamps(series: DataFrame, dataset: str, version: str) -> DataFrame
     """``series`` with ``ts`` replaced by the exact time where the dataset has a rule."""
     rule = time_rule(dataset, version)
     return series if rule is None else series.withColumn("ts", exact_time(rule))
+
+
+def raw_period(rule: TimeRule, start: datetime, end: datetime) -> Column:
+    """Coarse period predicate on the stored offset, which reaches the Parquet scan.
+
+    Only a time stored as one offset allows it; the exact predicate still follows.
+    """
+    if len(rule.terms) != 1:
+        return F.lit(True)
+    (column, unit), base = rule.terms[0], datetime.fromisoformat(rule.base)
+    second = UNIT_US["s"] / UNIT_US[unit]
+    low, high = ((moment - base).total_seconds() * second for moment in (start, end))
+    return (F.col(column) >= low - second) & (F.col(column) <= high + second)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from pathlib import Path
 
 import duckdb
 
@@ -59,7 +60,7 @@ def compare(spark, con, sf_dir, run, sql):
 
 
 def main():
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
     import __spark_entry__ as entry
     from gaugewise.session import local_session
 

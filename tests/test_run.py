@@ -95,6 +95,19 @@ def test_full_run(spark, folders, tmp_path):
     assert dict(summary.dtypes)["mean"] == "string"
 
 
+def test_run_with_every_group_hot(spark, folders, crowded):
+    run = parse_run(config(folders, scaling_method="mean_std", min_lat=-89, min_lon=-180, max_lat=89, max_lon=180))
+    plan = ValidationPlan(spark, run)
+    points = plan.reference_points()
+    got = {(r.gpi, r.combo, r.metric): r.value for r in plan.metrics(plan.matched(points)).collect()}
+    expected = brute_force(spark, folders)
+    for gpi, group in expected.groupby("gpi"):
+        assert got[gpi, "0-A_and_1-N", "n_obs"] == len(group)
+        assert got[gpi, "0-A_and_1-N", "R"] == pytest.approx(group.a.corr(group.n))
+        assert got[gpi, "0-A_and_2-R", "rho"] == pytest.approx(group.a.rank().corr(group.r.rank()))
+        assert got[gpi, "0-A_and_1-N", "BIAS"] == pytest.approx(0, abs=1e-9)
+
+
 def test_batches_resume(spark, folders, tmp_path, monkeypatch):
     run = parse_run(config(folders))
     written = []
@@ -164,6 +177,10 @@ def test_exclusive_options(spark, folders):
     )
     with pytest.raises(ValueError):
         ValidationPlan(spark, run)
+    one = config(folders)
+    del one["validation_run"]["dataset_configurations"][1:]
+    with pytest.raises(ValueError, match="two"):
+        ValidationPlan(spark, parse_run(one))
 
 
 def test_cli_run(spark, folders, tmp_path):

@@ -4,10 +4,12 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugewise.config import parse_run
 from gaugewise.sources import loaders, netcdf
-from gaugewise.sources.timestamps import adapt_timestamps, time_rule
+from gaugewise.functions.timing import within_period
+from gaugewise.sources.timestamps import adapt_timestamps, raw_period, time_rule
 from gaugewise.streaming.results import point_stream, stream_results
 
 
@@ -88,6 +90,17 @@ def test_exact_times(spark, dataset, version, row, expected):
     assert (time_rule(dataset, version) is None) == (expected == datetime(1990, 1, 1))
 
 
+def test_period_reaches_the_stored_offset(spark):
+    rows = spark.sql("SELECT id * 3600L AS acquisition_time FROM range(100)")
+    rule = time_rule("SMAP_L2", "any")
+    start, end = datetime(2000, 1, 2), datetime(2000, 1, 3)
+    coarse = adapt_timestamps(rows.where(raw_period(rule, start, end)), "SMAP_L2", "any").where(
+        within_period(F.col("ts"), start, end)
+    )
+    exact = adapt_timestamps(rows, "SMAP_L2", "any").where(within_period(F.col("ts"), start, end))
+    assert coarse.collect() == exact.collect() and exact.count() == 25
+
+
 class _Variable:
     def __init__(self, data, **attributes):
         self.data = np.ma.asarray(data)
