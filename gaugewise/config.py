@@ -17,8 +17,6 @@ from gaugewise.operators.filters import Variable
 SCALING_METHODS = ("none", "min_max", "linreg", "mean_std", "cdf_beta_match")
 ANOMALY_METHODS = ("none", "moving_avg_35_d", "climatology")
 UPSCALING_METHODS = ("none", "average")
-INTRA_ANNUAL_TYPES = ("Seasonal", "Monthly")
-PLOT_METADATA_CHOICES = ("always", "never", "threshold")
 DEFAULT_MATCHING_HOURS = 12
 FALLBACK_START = "1978-01-01"
 

@@ -37,7 +37,7 @@ POISSON_ONE = (
 
 def uniform(key: str, position: str, replicate: str) -> str:
     """A number in [0, 1) from three integers, in arithmetic that stays within 64 bits (SQL text)."""
-    seed = f"(({key}) * 7919 + ({position}) * 104729 + ({replicate}) * 1299709 + 12345) % {MODULUS}"
+    seed = f"(abs(({key}) % {MODULUS}) * 7919 + ({position}) * 104729 + ({replicate}) * 1299709 + 12345) % {MODULUS}"
     once = f"(({seed}) * {MULTIPLIER} + 11) % {MODULUS}"
     twice = f"(({once}) * 48271 + ({position}) * 65537) % {MODULUS}"
     return f"((({twice}) * {MULTIPLIER}) % {MODULUS}) / {float(MODULUS)!r}D"

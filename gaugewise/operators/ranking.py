@@ -3,9 +3,9 @@
 The built-in exact percentile keeps every distinct value of a group in one task's memory,
 and a rank window sorts a whole group in one task. Both are used while the largest group is
 small enough for that. Otherwise equal values are first merged map-side, and a hot group is
-cut into TILES value ranges at its approximate quantiles, every range being ranked on its
-own. The quantiles only balance the work: ranks and percentiles are exact wherever the cuts
-fall.
+cut into value ranges at its approximate quantiles (the more the larger it is, up to TILES),
+every range being ranked on its own. The quantiles only balance the work: ranks and
+percentiles are exact wherever the cuts fall.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from gaugewise.operators import skew
 from gaugewise.operators.skew import attach, crowding, settle
 
-TILES = 32
+TILES = 1024
+#: The range of a value is looked up among every BLOCK-th cut first, then within one block.
+BLOCK = 32
 
 
 def _quoted(keys: Sequence[str]) -> list[str]:
@@ -44,18 +46,30 @@ def cumulative_counts(rows: DataFrame, keys: Sequence[str], value: str) -> DataF
             f"sum(cnt) OVER ({group} ORDER BY v ROWS UNBOUNDED PRECEDING) - cnt AS below",
             f"sum(cnt) OVER ({group}) AS total",
         )
-    # fewer than PARTS groups of TILES ranges each, so everything broadcast below is bounded
-    hot = F.broadcast(sizes.where(F.col("_distinct") > crowd.threshold).select(*keys, "_total"))
+    # fewer than PARTS groups and at most 2 * PARTS ranges, so everything broadcast below is bounded
+    hot = F.broadcast(sizes.where(F.col("_distinct") > crowd.threshold).select(*keys, "_total", "_distinct"))
     probabilities = ", ".join(f"{i / TILES}D" for i in range(1, TILES))
+    step = f"greatest(1, floor({TILES} * {crowd.threshold!r}D / _distinct))"
     cuts = (
         values.join(hot, keys)
-        .groupBy(*keys, "_total")
-        .agg(F.expr(f"approx_percentile(v, array({probabilities}), 1000)").alias("_cuts"))
+        .groupBy(*keys, "_total", "_distinct")
+        .agg(F.expr(f"approx_percentile(v, array({probabilities}), 10000)").alias("_all"))
+        .withColumn("_cuts", F.expr(f"filter(_all, (c, i) -> (i + 1) % {step} = 0)"))
+        .withColumn("_blocks", F.expr(f"filter(_cuts, (c, i) -> (i + 1) % {BLOCK} = 0)"))
+        .select(*keys, "_total", "_cuts", "_blocks")
     )
+    block = f"{BLOCK} * size(filter(_blocks, c -> c < v))"
     tiled = (
         values.join(F.broadcast(cuts), keys, "left")
-        .withColumn("_tile", F.expr("CASE WHEN _cuts IS NULL THEN 0 ELSE size(filter(_cuts, c -> c < v)) END"))
-        .drop("_cuts")
+        .withColumn("_block", F.expr(f"CASE WHEN _cuts IS NULL THEN 0 ELSE {block} END"))
+        .withColumn(
+            "_tile",
+            F.expr(
+                "CASE WHEN _cuts IS NULL THEN 0 "
+                f"ELSE _block + size(filter(slice(_cuts, _block + 1, {BLOCK - 1}), c -> c < v)) END"
+            ),
+        )
+        .drop("_cuts", "_blocks", "_block")
     )
     offsets = (
         tiled.where(F.col("_total").isNotNull())

@@ -1,8 +1,9 @@
 """Handling of groups that hold a large share of all rows.
 
-A group counts as hot when it holds more than 1/PARTS of all rows and more than FLOOR rows.
-By the pigeonhole principle fewer than PARTS groups can be hot, so a list of them is small
-whatever the data volume and may be broadcast. Whether there are any is checked before the
+A group counts as hot when it holds more than 1/PARTS of all rows and more than FLOOR rows;
+that size is the threshold, and a hot group is split into pieces of about that size. By the
+pigeonhole principle fewer than PARTS groups can be hot and all their pieces number at most
+2 * PARTS, so lists of them are small whatever the data volume and may be broadcast. Whether there are any is checked before the
 plan is built: the usual case gets the plain plan, the skewed case the one that splits.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gaugewise.session import checkpoint_dir
 
-PARTS = 256
+PARTS = 16_384
 FLOOR = 1_000_000
 #: Copies of one row that travel together.
 CHUNK = 100_000
@@ -83,7 +84,7 @@ def attach(
     hot = F.broadcast(
         stats.where(F.col(count_col) > crowd.threshold)
         .groupBy(*keys)
-        .agg(F.max(F.ceil(F.col(count_col) * (PARTS / crowd.total))).cast("int").alias("_splits"))
+        .agg(F.max(F.ceil(F.col(count_col) / crowd.threshold)).cast("int").alias("_splits"))
     )
     splits = F.coalesce("_splits", F.lit(1))
     chunks = (
@@ -95,7 +96,7 @@ def attach(
     salted_rows = chunks.join(hot, keys, "left").select(
         *rows.columns,
         "_size",
-        F.pmod(F.xxhash64(*rows.columns) + F.col("_chunk"), splits).cast("int").alias("_salt"),
+        F.pmod(F.pmod(F.xxhash64(*rows.columns), splits) + F.col("_chunk"), splits).cast("int").alias("_salt"),
     )
     salted_stats = (
         stats.drop(count_col)

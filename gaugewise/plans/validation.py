@@ -10,7 +10,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewise.config import DatasetConfig, RunConfig
+from gaugewise.config import ANOMALY_METHODS, SCALING_METHODS, UPSCALING_METHODS, DatasetConfig, RunConfig
 from gaugewise.functions import stats
 from gaugewise.functions.geo import in_bbox
 from gaugewise.functions.timing import half_window_us, within_period
@@ -51,6 +51,15 @@ class ValidationPlan:
     def __init__(self, spark: SparkSession, run: RunConfig, sources: dict[int, Source] | None = None):
         if run.intra_annual_metrics and run.stability_metrics:
             raise ValueError("intra-annual and stability metrics exclude each other")
+        if run.intra_annual_metrics and run.intra_annual_type not in INTRA_ANNUAL:
+            raise ValueError(f"intra_annual_type has to be one of {', '.join(INTRA_ANNUAL)}")
+        for name, choices in (
+            ("scaling_method", SCALING_METHODS),
+            ("anomalies", ANOMALY_METHODS),
+            ("upscaling_method", UPSCALING_METHODS),
+        ):
+            if getattr(run, name) not in choices:
+                raise ValueError(f"{name} has to be one of {', '.join(choices)}")
         if len(run.datasets) < 2:
             raise ValueError("a run needs at least two dataset configurations")
         if len({config.id for config in run.datasets}) < len(run.datasets):

@@ -38,3 +38,4 @@ def crowded(monkeypatch):
     from gaugewise.operators import skew
 
     monkeypatch.setattr(skew, "FLOOR", 0)
+    monkeypatch.setattr(skew, "PARTS", 256)

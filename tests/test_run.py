@@ -177,6 +177,9 @@ def test_exclusive_options(spark, folders):
     )
     with pytest.raises(ValueError):
         ValidationPlan(spark, run)
+    for wrong in ({"scaling_method": "magic"}, {"upscaling_method": "x"}, {"intra_annual_metrics": True}):
+        with pytest.raises(ValueError, match="has to be one of"):
+            ValidationPlan(spark, parse_run(config(folders, **wrong)))
     one = config(folders)
     del one["validation_run"]["dataset_configurations"][1:]
     with pytest.raises(ValueError, match="two"):
