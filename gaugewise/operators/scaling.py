@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugewise.functions.beta import distinct_percentiles
 from gaugewise.operators.ranking import percentiles
-from gaugewise.operators.skew import attach
+from gaugewise.operators.skew import attach, settle
 
 # Percentiles at which two distributions are matched.
 CDF_PERCENTILES = (0, 5, 10, 30, 50, 70, 90, 95, 100)
@@ -31,10 +31,12 @@ def scale(
     """
     if method == "none":
         return matched
-    if method in ("cdf_match", "cdf_beta_match"):
-        return _cdf_match(matched, reference, list(others), list(by), beta=method == "cdf_beta_match")
     if method not in METHODS:
         raise ValueError(f"unknown scaling method {method!r}")
+    # read twice below: once for the statistics, once to apply them
+    matched = settle(matched)
+    if method in ("cdf_match", "cdf_beta_match"):
+        return _cdf_match(matched, reference, list(others), list(by), beta=method == "cdf_beta_match")
     x = f"`{reference}`"
     aggregates, scaled = ["count(1) AS _n"], {}
     if method == "min_max":
