@@ -19,7 +19,7 @@ BUCKETS = 1 << 16
 #: Trusted texts that the target multinomial is counted from, at most (about; see ``bounded``).
 TRUSTED_DOCS = 20_000
 #: Least mean log ratio of a kept text, in thousandths.
-THRESHOLD = -250
+THRESHOLD = -150
 
 #: Strength of the background when a bucket of the target multinomial is smoothed, in n-grams.
 SMOOTHING = 2.0
@@ -29,56 +29,59 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
-def _at(array: Column, index: Column) -> Column:
-    return F.get(array, index.cast("int"))
+def _shift(array: Column, by: int, length: Column | None = None) -> Column:
+    """``array`` without its first elements."""
+    return F.slice(array, by + 1, F.greatest(F.size(array) - by, F.lit(0)) if length is None else length)
 
 
-def n_gram_buckets(hashes: Column) -> Column:
-    """Buckets of the words and of the pairs of neighbours, from the words' hashes."""
-    pairs = F.when(
-        F.size(hashes) >= 2,
-        F.transform(
-            F.sequence(F.lit(0), F.size(hashes) - 2), lambda i: F.xxhash64(_at(hashes, i), _at(hashes, i + 1))
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(F.concat(hashes, pairs), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
+# Arrays are zipped with shifted copies: an array named inside a lambda could be computed again for
+# every element, once the optimizer has put its expression in the place of its name.
 
 
-def repeat_words(hashes: Column) -> Column:
-    """Words inside five-word windows that occur twice or more, the first occurrence included."""
-    starts = F.sequence(F.lit(0), F.size(hashes) - 5)
-    window = F.transform(starts, lambda i: F.xxhash64(*(_at(hashes, i + k) for k in range(5))))
-    return F.when(F.size(hashes) < 5, F.array().cast("array<bigint>")).otherwise(window)
-
-
-def _covered(windows: Column) -> Column:
-    """Words covered by repeated windows: sorted by hash, a repeated one has an equal neighbour; sorted
-    by place, each covers the words up to the next one, five at most."""
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    last = F.size(windows) - 1
-    repeated = F.filter(
-        F.transform(
-            placed,
-            lambda x, k: F.when(
-                ((k > 0) & (_at(placed, k - 1)["h"] == x["h"])) | ((k < last) & (_at(placed, k + 1)["h"] == x["h"])),
-                x["i"],
-            ),
-        ),
-        lambda i: i.isNotNull(),
-    )
-    return F.array_sort(repeated)
+def pairs_of(hashes: Column) -> Column:
+    """Hashes of the pairs of neighbouring words."""
+    n = F.greatest(F.size(hashes) - 1, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), _shift(hashes, 1, n), lambda a, b: F.xxhash64(a, b))
+
+
+def windows_of(hashes: Column, pairs: Column) -> Column:
+    """Hashes of the five-word windows: two pairs and a word."""
+    n = F.greatest(F.size(hashes) - 4, F.lit(0))
+    fours = F.zip_with(F.slice(pairs, 1, n), _shift(pairs, 2, n), lambda a, b: F.xxhash64(a, b))
+    return F.zip_with(fours, _shift(hashes, 4, n), lambda a, b: F.xxhash64(a, b))
+
+
+def _placed(windows: Column) -> Column:
+    """Hash and place of each window, sorted; empty where no window is repeated."""
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeats = F.size(windows) > F.size(F.array_distinct(windows))
+    return F.when(repeats, placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+
+
+def _equal_next(placed: Column) -> Column:
+    return F.zip_with(placed, _shift(placed, 1), lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False)))
+
+
+def _repeated(placed: Column, equal_next: Column) -> Column:
+    """Places of the repeated windows, ascending: in ``placed`` a repeated one has an equal neighbour."""
+    before = F.slice(F.concat(F.array(F.lit(False)), equal_next), F.lit(1), F.size(equal_next))
+    either = F.zip_with(equal_next, before, lambda a, b: a | b)
+    places = F.zip_with(placed, either, lambda x, repeated: F.when(repeated, x["i"]))
+    return F.sort_array(F.filter(places, lambda i: i.isNotNull()))
 
 
 def _covered_words(places: Column) -> Column:
-    return F.aggregate(
-        F.transform(places, lambda p, k: F.least(F.lit(5), F.coalesce(_at(places, k + 1) - p, F.lit(5)))),
-        F.lit(0).cast("long"),
-        lambda total, n: total + n,
-    )
+    """Each repeated window covers the words up to the next one, five at most."""
+    lengths = F.zip_with(places, _shift(places, 1), lambda p, q: F.least(F.lit(5), F.coalesce(q - p, F.lit(5))))
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda total, n: total + n)
+
+
+def buckets_of(hashes: Column, pairs: Column) -> Column:
+    return F.transform(F.concat(hashes, pairs), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
 
 
 def form_counts(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    """``keep`` plus the counts of bad form, the words' hashes, and base_failed."""
+    """``keep`` plus the counts of bad form, hashes of the words and pairs, and base_failed."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
     step = docs.select(*keep, text.alias("text")).select(
@@ -92,13 +95,14 @@ def form_counts(docs: DataFrame, text: Column, keep: list[str]) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    step = step.withColumn("windows", repeat_words(F.col("hashes")))
-    places = F.when(
-        F.size("windows") > F.size(F.array_distinct("windows")), _covered(F.col("windows"))
-    ).otherwise(F.array().cast("array<int>"))
-    step = step.withColumn("places", places).withColumn("n_repeat_words", _covered_words(F.col("places")))
+    step = step.withColumn("pairs", pairs_of(F.col("hashes")))
+    step = step.withColumn("windows", windows_of(F.col("hashes"), F.col("pairs")))
+    step = step.withColumn("placed", _placed(F.col("windows")))
+    step = step.withColumn("equal_next", _equal_next(F.col("placed")))
+    step = step.withColumn("places", _repeated(F.col("placed"), F.col("equal_next")))
+    step = step.withColumn("n_repeat_words", _covered_words(F.col("places")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return step.drop("windows", "places").withColumn("base_failed", failed)
+    return step.drop("windows", "placed", "equal_next", "places").withColumn("base_failed", failed)
 
 
 def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", most: int = TRUSTED_DOCS) -> list[int]:
@@ -115,7 +119,8 @@ def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "t
     hashes = marked.select(
         F.col("trusted_key").isNotNull().alias("target"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes")
     )
-    grams = hashes.select("target", F.explode(n_gram_buckets(F.col("hashes"))).alias("bucket"))
+    hashes = hashes.withColumn("pairs", pairs_of(F.col("hashes")))
+    grams = hashes.select("target", F.explode(buckets_of(F.col("hashes"), F.col("pairs"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(
         F.count("*").alias("raw"), F.sum(F.col("target").cast("long")).alias("target")
     ).collect()  # one row for each bucket at most
@@ -143,12 +148,14 @@ def judge(
     # one literal of fixed length: folded once, and the same for every row
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
     step = form_counts(docs, F.col(text), keep)
-    step = step.withColumn("buckets", n_gram_buckets(F.col("hashes"))).drop("hashes")
+    step = step.withColumn("buckets", buckets_of(F.col("hashes"), F.col("pairs"))).drop("hashes", "pairs")
     step = step.withColumn(
-        "score", F.aggregate("buckets", F.lit(0).cast("long"), lambda total, b: total + _at(table, b))
+        "score", F.aggregate("buckets", F.lit(0).cast("long"), lambda total, b: total + F.get(table, b))
     ).withColumn("n_grams", F.size("buckets").cast("long"))
     kept = ~F.col("base_failed") & (F.col("score") >= threshold * F.col("n_grams"))
-    return step.drop("buckets").withColumn("kept", kept)
+    step = step.drop("buckets").withColumn("kept", kept)
+    # a generator, so that a later filter is not pushed down and the counts made once more for it
+    return step.select(F.inline(F.array(F.struct(*step.columns))))
 
 
 def trusted_keys(labels: DataFrame) -> DataFrame:
