@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gaugewise.llm import bpe, html, secrets
+from gaugewise.llm import bpe, html, secrets, toxicity
 from gaugewise.llm.common import table
 from gaugewise.llm.registry import query
 
 
+@query("op2_toxic_kernel")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op3_html_text")
 def op3(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
