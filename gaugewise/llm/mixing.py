@@ -160,3 +160,20 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
             ).alias("taken"),
         )
     )
+
+
+def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is used, with its columns as they are.
+
+    Documents stay whole. A use counts if half of the document's words at least are taken, so of each
+    source's documents in a shard one at most is rounded. Rows equal in doc_id and size share their
+    uses evenly.
+    """
+    taken = mix(docs, seed=seed).groupBy("doc_id", "size").agg((F.sum("taken") / F.count("*")).alias("taken"))
+    taken = taken.select(F.col("doc_id").alias("k2"), F.col("size").alias("s2"), "taken").filter("s2 > 0 AND taken > 0")
+    rows = docs.select(
+        F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("doc_id").alias("k"), size_of(F.col("text")).alias("s")
+    )
+    used = rows.join(taken, F.col("k").eqNullSafe(F.col("k2")) & (F.col("s") == F.col("s2")))
+    uses = F.floor(F.col("taken") / F.col("s") + 0.5).cast("int")
+    return used.withColumn("use", F.explode(F.array_repeat(F.lit(0), uses))).select("row.*")
