@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from gaugewise.llm.common import SPACE, WORD, bounded
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: Trusted texts that the target multinomial is counted from, at most (about; see ``bounded``).
 TRUSTED_DOCS = 20_000
 #: Least mean log ratio of a kept text, in thousandths.
-THRESHOLD = -150
+THRESHOLD = -100
 
 #: Strength of the background when a bucket of the target multinomial is smoothed, in n-grams.
-SMOOTHING = 2.0
+SMOOTHING = 10.0
 
 
 def words_of(text: Column) -> Column:
