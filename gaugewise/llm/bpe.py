@@ -110,7 +110,7 @@ class Vocabulary:
         return [self.lettered(word) for stretch in text.split() for word in _PIECES.findall(stretch.lower())]
 
     def lettered(self, word: str) -> str:
-        if word.isascii():
+        if word.isascii() and word.isprintable():  # and no space, in a word
             return word
         return "".join(map(self.letters.__getitem__, word.encode()))
 

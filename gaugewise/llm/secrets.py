@@ -37,6 +37,9 @@ SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 _CODE = {c: k for k, c in enumerate(SYMBOLS)}
 N = len(SYMBOLS)
 
+#: Weight, in characters, of single characters against pairs.
+BACKING = 10.0
+
 #: Total log-likelihood ratio, and its mean per character, from which a token is a secret.
 MIN_TOTAL, MIN_MEAN = 20.0, 0.7
 
@@ -70,8 +73,7 @@ def samples(text: str) -> tuple[list[str], list[str]]:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE_DOCS) -> list[list[float]]:
     """Log-likelihood ratio of each character pair, random against ordinary.
 
-    Counted over about ``most`` documents at most, chosen by a hash of their key. Every pair starts
-    with one count, so a pair never seen weighs as in uniform strings.
+    Counted over about ``most`` documents at most, chosen by a hash of their key.
     """
 
     def count(batches):
@@ -91,13 +93,20 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SA
 
     chosen = bounded(docs.select(F.col(key), F.col(text).cast("string").alias("text")), F.col(key), most)
     counted = chosen.select("text").mapInArrow(count, "label int, a string, b string, n long")
-    table = np.ones((2, N, N))
-    for row in counted.groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
-        table[row.label, _CODE[row.a], _CODE[row.b]] += row.n
-    logs = np.log(table / table.sum(2, keepdims=True))
+    counts = np.zeros((2, N, N))
+    for row in counted.groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():  # a row for each pair at most
+        counts[row.label, _CODE[row.a], _CODE[row.b]] += row.n
+    logs = np.log(chain(counts))
     return (logs[1] - logs[0]).tolist()
 
 
+def chain(counts: np.ndarray) -> np.ndarray:
+    """Transition probabilities; a rare first character leans on how often the second one is met at all."""
+    single = counts.sum(-2, keepdims=True) + 1
+    single = single / single.sum(-1, keepdims=True)
+    return (counts + BACKING * single) / (counts.sum(-1, keepdims=True) + BACKING)
+
+
 def markov_spans(text: str, ratio: list[list[float]]) -> list[tuple[int, int, str]]:
     out = []
     for m in _TOKEN.finditer(text):

@@ -29,8 +29,9 @@ from gaugewise.llm.common import ROWS_AT_ONCE, bounded, row_slices, stored
 DECAY = 0.5
 #: Labelled documents, example words of a class, and landmarks, at most.
 TRAIN_DOCS, TOXIC_WORDS, CLEAN_WORDS, LANDMARKS = 20_000, 2_000, 12_000, 256
-#: A toxic word is met in so many toxic documents at least, and so many times as often as in clean ones.
-MIN_DOCS, MIN_ODDS = 3, 6.0
+#: A toxic word's documents differ from chance by this log-likelihood ratio (G squared) at least, and
+#: the odds of being toxic are so many times those of all documents.
+MIN_RATIO, MIN_ODDS = 16.0, 6.0
 #: Rounds in which the clean words that the machine takes for toxic join the examples, and how many.
 ROUNDS, HARD_WORDS = 3, 3_000
 #: Longer words are read in windows of this many letters that overlap by half.
@@ -306,8 +307,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = TRAI
     if not n_bad or not n_good:
         return Model()
     odds = (F.col("bad") + 0.5) / (F.col("good") + 0.5) * (n_good / n_bad)
-    is_toxic = (F.col("bad") >= MIN_DOCS) & (odds >= MIN_ODDS)
-    strength = F.col("bad") * F.log(odds)
+    share = n_bad / (n_bad + n_good)
+    met = F.col("bad") + F.col("good")
+    strength = 2 * sum(
+        F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (met * p))).otherwise(0.0) for c, p in (("bad", share), ("good", 1 - share))
+    )
+    is_toxic = (strength >= MIN_RATIO) & (odds >= MIN_ODDS)
     toxic = counts.filter(is_toxic).orderBy(F.desc(strength), "word").limit(TOXIC_WORDS).select("word", strength.alias("n")).collect()
     others = counts.filter(~is_toxic & (F.col("good") > 0)).select("word", "good")
     common = others.orderBy(F.desc("good"), "word").limit(CLEAN_WORDS // 3).collect()
