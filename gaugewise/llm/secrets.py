@@ -57,10 +57,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def samples(text: str) -> tuple[list[str], list[str]]:
-    """Labelled samples of a text: values of the fixed patterns, and identifiers outside of them."""
+    """Labelled samples of a text: values of the fixed patterns, and identifiers outside of them and
+    of the tokens that are to be judged."""
     spans = base_spans(text)
     secret = [text[a:b] if kind != "assign" else _ASSIGN.match(text, a)[2] for a, b, kind in spans]
-    covered = sorted((a, b) for a, b, _ in spans)
+    unknown = [(m.start(), m.end()) for m in _TOKEN.finditer(text) if _DIGIT.search(m[0])]
+    covered = sorted([(a, b) for a, b, _ in spans] + unknown)
     plain, k = [], 0
     for m in _IDENTIFIER.finditer(text):
         while k < len(covered) and covered[k][1] <= m.start():
