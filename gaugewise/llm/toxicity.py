@@ -133,20 +133,27 @@ class Kernel:
         pairs = same * (decay @ same @ decay.T)
         return (same * (decay @ pairs @ decay.T)).sum((1, 2)) * DECAY**2
 
-    def features(self, words: list[str]) -> np.ndarray:
-        """Normalised weight of every triple, a row for each word; for landmarks only."""
-        out = np.zeros((len(words), CODES**3))
-        for rows, triples, weights, own in self.matrices(words):
-            for row, t, w, norm in zip(rows, triples, weights, own):
-                if norm > 0:
-                    np.add.at(out[row], t, w / norm)
-        return out
-
-    def against(self, words: list[str], landmarks: np.ndarray) -> np.ndarray:
-        """Normalised kernel of words with landmarks, given the landmarks' features."""
+    def landmarks(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Normalised weights, a row for each word and a column for each triple met; and each triple's
+        column. Triples that no landmark has share the last column, which is empty."""
+        rows, triples, weights = [], [], []
+        for chosen, t, w, own in self.matrices(words):
+            rows.append(np.repeat(chosen, t.shape[1]))
+            triples.append(t.ravel())
+            weights.append((w / np.where(own > 0, own, np.inf)[:, None]).ravel())
+        row, triple, weight = map(np.concatenate, (rows, triples, weights))
+        met = np.unique(triple[weight > 0])
+        column = np.full(CODES**3, len(met))
+        column[met] = np.arange(len(met))
+        out = np.zeros((len(words), len(met) + 1))
+        np.add.at(out, (row, column[triple]), weight)
+        return out, column
+
+    def against(self, words: list[str], landmarks: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """Normalised kernel of words with landmarks."""
         by_triple, out = np.ascontiguousarray(landmarks.T), np.zeros((len(words), len(landmarks)))
         for rows, triples, weights, own in self.matrices(words):
-            for row, t, w, norm in zip(rows, triples, weights, own):
+            for row, t, w, norm in zip(rows, column[triples], weights, own):
                 if norm > 0:
                     out[row] = w @ by_triple[t] / norm
         return out
@@ -181,18 +188,18 @@ def train_words(toxic: list[tuple[str, float]], clean: list[tuple[str, float]])
     kernel = Kernel()
     n = min(LANDMARKS * 3 // 4, len(toxic))
     marks = [w for w, _ in toxic[:n]] + [w for w, _ in clean[: LANDMARKS - n]]
-    features = kernel.features(marks)
+    features, column = kernel.landmarks(marks)
     values, vectors = np.linalg.eigh(features @ features.T)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    x = kernel.against([w for w, _ in toxic + clean], features) @ root
+    x = kernel.against([w for w, _ in toxic + clean], features, column) @ root
     x = np.column_stack([x, np.ones(len(x))])
     y = np.repeat([1.0, -1.0], [len(toxic), len(clean)])
     c = np.array([v for _, v in toxic + clean], float)
     for label in (1.0, -1.0):
         c[y == label] *= WEIGHT / c[y == label].sum()
     w = _squared_hinge(x, y, c)
-    return Words((root @ w[:-1]) @ features, float(w[-1]))
+    return Words(((root @ w[:-1]) @ features)[column], float(w[-1]))
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> np.ndarray:
