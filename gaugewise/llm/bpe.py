@@ -25,15 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gaugewise.llm.common import ROWS_AT_ONCE, SPACE, stored
+from gaugewise.llm.common import SPACE, stored
 from gaugewise.session import checkpoint_dir
 
 #: A word belongs to the lexicon if it makes up this share of all words; so there are at most
 #: a million of them, whatever the size of the corpus.
 MIN_SHARE = 1 / 1_000_000
 
-#: Distinct stretches between white space that a task keeps at hand before it starts afresh.
-KEPT = 400_000
+#: Rows encoded at once, and distinct stretches between white space that a task keeps at hand before it starts afresh.
+ROWS, KEPT = 512, 150_000
 
 #: Words with more letters are merged alone.
 LONG = 40
@@ -414,8 +414,8 @@ def encode(
         vocabulary = Vocabulary(vocabulary_path)
         encoder, decoder = Encoder(vocabulary, Lexicon(SparkFiles.get(name))), Decoder(vocabulary)
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(start, ROWS_AT_ONCE)
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
                 ids = encoder.encode([value or "" for value in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [
