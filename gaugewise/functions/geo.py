@@ -35,20 +35,16 @@ def with_unit_vector(points: DataFrame, lon: str = "lon", lat: str = "lat") -> D
 
 
 def longitude_ranges(min_lon: float, max_lon: float) -> list[tuple[float, float]]:
-    """Longitude ranges within [-180, 180] covered by a box whose limits may lie outside of it."""
-    if max_lon - min_lon >= 360:
+    """Longitude ranges within [-180, 180] that a box covers, wherever its limits lie.
+
+    A box is a start on the circle and a width; one that runs over the antimeridian is two ranges.
+    """
+    width = max_lon - min_lon
+    if width >= 360:
         return [(-180.0, 180.0)]
-    if min_lon > 180.0:
-        turns = round(min_lon / 360.0) * 360.0
-        min_lon, max_lon = min_lon - turns, max_lon - turns
-    if max_lon < -180.0:
-        turns = round(max_lon / -360.0) * 360.0
-        min_lon, max_lon = min_lon + turns, max_lon + turns
-    if max_lon > 180.0:
-        return [(min_lon, 180.0), (-180.0, max_lon - 360.0)]
-    if min_lon < -180.0:
-        return [(min_lon + 360.0, 180.0), (-180.0, max_lon)]
-    return [(min_lon, max_lon)]
+    start = min_lon if -180 <= min_lon <= 180 else (min_lon + 180) % 360 - 180
+    end = start + width
+    return [(start, end)] if end <= 180 else [(start, 180.0), (-180.0, end - 360)]
 
 
 def in_bbox(min_lat, min_lon, max_lat, max_lon, lon: str = "lon", lat: str = "lat"):

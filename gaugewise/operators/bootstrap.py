@@ -3,8 +3,8 @@
 Every matched row draws a Poisson(1) weight per replicate instead of being resampled by
 index: the weighted moments of all replicates then come out of one aggregation with
 map-side combine, where index resampling would need a self-join of every series. The draws
-come from integer arithmetic on (location, day, replicate), so a rerun of a lost task gives
-the same result.
+are slices of the MD5 of (location, microsecond, block of replicates), so rows, replicates
+and locations are independent, and a rerun of a lost task gives the same result.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from gaugewise.functions import stats
 REPLICATES = 100
 CONFIDENCE = 0.95
 
-# The generator x -> (A x + C) mod M and the Poisson(1) distribution function.
-MODULUS = 2_147_483_647
-MULTIPLIER = 16_807
+#: Replicates that one hash serves, with four hex digits each.
+BLOCK, DIGITS = 8, 4
+# The Poisson(1) distribution function.
 POISSON_ONE = (
     0.36787944117144233,
     0.7357588823428847,
@@ -35,32 +35,37 @@ POISSON_ONE = (
 )
 
 
-def uniform(key: str, position: str, replicate: str) -> str:
-    """A number in [0, 1) from three integers, in arithmetic that stays within 64 bits (SQL text)."""
-    seed = f"(abs(({key}) % {MODULUS}) * 7919 + ({position}) * 104729 + ({replicate}) * 1299709 + 12345) % {MODULUS}"
-    once = f"(({seed}) * {MULTIPLIER} + 11) % {MODULUS}"
-    twice = f"(({once}) * 48271 + ({position}) * 65537) % {MODULUS}"
-    return f"((({twice}) * {MULTIPLIER}) % {MODULUS}) / {float(MODULUS)!r}D"
+def hashes(key: str, micros: str, replicates: int) -> str:
+    """One MD5 for each block of replicates (SQL text)."""
+    blocks = ", ".join(f"md5(concat_ws('|', {key}, {micros}, '{b}'))" for b in range(-(-replicates // BLOCK)))
+    return f"array({blocks})"
 
 
-def poisson_weight(u: str) -> str:
-    """Poisson(1) weight of a uniform number (SQL text)."""
-    cases = " ".join(f"WHEN {u} < {limit!r}D THEN {k}" for k, limit in enumerate(POISSON_ONE))
-    return f"CASE {cases} ELSE {len(POISSON_ONE)} END"
+def poisson_weight(draw: str) -> str:
+    """Poisson(1) weight of a number in hex digits, which sort like the numbers they stand for (SQL text)."""
+    limits = [f"{round(limit * 16**DIGITS):0{DIGITS}x}" for limit in POISSON_ONE if round(limit * 16**DIGITS) < 16**DIGITS]
+    cases = " ".join(f"WHEN {draw} < '{limit}' THEN {k}" for k, limit in enumerate(limits))
+    return f"CASE {cases} ELSE {len(limits)} END"
 
 
 def replicate_moments(
     matched: DataFrame, names: Sequence[str], by: Sequence[str] = ("gpi",), replicates: int = REPLICATES
 ) -> DataFrame:
-    """Weighted sample covariances of the three series per group and replicate (prefix ``_b_``)."""
+    """Weighted sample covariances of the three series per group and replicate (prefix ``_b_``).
+
+    One replicate more than asked for comes last: the sample itself, with weight one for every row.
+    """
     x, y, z = (f"`{n}`" for n in names)
-    key = f"`{by[0]}`"
-    day = "datediff(ts, DATE'1970-01-01') + 50000"
+    blocks = hashes(f"`{by[0]}`", "_t", replicates)
+    draw = f"substring(_h[replicate div {BLOCK}], replicate % {BLOCK} * {DIGITS} + 1, {DIGITS})"
     drawn = (
-        matched.selectExpr(*[f"`{k}`" for k in by], f"{x} AS x", f"{y} AS y", f"{z} AS z", f"CAST({day} AS BIGINT) AS _d")
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .withColumn("_u", F.expr(uniform(key, "_d", "replicate")))
-        .withColumn("_w", F.expr(poisson_weight("_u")))
+        matched.selectExpr(
+            *[f"`{k}`" for k in by], f"{x} AS x", f"{y} AS y", f"{z} AS z", f"unix_micros(CAST(ts AS TIMESTAMP)) AS _t"
+        )
+        .withColumn("_h", F.expr(blocks))
+        # the last one is the sample itself, which tells how many rows a group has
+        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+        .withColumn("_w", F.expr(f"CASE WHEN replicate = {replicates} THEN 1 ELSE {poisson_weight(draw)} END"))
         .where("_w > 0")
     )
     pairs = {"xx": "x*x", "yy": "y*y", "zz": "z*z", "xy": "x*y", "xz": "x*z", "yz": "y*z"}
@@ -84,7 +89,8 @@ def triple_intervals(
     replicates: int = REPLICATES,
     confidence: float = CONFIDENCE,
 ) -> DataFrame:
-    """``by, metric, dataset, lower, upper``: percentile intervals of snr, beta and err_std.
+    """``by, metric, dataset, lower, upper``: percentile intervals of snr, beta and err_std, null
+    where a group has too few rows for the metrics themselves.
 
     The percentiles are over ``replicates`` values per group, a fixed number.
     """
@@ -95,11 +101,14 @@ def triple_intervals(
         for side, dataset in zip(stats.TRIPLE_SIDES, names)
     )
     tail = (1 - confidence) / 2
+    drawn, rows = f"replicate < {replicates}", f"max(CASE WHEN replicate = {replicates} THEN _b_n END)"
     return (
-        moments.selectExpr(*[f"`{k}`" for k in by], f"inline(array({entries}))")
+        moments.selectExpr(*[f"`{k}`" for k in by], "replicate", "_b_n", f"inline(array({entries}))")
         .groupBy(*by, "metric", "dataset")
         .agg(
-            F.expr(f"percentile(value, {tail!r}D)").alias("lower"),
-            F.expr(f"percentile(value, {1 - tail!r}D)").alias("upper"),
+            *[
+                F.expr(f"CASE WHEN {rows} >= {stats.MIN_OBS} THEN percentile(CASE WHEN {drawn} THEN value END, {q!r}D) END").alias(name)
+                for name, q in (("lower", tail), ("upper", 1 - tail))
+            ]
         )
     )

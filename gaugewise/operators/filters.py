@@ -10,6 +10,7 @@ it; a missing flag word counts as "no flag set".
 
 from __future__ import annotations
 
+import logging
 import operator
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from gaugewise.functions.flags import has_no_bit_group
 
+LOG = logging.getLogger(__name__)
+
 COMPARE = {
     "==": operator.eq,
     "<": operator.lt,
@@ -166,10 +169,18 @@ def threshold_condition(name: str, parameter: str | float) -> Column | None:
     return COMPARE[op](F.col(column), F.lit(float(parameter)))
 
 
+def is_known(name: str) -> bool:
+    return name in {VALID_RANGE, DEPTH, NETWORKS, FRM, *COMPARISON_FILTERS, *BIT_FILTERS, *THRESHOLD_FILTERS}
+
+
 def keep(
     variable: Variable, filters: Iterable[str] = (), parametrised: Iterable[tuple[str, str]] = ()
 ) -> Column:
-    """Conjunction of all active filters; unknown names are ignored."""
+    """Conjunction of all active filters. Names that filter neither rows nor stations are logged."""
+    parametrised, filters = list(parametrised), list(filters)
+    for name in [*filters, *(name for name, _ in parametrised)]:
+        if not is_known(name):
+            LOG.warning("no filter %r; it is left out", name)
     conditions = [threshold_condition(name, parameter) for name, parameter in parametrised]
     conditions += [filter_condition(name, variable) for name in filters]
     return reduce(operator.and_, [c for c in conditions if c is not None], F.lit(True))

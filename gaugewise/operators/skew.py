@@ -10,6 +10,7 @@ plan is built: the usual case gets the plain plan, the skewed case the one that
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -34,12 +35,31 @@ def settle(frame: DataFrame) -> DataFrame:
         return frame
     spark = frame.sparkSession
     path = f"{checkpoint_dir(spark)}/gaugewise/{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     frame.write.parquet(path)
     stored = spark.read.schema(frame.schema).parquet(path)
     stored._settled = True
     return stored
 
 
+#: Folders written inside each open ``intermediate_results``.
+_written: list[list[str]] = []
+
+
+@contextmanager
+def intermediate_results(spark):
+    """Removes what ``settle`` wrote inside, once the results that needed it are written."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for written in _written.pop():
+            path = jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(conf).delete(path, True)
+
+
 @dataclass(frozen=True)
 class Crowding:
     """Total rows, rows of the largest group, and the size from which a group is hot."""

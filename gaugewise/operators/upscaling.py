@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.functions.stats import pearson
-from gaugewise.operators.skew import attach
+from gaugewise.operators.skew import attach, settle
 from gaugewise.operators.spatial import nearest
 
 
@@ -41,6 +41,7 @@ def upscale(
     mapping = lut.select("gpi", "ref_gpi").join(sizes, "gpi")
     placed = attach(series.select("gpi", "ts", "value"), mapping, ["gpi"])
     if temporal_stability:
+        placed = settle(placed)  # for the means, the fits and the result
         stable = stable_points(placed, r_min, see_max, min_stations)
         placed = attach(placed, stable, ["ref_gpi", "gpi"])
     return placed.groupBy(F.col("ref_gpi").alias("gpi"), "ts").agg(F.avg("value").alias("value"))

@@ -3,6 +3,7 @@
 from gaugewise.plans import (  # noqa: F401
     queries_match,
     queries_results,
+    queries_run,
     queries_scan,
     queries_series,
     queries_stream,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import math
 
 from pyspark.sql import functions as F
 
@@ -23,11 +23,6 @@ TRIPLE = """triple AS (SELECT gpi, ts, s + e1 AS x, 0.8 * s + e2 AS y, 1.1 * s +
     100 * avg(l_tax) AS e2, avg(l_linenumber) AS e3 FROM lineitem GROUP BY 1, 2))"""
 
 
-def plain_sql(text: str) -> str:
-    """Spark's double literals without their suffix."""
-    return re.sub(r"(\d)D\b", r"\1", text)
-
-
 # --- anomalies --------------------------------------------------------------------------------
 
 
@@ -258,26 +253,34 @@ _run, _sql = _register_triple(
 )
 query("tcol_snr_uncorrelated", _sql)(_run)
 
-_U = plain_sql(bootstrap.uniform("gpi", "day", "rep"))
-_W = plain_sql(bootstrap.poisson_weight("u"))
+# weights written anew: an integer cut from the hash, held against the cumulated probabilities of Poisson(1)
+_DRAW = "('0x' || substr(md5(gpi || '|' || epoch_us(ts) || '|' || (rep // 8)), CAST(rep % 8 * 4 + 1 AS BIGINT), 4))::INTEGER"
+_CUMULATED = [round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(9)]
+_W = " + ".join(f"CAST(u >= {limit} AS INTEGER)" for limit in _CUMULATED)
 _BOOT_Q = {name: f"(sum(w * {name[0]} * {name[1]}) - sum(w * {name[0]}) * sum(w * {name[1]}) / sum(w)) / (sum(w) - 1)"
            for name in ("xx", "yy", "zz", "xy", "xz", "yz")}
 _TAIL = (1 - bootstrap.CONFIDENCE) / 2
 
 
+def _interval(q):
+    return f"CASE WHEN any_value(n) >= {stats.MIN_OBS} THEN quantile_cont(value, {q!r}) END"
+
+
+
+
 @query(
     "tcol_bootstrap_ci",
-    f"""WITH {TRIPLE}, draws AS (SELECT gpi, rep, x, y, z, {_U} AS u FROM (SELECT *,
-            CAST(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) + 50000 AS BIGINT) AS day FROM triple),
-            range(0, {bootstrap.REPLICATES}) t(rep)),
+    f"""WITH {TRIPLE}, draws AS (SELECT gpi, rep, x, y, z, {_DRAW} AS u
+            FROM triple, range(0, {bootstrap.REPLICATES}) t(rep)),
+        counts AS (SELECT gpi, count(*) AS n FROM triple GROUP BY gpi),
         weighted AS (SELECT gpi, rep, x, y, z, {_W} AS w FROM draws),
         q AS (SELECT gpi, rep, {', '.join(f'{e} AS q{n}' for n, e in _BOOT_Q.items())} FROM weighted WHERE w > 0
           GROUP BY gpi, rep HAVING sum(w) > 1),
         long AS ({' UNION ALL '.join(
             f"SELECT gpi, '{m}' AS metric, '{side}' AS dataset, {sql} AS value FROM q"
             for m, sides in _TC_SQL.items() for side, sql in sides.items())})
-        SELECT gpi, metric, dataset, {s6(f'quantile_cont(value, {_TAIL!r})', 'lower')},
-          {s6(f'quantile_cont(value, {1 - _TAIL!r})', 'upper')} FROM long GROUP BY 1, 2, 3""",
+        SELECT gpi, metric, dataset, {s6(_interval(_TAIL), 'lower')}, {s6(_interval(1 - _TAIL), 'upper')}
+        FROM long JOIN counts USING (gpi) GROUP BY 1, 2, 3""",
 )
 def tcol_bootstrap_ci(spark, d):
     intervals = bootstrap.triple_intervals(c.triple(spark, d), ["x", "y", "z"])

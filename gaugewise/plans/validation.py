@@ -22,7 +22,7 @@ from gaugewise.operators.metrics import metrics_long, pair_names, triple_names
 from gaugewise.operators.scaling import scale
 from gaugewise.operators.series import climatology_anomaly, moving_anomaly
 from gaugewise.operators.spatial import nearest
-from gaugewise.operators.skew import attach, settle
+from gaugewise.operators.skew import attach, intermediate_results, settle
 from gaugewise.operators.stability import stability_slopes
 from gaugewise.operators.subwindows import BULK, INTRA_ANNUAL, SEPARATOR, label_recurring, label_years
 from gaugewise.operators.upscaling import lookup_table, upscale
@@ -67,6 +67,7 @@ class ValidationPlan:
         require_utc(spark)
         self.spark, self.run = spark, run
         self._sources = dict(sources or {})
+        self._lookups: dict[int, DataFrame] = {}
         #: Whether the reference points of a plan are fewer than those of the reference dataset.
         self.restricted = None not in run.bbox or run.spatial_ref.reader in STATION_READERS
 
@@ -77,16 +78,30 @@ class ValidationPlan:
             self._sources[config.id] = load(self.spark, config)
         return self._sources[config.id]
 
-    def points(self, config: DatasetConfig) -> DataFrame:
-        """Points of a dataset inside the bounding box that pass its station filters."""
-        points = self.source(config).points.where(in_bbox(*self.run.bbox))
-        points = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    def eligible(self, config: DatasetConfig) -> DataFrame:
+        """Points of a dataset that have a place and pass its station filters, all over the globe."""
+        points = self.source(config).points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
         if config.reader in STATION_READERS and {"depth_from", "depth_to", "network"} <= set(points.columns):
             if flt.FRM in config.filters and "frm_class" not in points.columns:
                 LOG.warning("%s has no frm_class; its class filter is left out", config.short_name)
             points = flt.select_sensors(points, config.filters, config.parametrised_filters)
         return points
 
+    def points(self, config: DatasetConfig) -> DataFrame:
+        """Eligible points inside the bounding box."""
+        return self.eligible(config).where(in_bbox(*self.run.bbox))
+
+    def lookup(self, config: DatasetConfig) -> DataFrame:
+        """Points of a dataset under their nearest reference points.
+
+        Made once against the whole reference grid, so that neither batches nor the bounding box
+        move a point to another reference point.
+        """
+        if config.id not in self._lookups:
+            table = lookup_table(self.eligible(self.run.spatial_ref), self.eligible(config))
+            self._lookups[config.id] = settle(table)
+        return self._lookups[config.id]
+
     def series(self, config: DatasetConfig) -> DataFrame:
         """``gpi, ts, value`` of one dataset after exact times, filters and anomalies."""
         run, variable = self.run, config.variable
@@ -95,6 +110,10 @@ class ValidationPlan:
         margin = timedelta(days=ANOMALY_WINDOW_DAYS / 2) if run.anomalies == "moving_avg_35_d" else timedelta(0)
         needs_all = run.anomalies == "climatology"
         bounded = run.period is not None and not needs_all
+        if needs_all and run.period and run.anomalies_from and run.anomalies_to:
+            spans = (run.period, (run.anomalies_from, run.anomalies_to))
+            if rule:
+                raw = raw.where(raw_period(rule, *spans[0]) | raw_period(rule, *spans[1]))
         if bounded:
             start, end = run.period[0] - margin, run.period[1] + margin
             raw = raw.where(raw_period(rule, start, end)) if rule else raw
@@ -127,9 +146,10 @@ class ValidationPlan:
                 return self.series(config)
             return attach(self.series(config), reference_points.select("gpi").join(sizes, "gpi"), ["gpi"])
         if self.run.upscaling_method != "none":
-            lut = lookup_table(reference_points, self.points(config))
+            chosen = reference_points.select(F.col("gpi").alias("ref_gpi"))
+            lut = self.lookup(config).join(chosen, "ref_gpi", "left_semi")
             return upscale(self.series(config), lut, self.run.temporal_stability, sizes)
-        hits = nearest(reference_points, self.source(config).points, config.max_dist_m)
+        hits = nearest(reference_points, self.eligible(config), config.max_dist_m)
         mapping = hits.select(F.col("gpi").alias("_ref"), F.col("other_gpi").alias("gpi")).join(sizes, "gpi")
         placed = attach(self.series(config), mapping, ["gpi"])
         return placed.select(F.col("_ref").alias("gpi"), "ts", "value")
@@ -179,6 +199,7 @@ class ValidationPlan:
             rows, self.reference, self.others, by=by, triples=self.with_triples, rank_correlation=True
         )
         if self.run.stability_metrics:
+            tidy = settle(tidy)  # for the slopes and the result
             tidy = tidy.unionByName(stability_slopes(tidy).select(*tidy.columns))
         if self.with_triples and self.run.bootstrap_tcol_cis:
             for names in triple_names(self.reference, self.others):
@@ -263,6 +284,11 @@ def run_validation(
     Points are processed in ``batches`` parts; parts finished by an earlier attempt with
     the same configuration are not repeated.
     """
+    with intermediate_results(spark):
+        return _run(spark, run, output, batches, sources)
+
+
+def _run(spark: SparkSession, run: RunConfig, output: str, batches: int, sources) -> RunResult:
     plan = ValidationPlan(spark, run, sources)
     plan.restricted = plan.restricted or batches > 1
     path = sink.batch_path(output, run.settings(), batches)
@@ -271,7 +297,7 @@ def run_validation(
         done = sink.finished_batches(spark, path)
         for batch_id in (b for b in range(batches) if b not in done):
             part = sink.with_batch(points, batches).where(F.col("batch_id") == batch_id).drop("batch_id")
-            metrics = plan.metrics(settle(plan.matched(part)))
+            metrics = settle(plan.metrics(settle(plan.matched(part))))
             data = plan.source(run.spatial_ref).series
             complete = res.with_missing_points(metrics, part, data, plan.first_combo)
             sink.write_batch(complete, path, batch_id)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
+LOG = logging.getLogger(__name__)
+
 #: Used where spark-submit sets nothing else. Shuffles start with many partitions and are merged
 #: at run time to about 128 MB each, so one setting serves small and very large inputs.
 DEFAULTS = {
@@ -58,6 +61,12 @@ def require_utc(spark: SparkSession) -> None:
         raise ValueError(f"spark.sql.session.timeZone must be UTC, found {zone!r}")
 
 
+def is_local(spark: SparkSession, path: str) -> bool:
+    """Whether a path lies in the machine's own file system, where it may or may not be a shared mount."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster; a scratch one only where none is set."""
     sc = spark.sparkContext
@@ -66,6 +75,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
         configured = tempfile.mkdtemp(prefix="gaugewise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    elif not sc.master.startswith("local") and is_local(spark, configured):
+        LOG.warning("spark.checkpoint.dir has to be mounted on every machine: %s", configured)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured

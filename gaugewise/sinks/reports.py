@@ -1,23 +1,10 @@
-"""Statistics archive and box-plot data: small, already aggregated tables brought to the driver."""
+"""Archive of the CSV files of a run."""
 
 from __future__ import annotations
 
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
-
-#: A summary has one row per dataset combination and metric.
-MAX_SUMMARY_ROWS = 100_000
-
-
-def summary_rows(summary: DataFrame) -> list[dict]:
-    """The rows of a summary; refuses anything that is not of summary size."""
-    rows = summary.limit(MAX_SUMMARY_ROWS + 1).collect()
-    if len(rows) > MAX_SUMMARY_ROWS:
-        raise ValueError("not a summary table: more rows than dataset combinations and metrics can give")
-    return [row.asDict() for row in rows]
-
 
 def collect_statistics(folder: str | Path, archive: str = "statistics.zip") -> Path | None:
     """Packs all CSV files below ``folder`` into one archive inside it; None if there are none."""
@@ -30,45 +17,3 @@ def collect_statistics(folder: str | Path, archive: str = "statistics.zip") -> P
         for file in files:
             packed.write(file, file.relative_to(root))
     return target
-
-
-def has_csv(archive) -> bool:
-    """Whether an open binary file is a zip archive with a CSV inside; its position is kept."""
-    position = archive.tell()
-    try:
-        archive.seek(0)
-        with zipfile.ZipFile(archive) as packed:
-            return any(name.lower().endswith(".csv") for name in packed.namelist())
-    except zipfile.BadZipFile:
-        return False
-    finally:
-        archive.seek(position)
-
-
-def draw_boxplots(summary: DataFrame, folder: str | Path) -> list[Path]:
-    """One PNG per metric from the quartiles in a summary; needs matplotlib on the driver."""
-    try:
-        import matplotlib
-
-        matplotlib.use("Agg")
-        from matplotlib import pyplot
-    except ImportError as error:
-        raise ImportError("drawing plots needs matplotlib on the driver") from error
-    by_metric: dict[str, list[dict]] = {}
-    for row in summary_rows(summary):
-        by_metric.setdefault(row["metric"], []).append(row)
-    written = []
-    for metric, rows in sorted(by_metric.items()):
-        figure, axes = pyplot.subplots()
-        boxes = [
-            {"med": r["median"], "q1": r["p25"], "q3": r["p75"], "whislo": r["p25"], "whishi": r["p75"],
-             "label": r["combo"]}
-            for r in rows
-        ]
-        axes.bxp(boxes, showfliers=False)
-        axes.set_ylabel(metric)
-        target = Path(folder) / f"boxplot_{metric}.png"
-        figure.savefig(target)
-        pyplot.close(figure)
-        written.append(target)
-    return written

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugewise.functions import stats
 from gaugewise.functions.beta import _beta_quantiles
-from gaugewise.operators.bootstrap import poisson_weight, uniform
+from gaugewise.operators.bootstrap import hashes, poisson_weight, triple_intervals
 from gaugewise.operators.matching import match_datasets, match_nearest
 from gaugewise.operators.metrics import metrics_long
 from gaugewise.operators.ranking import cumulative_counts, percentiles, with_ranks
@@ -362,15 +362,27 @@ def test_lookup_table_is_long(spark):
     assert len(rows) == 80 and {r.ref_gpi for r in rows if r.gpi < 45} == {1} and {r.ref_gpi for r in rows if r.gpi > 45} == {2}
 
 
-def test_bootstrap_weights_look_like_poisson(spark):
-    weights = (
-        spark.range(200_000)
-        .withColumn("w", F.expr(poisson_weight(f"({uniform('id % 50', 'id', 'id % 7')})")))
-        .agg(F.avg("w").alias("mean"), F.var_pop("w").alias("variance"), F.avg((F.col("w") == 0).cast("int")).alias("zero"))
-        .first()
-    )
-    assert weights["mean"] == pytest.approx(1, abs=0.02) and weights["variance"] == pytest.approx(1, abs=0.03)
-    assert weights["zero"] == pytest.approx(np.exp(-1), abs=0.01)
+def test_bootstrap_weights_look_like_independent_poisson(spark):
+    """Mean, variance and zeros of the weights; no correlation between replicates or neighbouring times."""
+    draws = spark.range(40_000).selectExpr("id % 7 AS gpi", "id AS t").withColumn("h", F.expr(hashes("gpi", "t", 16)))
+    draws = draws.selectExpr(
+        "t", *[f"{poisson_weight(f'substring(h[{r // 8}], {r % 8 * 4 + 1}, 4)')} AS w{r}" for r in (0, 1, 7, 8, 15)]
+    ).toPandas().sort_values("t")
+    weights = draws.drop(columns="t").to_numpy(float)
+    assert weights.mean(0) == pytest.approx(1, abs=0.03) and weights.var(0) == pytest.approx(1, abs=0.05)
+    assert (weights == 0).mean(0) == pytest.approx(np.exp(-1), abs=0.015)
+    assert np.abs(np.corrcoef(weights.T) - np.eye(5)).max() < 0.03
+    assert abs(np.corrcoef(weights[:-1, 0], weights[1:, 0])[0, 1]) < 0.03
+
+
+def test_intervals_need_enough_rows(spark):
+    rows = [(g, f"2020-01-{k + 1:02d} 0{h}:00:00", 1.0 * (k + h), 2.0 * k + h * h, k * k - 1.5 * h)
+            for g, days in ((1, 4), (2, 20)) for k in range(days) for h in (1, 2)]
+    matched = spark.createDataFrame(rows, "gpi long, t string, x double, y double, z double").selectExpr(
+        "gpi", "CAST(t AS TIMESTAMP_NTZ) AS ts", "x", "y", "z")
+    found = triple_intervals(matched, ["x", "y", "z"]).collect()
+    assert all(r.lower is None and r.upper is None for r in found if r.gpi == 1)
+    assert any(r.lower is not None and r.lower < r.upper for r in found if r.gpi == 2)
 
 
 def test_metric_names_are_complete():

@@ -1,11 +1,13 @@
 """End to end: dataset folders and a JSON configuration in, result tables out."""
 
 import json
+from pathlib import Path
 
 import pytest
 
 from gaugewise.config import parse_run
 from gaugewise.plans import canonical as c
+from gaugewise.plans import queries_run
 from gaugewise.plans.validation import ValidationPlan, run_validation
 from gaugewise.sinks import results as sink
 
@@ -171,6 +173,52 @@ def test_options_run(spark, folders, tmp_path, fields):
         assert all(r[lower] <= r[upper] for r in rows if r[lower] is not None)
 
 
+def station_config(**fields):
+    entries = queries_run._entry(1, "A"), queries_run._entry(2, "S", "ISMN_Interface", km=20_000, **fields.pop("stations", {}))
+    return parse_run({"validation_run": {
+        "id": 1, "temporal_matching": 144, "spatial_reference_configuration": 1, "temporal_reference_configuration": 1,
+        "dataset_configurations": list(entries), **fields}})
+
+
+def station_sources(spark, sf_dir):
+    return {1: queries_run._grid(spark, sf_dir, "A"), 2: queries_run._sensors(spark, sf_dir)}
+
+
+def test_batches_do_not_change_upscaled_results(spark, sf_dir, tmp_path):
+    run = station_config(upscaling_method="average")
+    found = []
+    for batches in (1, 3, 7):
+        result = run_validation(spark, run, str(tmp_path), batches, station_sources(spark, sf_dir))
+        rows = sink.read_results(spark, result.path).where("metric IN ('n_obs', 'BIAS', 'R', 'status')").select("gpi", "combo", "metric", "value")
+        found.append(sorted((r.gpi, r.combo, r.metric, None if r.value is None else round(r.value, 9)) for r in rows.collect()))
+    assert found[0] == found[1] == found[2] and any(value for *_, value in found[0])
+
+
+def test_unknown_network_leaves_nothing(spark, sf_dir):
+    none = {"parametrised_filters": [{"filter": {"name": "FIL_ISMN_NETWORKS"}, "parameters": "no such network"}]}
+    plan = ValidationPlan(spark, station_config(stations=none), station_sources(spark, sf_dir))
+    assert plan.matched(plan.reference_points()).count() == 0
+
+
+def test_intermediate_results_are_removed(spark, sf_dir, tmp_path):
+    from gaugewise.session import checkpoint_dir
+
+    folder = Path(checkpoint_dir(spark)) / "gaugewise"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    run_validation(spark, station_config(), str(tmp_path), 2, station_sources(spark, sf_dir))
+    assert set(folder.iterdir()) <= before
+
+
+def test_unknown_filters_are_logged(monkeypatch):
+    from gaugewise.config import Variable
+    from gaugewise.operators import filters
+
+    said = []
+    monkeypatch.setattr(filters.LOG, "warning", lambda text, *values: said.append(text % values))
+    filters.keep(Variable("value", 0, 1), ["FIL_NO_SUCH", filters.FRM], [(filters.NETWORKS, "x")])
+    assert said == ["no filter 'FIL_NO_SUCH'; it is left out"]
+
+
 def test_exclusive_options(spark, folders):
     run = parse_run(
         config(folders, intra_annual_metrics=True, intra_annual_type="Monthly", stability_metrics=True)
