@@ -183,14 +183,14 @@ _ALL_LONG = " UNION ALL ".join(
 )
 
 
-@query(
-    "validation_metrics",
-    f"""WITH {MATCHED}, pairs AS (SELECT gpi, ts, 'A_and_N' AS combo, A AS x, N AS y FROM matched
-        UNION ALL SELECT gpi, ts, 'A_and_R', A, R FROM matched),
-        long AS ({_ALL_LONG} UNION ALL SELECT gpi, combo, 'status',
-          CASE WHEN count(*) >= {stats.MIN_OBS} THEN 0 ELSE 1 END FROM pairs GROUP BY gpi, combo)
-        SELECT gpi, combo, metric, {s6('value')} FROM long""",
-)
+METRICS_SQL = f"""WITH {MATCHED}, pairs AS (SELECT gpi, ts, 'A_and_N' AS combo, A AS x, N AS y FROM matched
+    UNION ALL SELECT gpi, ts, 'A_and_R', A, R FROM matched),
+    long AS ({_ALL_LONG} UNION ALL SELECT gpi, combo, 'status',
+      CASE WHEN count(*) >= {stats.MIN_OBS} THEN 0 ELSE 1 END FROM pairs GROUP BY gpi, combo)
+    SELECT gpi, combo, metric, {s6('value')} FROM long"""
+
+
+@query("validation_metrics", METRICS_SQL)
 def validation_metrics(spark, d):
     """Flagship: three-way nearest match and every pairwise metric per location."""
     return metrics_long(matched_three(spark, d), "A", ["N", "R"]).select("gpi", "combo", "metric", r6("value"))

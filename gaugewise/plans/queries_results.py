@@ -12,7 +12,7 @@ from gaugewise.operators.metrics import metrics_long
 from gaugewise.operators.spatial import nearest
 from gaugewise.operators.upscaling import lookup_table, upscale
 from gaugewise.plans import canonical as c
-from gaugewise.plans.queries_match import MATCHED, SQL_PAIR, SQL_R, matched_three
+from gaugewise.plans.queries_match import MATCHED, METRICS_SQL, SQL_PAIR, SQL_R, matched_three
 from gaugewise.plans.queries_scan import POINTS, QUALITY, SENSORS
 from gaugewise.plans.registry import query, r6, s6, sql_time_text, time_text
 
@@ -383,15 +383,19 @@ def time_parsing(spark, d):
     return rows.select("event_id", time_text())
 
 
+_RANK = "rank() OVER (PARTITION BY gpi ORDER BY {0}) + (count(*) OVER (PARTITION BY gpi, {0}) - 1) / 2.0"
+
+
 @query(
     "pairwise_all_with_rho",
-    f"""WITH {MATCHED}, ranked AS (SELECT gpi,
-          rank() OVER (PARTITION BY gpi ORDER BY A) + (count(*) OVER (PARTITION BY gpi, A) - 1) / 2.0 AS x,
-          rank() OVER (PARTITION BY gpi ORDER BY N) + (count(*) OVER (PARTITION BY gpi, N) - 1) / 2.0 AS y FROM matched)
-        SELECT gpi, 'rho' AS metric, {s6(f'CASE WHEN count(*) >= 10 THEN {SQL_R} END', 'value')} FROM ranked GROUP BY gpi
-        UNION ALL SELECT gpi, 'n_obs', {s6('count(*)', 'value')} FROM ranked GROUP BY gpi""",
+    f"""WITH {MATCHED}, ranked AS (SELECT gpi, {', '.join(f'{_RANK.format(n)} AS {n.lower()}' for n in 'ANR')} FROM matched),
+        ranks AS (SELECT gpi, 'A_and_N' AS combo, a AS x, n AS y FROM ranked
+          UNION ALL SELECT gpi, 'A_and_R', a, r FROM ranked)
+        SELECT gpi, combo, metric, value FROM ({METRICS_SQL})
+        UNION ALL SELECT gpi, combo, 'rho', {s6(f'CASE WHEN count(*) >= 10 THEN {SQL_R} END', 'value')}
+        FROM ranks GROUP BY gpi, combo""",
 )
 def pairwise_all_with_rho(spark, d):
-    """Rank correlation computed together with the other metrics of a pair."""
+    """Rank correlation computed together with the other metrics of all pairs."""
     metrics = metrics_long(matched_three(spark, d), "A", ["N", "R"], rank_correlation=True)
-    return metrics.where("combo = 'A_and_N' AND metric IN ('rho', 'n_obs')").select("gpi", "metric", r6("value"))
+    return metrics.select("gpi", "combo", "metric", r6("value"))

@@ -6,35 +6,31 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from gaugewise.operators.matching import match_datasets
 from gaugewise.operators.metrics import metrics_long
 from gaugewise.plans import canonical as c
-from gaugewise.plans.queries_match import MATCHED, SQL_PAIR, matched_three
-from gaugewise.plans.registry import query, r6, s6
+from gaugewise.plans.queries_match import METRICS_SQL
+from gaugewise.plans.registry import query, r6
 from gaugewise.session import checkpoint_dir
 from gaugewise.sinks.results import read_results
 from gaugewise.streaming.results import point_stream, stream_results
 
+POINT_FILES = 5
 
-@query(
-    "stream_batch_results",
-    f"""WITH {MATCHED} SELECT gpi, {s6(SQL_PAIR['n_obs'], 'n_obs')}, {s6(SQL_PAIR['BIAS'], 'BIAS')}
-        FROM (SELECT gpi, A AS x, N AS y FROM matched) GROUP BY gpi""",
-)
+
+@query("stream_batch_results", METRICS_SQL)
 def stream_batch_results(spark, d):
-    """Points arrive as a stream; each micro-batch is validated and appended as a finished batch."""
+    """Points arrive file by file; each micro-batch is validated and appended as a finished batch."""
     root = f"{checkpoint_dir(spark)}/gaugewise/{uuid.uuid4().hex}"
-    schema = c.table(spark, d, "supplier").schema
-    matched = matched_three(spark, d)
+    points = c.table(spark, d, "supplier").select(F.col("s_suppkey").alias("gpi"))
+    points.repartition(POINT_FILES, "gpi").write.parquet(f"{root}/points")
+    observations = c.observations(spark, d)
 
     def process(batch):
-        gpis = batch.select(F.col("s_suppkey").alias("gpi"))
-        rows = matched.join(gpis, "gpi", "left_semi")
-        return metrics_long(rows, "A", ["N"], pair_metrics=("n_obs", "BIAS"), min_obs=1)
-
-    points = point_stream(spark, d, schema, pattern="supplier.parquet")
-    stream_results(points, process, f"{root}/results", f"{root}/checkpoint").awaitTermination()
-    metrics = read_results(spark, f"{root}/results")
-    return metrics.groupBy("gpi").agg(
-        r6("max(CASE WHEN metric = 'n_obs' THEN value END)", "n_obs"),
-        r6("max(CASE WHEN metric = 'BIAS' THEN value END)", "BIAS"),
-    )
+        rows = observations.join(batch.select("gpi"), "gpi", "left_semi")
+        matched = match_datasets(rows, "A", ["N", "R"], c.MATCH_HALF_US, unique=True)
+        return metrics_long(matched, "A", ["N", "R"])
+
+    stream = point_stream(spark, f"{root}/points", points.schema)
+    stream_results(stream, process, f"{root}/results", f"{root}/checkpoint").awaitTermination()
+    return read_results(spark, f"{root}/results").select("gpi", "combo", "metric", r6("value"))

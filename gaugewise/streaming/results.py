@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from weakref import WeakSet
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +15,9 @@ from gaugewise.sinks.results import write_batch
 
 LOG = logging.getLogger(__name__)
 
+#: Sessions whose streams are logged.
+_logged: WeakSet[SparkSession] = WeakSet()
+
 
 def point_stream(
     spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1, pattern: str | None = None
@@ -41,6 +45,10 @@ def stream_results(
     def write(batch: DataFrame, batch_id: int) -> None:
         write_batch(process(batch), output, batch_id)
 
+    spark = points.sparkSession
+    if spark not in _logged:
+        spark.streams.addListener(ProgressLogger())
+        _logged.add(spark)
     writer = points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
