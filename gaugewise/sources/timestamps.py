@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -61,10 +62,16 @@ def adapt_timestamps(series: DataFrame, dataset: str, version: str) -> DataFrame
 def raw_period(rule: TimeRule, start: datetime, end: datetime) -> Column:
     """Coarse period predicate on the stored offset, which reaches the Parquet scan.
 
-    Only a time stored as one offset allows it; the exact predicate still follows.
+    Of a time stored as a day and the time of day, the day is held against the period, with the day
+    before it and one day of margin on both sides. The exact predicate still follows.
     """
-    if len(rule.terms) != 1:
-        return F.lit(True)
+    if len(rule.terms) > 1:
+        days = next((column for column, unit in rule.terms if unit == "D"), None)
+        if days is None:
+            return F.lit(True)
+        low, high = (math.floor((moment - datetime.fromisoformat(rule.base)).total_seconds() / 86_400) for moment in (start, end))
+        # whole numbers, so that the comparison needs no cast of the column
+        return (F.col(days) >= low - 2) & (F.col(days) <= high + 1)
     (column, unit), base = rule.terms[0], datetime.fromisoformat(rule.base)
     second = UNIT_US["s"] / UNIT_US[unit]
     low, high = ((moment - base).total_seconds() * second for moment in (start, end))

@@ -160,3 +160,23 @@ def test_stream_resumes_and_writes_once(spark, tmp_path):
 
     assert sum(seen) == 8 and finished_batches(spark, out) == {0, 1}
     assert sorted(r.gpi for r in read_results(spark, out).collect()) == list(range(8))
+
+
+@pytest.mark.parametrize("kind", ["int", "double"])
+def test_day_columns_reach_the_scan(spark, tmp_path, kind):
+    start, end = datetime(2001, 3, 1, 6), datetime(2001, 3, 20)
+    rows = spark.range(800).selectExpr(
+        "id AS gpi", f"CAST(id AS {kind}) AS Mean_Acq_Time_Days", "id * 97 % 86400 AS Mean_Acq_Time_Seconds", "1.0D AS v"
+    )
+    rows.write.parquet(f"{tmp_path}/rows")
+    rule, stored = time_rule("SMOS_L3", "any"), spark.read.parquet(f"{tmp_path}/rows")
+    coarse = stored.where(raw_period(rule, start, end))
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = coarse._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(Mean_Acq_Time_Days" in plan and "LessThanOrEqual(Mean_Acq_Time_Days" in plan
+
+    def exact(frame):
+        return {r.gpi for r in adapt_timestamps(frame, "SMOS_L3", "any").where(F.col("ts").between(F.lit(start), F.lit(end))).collect()}
+
+    assert exact(coarse) == exact(stored) and 15 < len(exact(stored)) <= coarse.count() < 30
