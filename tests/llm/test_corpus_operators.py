@@ -291,5 +291,3 @@ def test_pipeline(spark, sf_dir):
         assert out.columns == names, name
         assert 0 < out.count() and stage(spark, docs.limit(0), sf_dir).count() == 0
     assert len(corpus_pipeline.STAGES) == 5
-    last = corpus_pipeline.run(spark, sf_dir).collect()
-    assert last and all(len(r.ids.split()) == r.n_tokens for r in last)
