@@ -451,3 +451,30 @@ def run_status_case(spark, d):
 def duration_text(spark, d):
     seconds = F.col("o_totalprice") / 10
     return c.table(spark, d, "orders").select("o_orderkey", format_duration_col(seconds).alias("duration"))
+
+
+@query(
+    "named_filters_together",
+    f"""WITH {QUALITY} SELECT orderkey, linenumber, {s6('soil_moisture')} FROM q
+        WHERE soil_moisture BETWEEN 5 AND 45 AND flag <> 1 AND soil_moisture_flag = 'G'
+          AND Ratio_RFI <= 0.06 AND Chi_2_P >= 0.02""",
+)
+def named_filters_together(spark, d):
+    """A dataset as configurations have it: several named filters, two of them with a parameter."""
+    condition = flt.keep(
+        flt.Variable("soil_moisture", 5, 45),
+        [flt.VALID_RANGE, "FIL_C3S_NO_FLAG_1", "FIL_ISMN_GOOD"],
+        [("FIL_SMOSL3_RFI", "0.06"), ("FIL_SMOSL2_CHI2P", "0.02")],
+    )
+    return c.quality_rows(spark, d).where(condition).select("orderkey", "linenumber", r6("soil_moisture"))
+
+
+@query(
+    "event_properties",
+    "SELECT event_type, k, count(*) AS n FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k"
+    " FROM events) GROUP BY ALL",
+)
+def event_properties(spark, d):
+    """Settings kept as JSON text, read with a schema."""
+    parsed = c.table(spark, d, "events").select("event_type", F.from_json("props", "k BIGINT").alias("p"))
+    return parsed.groupBy("event_type", F.col("p.k").alias("k")).agg(F.count("*").alias("n"))
