@@ -243,8 +243,12 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     zero and are linked like any others. Rows keep their multiplicity.
     """
     rows = stored(fingerprints(docs, key, text), "fingerprints")
+    return of_components(rows, components(linked(rows)))
+
+
+def of_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows k, t, fp with the first row of their fingerprint's component; roots has node and root."""
     firsts = rows.groupBy("fp").agg(F.min(F.struct(F.col("k").isNull().alias("late"), "k", "t")).alias("first"))
-    roots = components(linked(rows))
     rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left")
     rooted = stored(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
     of_root = rooted.groupBy("root").agg(F.min("first").alias("first"))
@@ -261,9 +265,12 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component of ``docs``, that of the smallest doc_id; all columns as they are."""
-    groups = grouped(docs)
+def keep_first(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """One row of each component of ``docs``, that of the smallest doc_id; all columns as they are.
+
+    ``groups`` has the components, as ``grouped`` does, if they are not those of the fingerprints.
+    """
+    groups = grouped(docs) if groups is None else groups
     own = F.struct(F.col("k").isNull().alias("late"), "k", "t")
     kept = groups.filter(own == F.col("first")).select(F.col("k").alias("k2"), F.col("t").alias("t2")).distinct()
     rows = docs.select(

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gaugewise.llm import lines, mixing, quality, simhash, topk, warc
+from gaugewise.llm import lines, minhash, mixing, quality, simhash, topk, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -237,6 +237,41 @@ def test_near_copies_frame(spark):
     assert simhash.components_of(docs.limit(0)).count() == 0
 
 
+def shingles_slowly(text):
+    words = WORD.findall((text or "").lower())
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("chunk, ends", [(256, ("low", "high")), (7, ())])
+def test_edited_copies(spark, monkeypatch, chunk, ends):
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "ENDS", ends)
+    choose = random.Random(11)
+    rows = [(None, "a b"), (3, None), (4, ""), (5, "a b"), (6, "A b"), (7, "a b c d e"), (8, "a b c d f")]
+    for group in range(15):
+        words = [f"g{group}w{choose.randrange(400)}" for _ in range(choose.randint(8, 300))]
+        for _ in range(choose.randint(2, 20)):  # from equal to Jaccard below 0.8, some in chains
+            copy = [w if choose.random() > 0.02 else f"new{choose.random()}" for w in words]
+            words = copy if choose.random() < 0.3 else words
+            rows.append((1000 - len(rows), " ".join(copy)))
+    sets = [shingles_slowly(text) for _, text in rows]
+    label = list(range(len(rows)))
+    missed_by_bits = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                one, two = label[a], label[b]
+                label = [two if x == one else x for x in label]
+                missed_by_bits += (fingerprint_slowly(rows[a][1]) ^ fingerprint_slowly(rows[b][1])).bit_count() > 3
+    assert missed_by_bits > 20
+    wanted = [min(k if k is not None else 9999 for (k, _), x in zip(rows, label) if x == own) for own in dict.fromkeys(label)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCUMENT)
+    kept = corpus_pipeline.near_dedup(spark, docs, None)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(wanted)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), None).count() == 0
+
+
 def search_slowly(rows, k):
     def numbers(v):
         return None if v is None or any(x is None or not np.isfinite(x) for x in v) else [int(np.floor(256 * float(x))) for x in v]
