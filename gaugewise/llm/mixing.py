@@ -112,13 +112,8 @@ def _source_table(spark: SparkSession, sources: list[Source]) -> DataFrame:
     return F.broadcast(frame) if len(rows) <= BROADCAST_SOURCES else frame
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """``key``, ``size``, ``source_size``, ``target`` and ``taken`` of every row.
-
-    Null texts have no words; a null source is a source. Rows with an equal key stand next to each
-    other and count as documents of their own. Without any word nothing is taken. Only the sums of
-    the sources reach the driver. Other columns are left out, so their names cannot clash.
-    """
+def _placed(docs: DataFrame, key: str, text: str, source: str, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their source and shard; and words, source_size and target of each source in each shard."""
     spark = docs.sparkSession
     sized = stored(
         docs.select(F.col(key), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size")), "mix-sizes"
@@ -131,49 +126,88 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     placed = (
         sized.join(table, F.col("source").eqNullSafe(F.col("name")))
         .withColumn("shard", F.pmod(hashed(F.col(key), seed), F.lit(shards)))
-        .select(F.col(key), "size", "source_size", "target", "rank", "shard")
+        .select(F.col(key), "name", "size", "source_size", "target", "rank", "shard")
     )
     parts = placed.groupBy("shard", "rank").agg(
         F.sum("size").alias("words"),
         F.first("source_size").alias("source_size"),
         F.first("target").alias("target"),
     )
+    return placed, parts
+
+
+def _taken(placed: DataFrame, quotas: DataFrame, key: str, seed: int) -> DataFrame:
+    """``taken`` of every row; quotas has words and their quota of each source in each shard."""
+    order = W.partitionBy("shard", "rank").orderBy(hashed(F.col(key), seed + 1), F.col(key), "size")
+    end = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
+    taken = sum(
+        F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - use * F.col("words") - F.col("end") + F.col("size")))
+        for use in range(MOST_USES)
+    )
+    return placed.join(quotas, ["shard", "rank"]).withColumn("end", end).withColumn("taken", taken)
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+    """``key``, ``size``, ``source_size``, ``target`` and ``taken`` of every row.
+
+    Null texts have no words; a null source is a source. Rows with an equal key stand next to each
+    other and count as documents of their own. Without any word nothing is taken. Only the sums of
+    the sources reach the driver. Other columns are left out, so their names cannot clash.
+    Every shard rounds to blocks for itself, as the SQL of the query has it.
+    """
+    placed, parts = _placed(docs, key, text, source, seed)
     wanted = F.when(F.col("source_size") > 0, F.col("target") * F.col("words") / F.col("source_size")).otherwise(0.0)
     # a shard has a few thousand documents, hence no more sources
     quotas = parts.select("shard", "rank", "words", wanted.alias("wanted")).groupBy("shard").applyInPandas(
         _quotas, "shard long, rank int, words long, quota long"
     )
-    order = W.partitionBy("shard", "rank").orderBy(hashed(F.col(key), seed + 1), F.col(key), "size")
-    end = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
-    quota = F.least(F.col("quota") * BLOCK, MOST_USES * F.col("words"))
-    return (
-        placed.join(quotas, ["shard", "rank"])
-        .withColumn("end", end)
-        .select(
-            F.col(key),
-            "size",
-            "source_size",
-            "target",
-            sum(
-                F.greatest(F.lit(0), F.least(F.col("size"), quota - use * F.col("words") - F.col("end") + F.col("size")))
-                for use in range(MOST_USES)
-            ).alias("taken"),
-        )
-    )
+    quotas = quotas.withColumn("quota", F.least(F.col("quota") * BLOCK, MOST_USES * F.col("words")))
+    return _taken(placed, quotas, key, seed).select(F.col(key), "size", "source_size", "target", "taken")
+
+
+def _rounded(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Whether each document cut by its quota counts once more; what is rounded off goes to the next shard."""
+    pdf = pdf.sort_values("shard", ignore_index=True)
+    over, up = 0, []
+    for part, size in zip(pdf["part"].tolist(), pdf["size"].tolist()):
+        over += part
+        up.append(int(2 * over >= size))
+        over -= up[-1] * size
+    return pdf[["shard", "rank"]].assign(up=up)
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is used, with its columns as they are.
 
-    Documents stay whole. A use counts if half of the document's words at least are taken, so of each
-    source's documents in a shard one at most is rounded. Rows equal in doc_id and size share their
-    uses evenly.
+    A source's quotas are the steps of its running total over the shards in whole words, so shards
+    add up to the target. Documents stay whole: of each source's documents in a shard one at most is cut
+    by the quota; it counts if that brings the source's uses up to its shard nearer to the total. Rows
+    equal in doc_id, source and size share their uses evenly.
     """
-    taken = mix(docs, seed=seed).groupBy("doc_id", "size").agg((F.sum("taken") / F.count("*")).alias("taken"))
-    taken = taken.select(F.col("doc_id").alias("k2"), F.col("size").alias("s2"), "taken").filter("s2 > 0 AND taken > 0")
+    placed, parts = _placed(docs, "doc_id", "text", "source", seed)
+    words = F.sum("words").over(W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, 0))
+
+    def total(upto: Column) -> Column:
+        return F.floor(F.col("target") * upto / F.col("source_size") + 0.5)
+
+    quota = total(F.col("upto")) - total(F.col("upto") - F.col("words"))
+    quotas = parts.filter("source_size > 0").withColumn("upto", words).select("shard", "rank", "words", quota.alias("quota"))
+    taken = _taken(placed.filter("size > 0"), quotas, "doc_id", seed).groupBy("doc_id", "name", "size", "shard", "rank")
+    taken = stored(taken.agg(F.sum("taken").alias("taken"), (F.count("*") * F.col("size")).alias("all")), "mix-taken")
+    part = F.col("taken") % F.col("all")
+    cut = taken.filter(part > 0).select("shard", "rank", part.alias("part"), F.col("all").alias("size"))
+    # one row a shard
+    more = cut.groupBy("rank").applyInPandas(_rounded, "shard long, rank int, up int")
+    times = F.floor(F.col("taken") / F.col("all")) + F.when(part > 0, F.col("up")).otherwise(0)
+    taken = taken.join(more, ["shard", "rank"], "left").select(
+        F.col("doc_id").alias("k2"), F.col("name").alias("o2"), F.col("size").alias("s2"), times.cast("int").alias("uses")
+    )
     rows = docs.select(
-        F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col("doc_id").alias("k"), size_of(F.col("text")).alias("s")
+        F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
+        F.col("doc_id").alias("k"),
+        F.col("source").cast("string").alias("o"),
+        size_of(F.col("text")).alias("s"),
     )
-    used = rows.join(taken, F.col("k").eqNullSafe(F.col("k2")) & (F.col("s") == F.col("s2")))
-    uses = F.floor(F.col("taken") / F.col("s") + 0.5).cast("int")
-    return used.withColumn("use", F.explode(F.array_repeat(F.lit(0), uses))).select("row.*")
+    same = F.col("k").eqNullSafe(F.col("k2")) & F.col("o").eqNullSafe(F.col("o2")) & (F.col("s") == F.col("s2"))
+    used = rows.join(taken.filter("uses > 0"), same)
+    return used.withColumn("use", F.explode(F.array_repeat(F.lit(0), F.col("uses")))).select("row.*")

@@ -155,6 +155,23 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_thin_source_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 400)
+    rows = [(k, "w " * 390, "en", "hot", 0) for k in range(300)]
+    # two at their limit, one that gives a part of its words only
+    rows += [(1000 + k, "w " * (1 + k % 3), "en", "short", 0) for k in range(90)]
+    rows += [(2000 + k, "w " * (10 + k % 2), "en", None, 0) for k in range(60)]
+    rows += [(4000 + k, "w " * (1 + k % 30), "en", "a", 0) for k in range(9000)]
+    docs = spark.createDataFrame(rows, DOCUMENT)
+    sizes = defaultdict(int)
+    for _, text, _, source, _ in rows:
+        sizes[source] += len(text.split())
+    found = dict(mixing.mixed(docs).groupBy("source").agg(F.sum(mixing.size_of(F.col("text")))).collect())
+    for source in mixing.targets(sizes):
+        longest = max(len(r[1].split()) for r in rows if r[3] == source.name)
+        assert abs(found.get(source.name, 0) - source.target) <= longest / 2 + 1, source
+
+
 def fingerprint_slowly(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
