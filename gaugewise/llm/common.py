@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gaugewise.session import checkpoint_dir
 
@@ -53,3 +54,25 @@ def row_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
         for start in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(start, ROWS_AT_ONCE)
             yield [column.to_pylist() for column in part.columns]
+
+
+def before(frame: DataFrame, keys: list[str], index: Column, values: dict[str, str], how=F.sum, width: int = 4096) -> DataFrame:
+    """``frame`` plus, under each name of ``values``, ``how`` of that column over the key's rows of lower ``index``.
+
+    Two levels: blocks of ``width`` index values are combined first, then the blocks before a block, then
+    the rows before a row inside its block. So no task holds a whole key, only one row for each of its
+    blocks. Rows of one key have different indexes; where nothing comes before, the value is 0.
+    """
+    blocked = frame.withColumn("_at", index).withColumn("_block", F.floor(F.col("_at") / width))
+    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocked.groupBy(*keys, "_block").agg(*(how(column).alias(f"_in_{name}") for name, column in values.items()))
+    blocks = blocks.select(*keys, "_block", *(how(f"_in_{name}").over(earlier).alias(f"_to_{name}") for name in values))
+    inside = W.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    found = blocked.join(blocks, [*keys, "_block"])
+
+    def joined(name: str, column: str) -> Column:
+        kind = frame.schema[column].dataType
+        near, far = F.coalesce(how(column).over(inside), F.lit(0)), F.coalesce(f"_to_{name}", F.lit(0))
+        return (near.bitwiseXOR(far) if how is F.bit_xor else near + far).cast(kind).alias(name)
+
+    return found.select(*frame.columns, *(joined(name, column) for name, column in values.items()))
