@@ -20,11 +20,11 @@ from gaugewise.llm.quality import _shift, form_counts
 #: Labelled texts that a model is fitted on, at most (about; see ``bounded``).
 SAMPLE = 20_000
 #: Trees, their depth, texts a leaf needs, statistics and share of the texts each tree sees.
-TREES, DEPTH, LEAF, SEEN, SHARE = 60, 3, 8, 6, 0.7
+TREES, DEPTH, LEAF, SEEN, SHARE = 40, 3, 8, 6, 0.7
 #: How far each tree moves the model; cuts tried for each statistic.
-STEP, CUTS = 0.3, 32
-#: Lasso penalties tried, from strong to weak; folds that judge them.
-PENALTIES, FOLDS = (0.02, 0.01, 0.005, 0.002, 0.001, 0.0005), 5
+STEP, CUTS = 0.3, 48
+#: Lasso penalties tried, from strong to weak; folds that judge them; steps of descent, in the end too.
+PENALTIES, FOLDS, ROUNDS, LAST_ROUNDS = (0.02, 0.01, 0.005, 0.002, 0.001), 3, 200, 1000
 SEED = 11
 
 #: Score from which a text counts as good.
@@ -120,63 +120,65 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _cut_points(column: np.ndarray) -> np.ndarray:
+def cut_points(column: np.ndarray) -> np.ndarray:
     """Midpoints between neighbouring values, thinned to evenly spaced ranks."""
     values = np.unique(column)
     middles = (values[1:] + values[:-1]) / 2
     if len(middles) <= CUTS:
         return middles
-    at = np.unique(np.quantile(column, np.linspace(0, 1, CUTS + 2)[1:-1]))
+    at = np.quantile(column, np.linspace(0, 1, CUTS + 2)[1:-1])
     return np.unique(np.concatenate([middles[np.searchsorted(middles, at).clip(0, len(middles) - 1)], middles[[0, -1]]]))
 
 
-def _split(x: np.ndarray, error: np.ndarray, some: np.ndarray) -> tuple[float, int, float] | None:
-    """The statistic and threshold that lower the squared error most."""
+def _split(bins: np.ndarray, error: np.ndarray, some: np.ndarray, n_cuts: list[int]) -> tuple[float, int, int] | None:
+    """The statistic and the number of the cut that lower the squared error most."""
     best, n, total = None, len(error), error.sum()
     for j in some:
-        cuts = _cut_points(x[:, j])
-        if not len(cuts):
+        if not n_cuts[j]:
             continue
-        order = np.argsort(x[:, j], kind="stable")
-        below = np.searchsorted(x[order, j], cuts)
-        sums = np.concatenate([[0.0], np.cumsum(error[order])])[below]
-        fits = (below >= LEAF) & (n - below >= LEAF)
-        if not fits.any():
+        # texts below each cut, and their error
+        below = np.cumsum(np.bincount(bins[:, j], minlength=n_cuts[j] + 1))[:-1]
+        sums = np.cumsum(np.bincount(bins[:, j], error, n_cuts[j] + 1))[:-1]
+        fits = np.flatnonzero((below >= LEAF) & (n - below >= LEAF))
+        if not len(fits):
             continue
-        below, sums, cuts = below[fits], sums[fits], cuts[fits]
+        below, sums = below[fits], sums[fits]
         gain = sums**2 / below + (total - sums) ** 2 / (n - below) - total**2 / n
         k = int(gain.argmax())
         if gain[k] > 1e-9 and (best is None or gain[k] > best[0]):
-            best = (float(gain[k]), int(j), float(cuts[k]))
+            best = (float(gain[k]), int(j), int(fits[k]))
     return best
 
 
-def _grow(x, error, slope, some, path, depth, paths, out, rows):
-    """One tree: adds each path below the root to ``paths`` and each leaf's value to ``out``."""
-    cut = _split(x[rows], error[rows], some) if depth and len(rows) >= 2 * LEAF else None
-    if cut is None:
-        out.append((Rule(path), error[rows].sum() / (slope[rows].sum() + 1e-6)))
-        return
-    _, j, at = cut
-    high = x[rows, j] >= at
-    for least, part in ((True, rows[high]), (False, rows[~high])):
-        longer = (*path, (STATISTICS[j], least, at))
-        paths.append(Rule(longer))
-        _grow(x, error, slope, some, longer, depth - 1, paths, out, part)
-
-
 def tree_paths(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = SEED) -> list[Rule]:
     """The paths of ``trees`` trees, each grown on the errors that those before it leave."""
+    cuts = [cut_points(x[:, j]) for j in range(x.shape[1])]
+    bins = np.column_stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(cuts)]).astype(np.int16)
+    n_cuts = [len(c) for c in cuts]
     rng, margin, paths = np.random.default_rng(seed), np.zeros(len(y)), []
     for _ in range(trees):
         chance = sigmoid(margin)
         error, slope = y - chance, chance * (1 - chance)
-        rows = np.sort(rng.permutation(len(y))[: max(1, int(SHARE * len(y)))])
+        seen = np.zeros(len(y), bool)
+        seen[rng.permutation(len(y))[: max(1, int(SHARE * len(y)))]] = True
         some = rng.permutation(x.shape[1])[:SEEN]
-        leaves: list[tuple[Rule, float]] = []
-        _grow(x, error, slope, some, (), DEPTH, paths, leaves, rows)
-        for rule, value in leaves:
-            margin += STEP * np.clip(value, -4, 4) * rule.on(x)
+
+        def grow(rows: np.ndarray, path: tuple, depth: int) -> None:
+            """Adds each path below the root, and moves the margins of the texts of each leaf."""
+            taught = rows[seen[rows]]
+            cut = _split(bins[taught], error[taught], some, n_cuts) if depth and len(taught) >= 2 * LEAF else None
+            if cut is None:
+                value = error[taught].sum() / (slope[taught].sum() + 1e-6)
+                margin[rows] += STEP * np.clip(value, -4, 4)
+                return
+            _, j, k = cut
+            high = bins[rows, j] > k
+            for least, part in ((True, rows[high]), (False, rows[~high])):
+                longer = (*path, (STATISTICS[j], least, float(cuts[j][k])))
+                paths.append(Rule(longer))
+                grow(part, longer, depth - 1)
+
+        grow(np.arange(len(y)), (), DEPTH)
     return paths
 
 
@@ -190,32 +192,42 @@ def distinct_rules(paths: list[Rule], x: np.ndarray) -> list[Rule]:
     return list(kept.values())
 
 
-def lasso(held: np.ndarray, y: np.ndarray, penalty: float, start=None, rounds: int = 400) -> tuple[float, np.ndarray]:
+def lasso(
+    held: np.ndarray, y: np.ndarray, penalty: float, weight: np.ndarray | None = None, start=None, rounds: int = ROUNDS
+) -> tuple[float, np.ndarray]:
     """Bias and weights of least logistic loss plus ``penalty`` times the weights' absolute sum.
 
-    Accelerated proximal gradient descent; the bias carries no penalty.
+    ``weight`` says how many texts a row stands for, of which the share ``y`` is labelled 1. Accelerated
+    proximal gradient descent; the bias carries no penalty.
     """
-    n, width = held.shape
-    z = np.column_stack([np.ones(n), held]).astype(np.float64)
+    weight = np.ones(len(y)) if weight is None else weight
+    share = weight / weight.sum()
+    z = np.column_stack([np.ones(len(y)), held]).astype(np.float64)
     # the largest curvature, by a few power steps
-    v = np.ones(width + 1)
+    v = np.ones(z.shape[1])
     for _ in range(20):
-        v = z.T @ (z @ v)
+        v = z.T @ (share * (z @ v))
         v /= np.linalg.norm(v)
-    pace = 1 / (np.linalg.norm(z @ v) ** 2 / n / 4 * 1.05 + 1e-12)
-    w = np.zeros(width + 1) if start is None else start.copy()
+    pace = 1 / (share @ (z @ v) ** 2 / 4 * 1.05 + 1e-12)
+    w = np.zeros(z.shape[1]) if start is None else start.copy()
     ahead, t = w.copy(), 1.0
     for _ in range(rounds):
-        step = ahead - pace * (z.T @ (sigmoid(z @ ahead) - y)) / n
+        step = ahead - pace * (z.T @ (share * (sigmoid(z @ ahead) - y)))
         step[1:] = np.sign(step[1:]) * np.maximum(np.abs(step[1:]) - pace * penalty, 0)
         later = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead = step + (t - 1) / later * (step - w)
         moved, w, t = np.abs(step - w).max(), step, later
-        if moved < 1e-7:
+        if moved < 1e-6:
             break
     return float(w[0]), w[1:]
 
 
+def patterns(held: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts on which the same rules hold as one row: the rules, the share labelled 1, their number."""
+    rows, of, n = np.unique(np.packbits(held, axis=1), axis=0, return_inverse=True, return_counts=True)
+    return np.unpackbits(rows, axis=1, count=held.shape[1]).astype(bool), np.bincount(of.ravel(), y) / n, n.astype(float)
+
+
 def log_loss(y: np.ndarray, chance: np.ndarray) -> float:
     chance = chance.clip(1e-9, 1 - 1e-9)
     return float(-(y * np.log(chance) + (1 - y) * np.log(1 - chance)).mean())
@@ -233,14 +245,16 @@ def ensemble(x: np.ndarray, y: np.ndarray) -> Model:
     fold = np.random.default_rng(SEED).permutation(len(y)) % FOLDS
     loss = np.zeros(len(PENALTIES))
     for f in range(FOLDS):
-        seen, start = fold != f, None
-        if y[seen].min() == y[seen].max() or seen.all():
+        left_out, start = fold == f, None
+        if not left_out.any() or y[~left_out].min() == y[~left_out].max():
             continue
+        rows, share, n = patterns(held[~left_out], y[~left_out])
         for k, penalty in enumerate(PENALTIES):
-            bias, w = lasso(held[seen], y[seen], penalty, start)
+            bias, w = lasso(rows, share, penalty, n, start)
             start = np.concatenate([[bias], w])
-            loss[k] += log_loss(y[~seen], sigmoid(bias + held[~seen] @ w))
-    bias, w = lasso(held, y, PENALTIES[int(loss.argmin())], rounds=2000)
+            loss[k] += log_loss(y[left_out], sigmoid(bias + held[left_out] @ w))
+    rows, share, n = patterns(held, y)
+    bias, w = lasso(rows, share, PENALTIES[int(loss.argmin())], n, rounds=LAST_ROUNDS)
     chosen = sorted(((r, float(v)) for r, v in zip(rules, w) if abs(v) > 1e-6), key=lambda p: (-abs(p[1]), str(p[0])))
     return Model(bias, tuple(chosen))
 
