@@ -1,26 +1,30 @@
 """Mixing of sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Documents fall into shards by a seeded hash. In every shard the blocks of the mix go to the sources
-by highest quotients, weighted by what each source's target asks of the shard; this gives whole
-quotas. A source's documents in the shard stand in a seeded order, cut into blocks, and the quota
-is met by its first blocks, beginning again where it exceeds them.
+Documents fall into shards by a seeded hash. A source gets its next block, the one after n blocks held,
+in the first shard where its quotient, wanted tokens up to there / (2 n + 1), reaches half a block: the
+highest quotients of all are served, and a source that came off short in one shard has the higher
+quotient in the next. So its shards' quotas are the steps of the rounded running total of what its
+target asks, and add up to the target however few tokens a shard has. A source's documents in a shard
+stand in a seeded order, cut into blocks, and the quota is met by its first blocks, beginning again
+where it exceeds them.
+
+All of it is running sums, taken in two levels (blocks of shards, then shards), so no task holds a
+whole source.
 """
 
 from __future__ import annotations
 
-import heapq
-from dataclasses import dataclass
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gaugewise.llm.common import WORD, stored
+from gaugewise.llm.common import WORD, before, stored
 
 SEED = 6
-#: Words in a block, and words and documents in a shard (on average).
-BLOCK, SHARD_WORDS, SHARD_DOCS = 16, 64_000, 4_000
+#: Words in a block. Larger blocks do not fit into a shard where a source has but a few words.
+BLOCK = 1
+#: Words and documents in a shard (on average).
+SHARD_WORDS, SHARD_DOCS = 64_000, 4_000
 #: Weights of the sources in their order, repeated as often as needed.
 WEIGHTS = (3, 1, 2)
 #: Words of the mix against those of all documents; and most uses of one word.
@@ -29,185 +33,150 @@ SHARE, MOST_USES = 1.5, 2
 BROADCAST_SOURCES = 100_000
 
 
-@dataclass(frozen=True)
-class Source:
-    name: str | None
-    size: int
-    target: float
-
-
-def order_of(names: list[str | None]) -> list[str | None]:
-    """By code point, null last."""
-    return sorted(names, key=lambda s: (s is None, s or ""))
-
+def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, uses: int = MOST_USES) -> DataFrame:
+    """``rank`` and ``target`` added to ``sizes``, which has a row (``source``, ``size``) for each source.
 
-def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, uses: int = MOST_USES) -> list[Source]:
-    """Words wanted of each source.
-
-    They share ``share`` of all words by weight. A source stops at ``uses`` times its words; what it
-    can't give is shared anew among the others until none is above.
+    Sources stand by code point, null last, and share ``share`` of all words by weight. A source stops
+    at ``uses`` times its words; what it can't give is shared anew among the others until none is above.
+    Each round is one aggregation, whose two sums reach the driver.
     """
-    names = order_of(list(sizes))
-    weight = {name: weights[k % len(weights)] for k, name in enumerate(names)}
-    rest, open_, out = share * sum(sizes.values()), list(names), {}
+    place = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
+    weight = F.array(*map(F.lit, weights))[F.col("rank") % len(weights)]
+    ranked = stored(sizes.withColumn("rank", place).withColumn("weight", weight), "mix-sources")
+    most, weighs = uses * F.col("size"), F.col("weight")
+    row = ranked.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.sum(most).alias("most")).first()
+    rest, open_, full = share * (row["size"] or 0), row["weight"] or 0, F.lit(False)
     while open_:
-        total = sum(weight[n] for n in open_)
-        full = [n for n in open_ if rest * weight[n] / total > uses * sizes[n]]
-        if not full:
-            out.update({n: rest * weight[n] / total for n in open_})
+        full = F.lit(rest) * weighs / F.lit(open_) > most
+        taken = ranked.agg(F.sum(F.when(full, most)).alias("most"), F.sum(F.when(~full, weighs)).alias("weight")).first()
+        rest_now, open_now = share * row["size"] - (taken.most or 0), taken.weight or 0
+        if open_now == open_:
             break
-        for n in full:
-            out[n] = float(uses * sizes[n])
-        rest -= sum(uses * sizes[n] for n in full)
-        open_ = [n for n in open_ if n not in out]
-    return [Source(n, sizes[n], out[n]) for n in names]
-
-
-def apportion(wanted: list[float], most: list[int], seats: int) -> list[int]:
-    """Sainte-Lague: seats go one by one to the highest quotient wanted / (2 n + 1), n being the seats
-    held, the first of equals first; nobody gets more than ``most``.
-
-    The seats below a common quotient are given at once, only the last few one by one.
-    """
-    total = sum(wanted)
-    seats = min(seats, sum(most))
-    if total <= 0 or seats <= 0:
-        return [0] * len(wanted)
-    # all quotients above total / (2 seats - 2 len) are served, which can't be too many
-    sure = seats - len(wanted)
-    held = [min(m, max(0, int(w * sure / total + 0.5))) for w, m in zip(wanted, most)]
-    heap = [(-w / (2 * h + 1), k) for k, (w, h, m) in enumerate(zip(wanted, held, most)) if h < m and w > 0]
-    heapq.heapify(heap)
-    left = seats - sum(held)
-    while left > 0 and heap:
-        _, k = heapq.heappop(heap)
-        held[k] += 1
-        left -= 1
-        if held[k] < most[k]:
-            heapq.heappush(heap, (-wanted[k] / (2 * held[k] + 1), k))
-    return held
+        rest, open_ = rest_now, open_now
+    shared = F.lit(rest) * weighs / F.lit(open_) if open_ else most.cast("double")
+    return ranked.withColumn("target", F.when(full, most.cast("double")).otherwise(shared)).drop("weight")
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hashed(key: Column, seed: int) -> Column:
-    """32 bits of the key's MD5, which every engine can compute."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-
-
-def _quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Blocks of each source of one shard."""
-    pdf = pdf.sort_values("rank", ignore_index=True)
-    most = [-(-MOST_USES * int(s) // BLOCK) for s in pdf["words"]]
-    pdf["quota"] = apportion(pdf["wanted"].tolist(), most, round(pdf["wanted"].sum() / BLOCK))
-    return pdf[["shard", "rank", "words", "quota"]]
-
-
-def _source_table(spark: SparkSession, sources: list[Source]) -> DataFrame:
-    rows = [(s.name, k, s.size, s.target) for k, s in enumerate(sources)]
-    frame = spark.createDataFrame(rows, "name string, rank int, source_size long, target double")
-    return F.broadcast(frame) if len(rows) <= BROADCAST_SOURCES else frame
+def hashed(key: Column, text: Column, seed: int) -> Column:
+    """32 bits of an MD5 of key and text, which every engine can compute."""
+    whole = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+    return F.conv(F.substring(F.md5(whole), 1, 8), 16, 10).cast("long")
 
 
 def _placed(docs: DataFrame, key: str, text: str, source: str, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their source and shard; and words, source_size and target of each source in each shard."""
-    spark = docs.sparkSession
+    """Rows with their source, shard and place; and the words of each source in each shard, with its target."""
     sized = stored(
-        docs.select(F.col(key), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size")), "mix-sizes"
+        docs.select(
+            F.col(key),
+            F.col(source).cast("string").alias("source"),
+            size_of(F.col(text)).alias("size"),
+            hashed(F.col(key), F.col(text), seed).alias("mark"),
+            hashed(F.col(key), F.col(text), seed + 1).alias("place"),
+        ),
+        "mix-sizes",
     )
-    sums = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    sources = targets({row.source: row["size"] for row in sums})
-    words, n = sum(s.size for s in sources), sum(row.n for row in sums)
-    shards = max(1, -(-words // SHARD_WORDS), -(-n // SHARD_DOCS))
-    table = _source_table(spark, sources)
+    sums = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    found = stored(targets(sums), "mix-targets")
+    total = found.agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.count("*").alias("sources")).first()
+    shards = max(1, -(-(total["size"] or 0) // SHARD_WORDS), -(-(total.n or 0) // SHARD_DOCS))
+    table = found.select(F.col("source").alias("name"), "rank", F.col("size").alias("source_size"), "target")
+    if total.sources <= BROADCAST_SOURCES:
+        table = F.broadcast(table)
     placed = (
         sized.join(table, F.col("source").eqNullSafe(F.col("name")))
-        .withColumn("shard", F.pmod(hashed(F.col(key), seed), F.lit(shards)))
-        .select(F.col(key), "name", "size", "source_size", "target", "rank", "shard")
+        .withColumn("shard", F.pmod(F.col("mark"), F.lit(shards)))
+        .select(F.col(key), "name", "size", "source_size", "target", "rank", "shard", "place")
     )
     parts = placed.groupBy("shard", "rank").agg(
-        F.sum("size").alias("words"),
-        F.first("source_size").alias("source_size"),
-        F.first("target").alias("target"),
+        F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
     )
     return placed, parts
 
 
-def _taken(placed: DataFrame, quotas: DataFrame, key: str, seed: int) -> DataFrame:
-    """``taken`` of every row; quotas has words and their quota of each source in each shard."""
-    order = W.partitionBy("shard", "rank").orderBy(hashed(F.col(key), seed + 1), F.col(key), "size")
+def quotas(parts: DataFrame) -> DataFrame:
+    """``words`` and whole ``quota`` of each source in each shard; the quotas of a source add up to its target."""
+
+    def held(upto: Column) -> Column:
+        """Blocks whose quotient reaches half a block once ``upto`` words of the source have passed."""
+        return F.when(F.col("source_size") > 0, F.floor(F.col("target") * upto / F.col("source_size") / BLOCK + 0.5)).otherwise(0)
+
+    running = before(parts, ["rank"], F.col("shard"), {"earlier": "words"})
+    step = BLOCK * (held(F.col("earlier") + F.col("words")) - held(F.col("earlier")))
+    return running.select("shard", "rank", "words", F.least(step, MOST_USES * F.col("words")).alias("quota"))
+
+
+def _taken(placed: DataFrame, quota: DataFrame, key: str) -> DataFrame:
+    """``taken`` of every row: the quota's words, from the documents in their seeded order."""
+    order = W.partitionBy("shard", "rank").orderBy("place", F.col(key), "size")
     end = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
     taken = sum(
         F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - use * F.col("words") - F.col("end") + F.col("size")))
         for use in range(MOST_USES)
     )
-    return placed.join(quotas, ["shard", "rank"]).withColumn("end", end).withColumn("taken", taken)
+    return placed.join(quota, ["shard", "rank"]).withColumn("end", end).withColumn("taken", taken)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """``key``, ``size``, ``source_size``, ``target`` and ``taken`` of every row.
 
-    Null texts have no words; a null source is a source. Rows with an equal key stand next to each
-    other and count as documents of their own. Without any word nothing is taken. Only the sums of
-    the sources reach the driver. Other columns are left out, so their names cannot clash.
-    Every shard rounds to blocks for itself, as the SQL of the query has it.
+    Null texts have no words; a null source is a source. Rows with an equal key count as documents of
+    their own; those with equal texts too stand next to each other. Without any word nothing is taken.
+    A source takes its target to within half a block. Other columns are left out, so their names cannot clash.
     """
     placed, parts = _placed(docs, key, text, source, seed)
-    wanted = F.when(F.col("source_size") > 0, F.col("target") * F.col("words") / F.col("source_size")).otherwise(0.0)
-    # a shard has a few thousand documents, hence no more sources
-    quotas = parts.select("shard", "rank", "words", wanted.alias("wanted")).groupBy("shard").applyInPandas(
-        _quotas, "shard long, rank int, words long, quota long"
-    )
-    quotas = quotas.withColumn("quota", F.least(F.col("quota") * BLOCK, MOST_USES * F.col("words")))
-    return _taken(placed, quotas, key, seed).select(F.col(key), "size", "source_size", "target", "taken")
+    return _taken(placed, quotas(parts), key).select(F.col(key), "size", "source_size", "target", "taken")
+
 
+def _rounded(cut: DataFrame) -> DataFrame:
+    """``shard``, ``rank`` and ``up``: whether the document that a quota cuts counts once more.
 
-def _rounded(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Whether each document cut by its quota counts once more; what is rounded off goes to the next shard."""
-    pdf = pdf.sort_values("shard", ignore_index=True)
-    over, up = 0, []
-    for part, size in zip(pdf["part"].tolist(), pdf["size"].tolist()):
-        over += part
-        up.append(int(2 * over >= size))
-        over -= up[-1] * size
-    return pdf[["shard", "rank"]].assign(up=up)
+    Documents of a source are taken by rising size; one counts once more where the running total of the
+    parts (part / size) passes the next half. As sizes only rise, the words rounded off add up to less
+    than the longest document.
+    """
+    share = F.floor(F.col("part") * (1 << 20) / F.col("size")).cast("long")  # whole numbers add up alike in any order
+    cut = cut.withColumn("share", share)
+    inside = before(cut, ["rank", "size"], F.col("shard"), {"inside": "share"})
+    sizes = cut.groupBy("rank", "size").agg(F.sum("share").alias("all"))
+    sizes = before(sizes, ["rank"], F.col("size"), {"smaller": "all"}).select("rank", "size", "smaller")
+    joined = inside.join(sizes, ["rank", "size"])
+    start = F.col("smaller") + F.col("inside")
+
+    def counted(total: Column) -> Column:
+        return F.floor((total + (1 << 19)) / (1 << 20))
+
+    return joined.select("shard", "rank", (counted(start + F.col("share")) - counted(start)).cast("int").alias("up"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is used, with its columns as they are.
 
-    A source's quotas are the steps of its running total over the shards in whole words, so shards
-    add up to the target. Documents stay whole: of each source's documents in a shard one at most is cut
-    by the quota; it counts if that brings the source's uses up to its shard nearer to the total. Rows
-    equal in doc_id, source and size share their uses evenly.
+    Documents stay whole: of each source's documents in a shard one at most is cut by the quota, and
+    ``_rounded`` decides whether it counts. Rows equal in doc_id, source and text share their uses evenly.
     """
     placed, parts = _placed(docs, "doc_id", "text", "source", seed)
-    words = F.sum("words").over(W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, 0))
-
-    def total(upto: Column) -> Column:
-        return F.floor(F.col("target") * upto / F.col("source_size") + 0.5)
-
-    quota = total(F.col("upto")) - total(F.col("upto") - F.col("words"))
-    quotas = parts.filter("source_size > 0").withColumn("upto", words).select("shard", "rank", "words", quota.alias("quota"))
-    taken = _taken(placed.filter("size > 0"), quotas, "doc_id", seed).groupBy("doc_id", "name", "size", "shard", "rank")
+    taken = _taken(placed.filter("size > 0"), quotas(parts), "doc_id").groupBy("doc_id", "name", "size", "shard", "rank", "place")
     taken = stored(taken.agg(F.sum("taken").alias("taken"), (F.count("*") * F.col("size")).alias("all")), "mix-taken")
     part = F.col("taken") % F.col("all")
-    cut = taken.filter(part > 0).select("shard", "rank", part.alias("part"), F.col("all").alias("size"))
-    # one row a shard
-    more = cut.groupBy("rank").applyInPandas(_rounded, "shard long, rank int, up int")
+    # hash collisions apart one document of a source and shard; of several the largest decides
+    cut = taken.filter(part > 0).groupBy("shard", "rank").agg(F.max(F.struct(F.col("all").alias("size"), part.alias("part"))).alias("c"))
+    more = _rounded(cut.select("shard", "rank", "c.size", "c.part"))
     times = F.floor(F.col("taken") / F.col("all")) + F.when(part > 0, F.col("up")).otherwise(0)
     taken = taken.join(more, ["shard", "rank"], "left").select(
-        F.col("doc_id").alias("k2"), F.col("name").alias("o2"), F.col("size").alias("s2"), times.cast("int").alias("uses")
-    )
+        F.col("doc_id").alias("k2"), F.col("name").alias("o2"), F.col("size").alias("s2"), F.col("place").alias("p2"),
+        times.cast("int").alias("uses"),
+    )
     rows = docs.select(
         F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
         F.col("doc_id").alias("k"),
         F.col("source").cast("string").alias("o"),
         size_of(F.col("text")).alias("s"),
+        hashed(F.col("doc_id"), F.col("text"), seed + 1).alias("p"),
     )
-    same = F.col("k").eqNullSafe(F.col("k2")) & F.col("o").eqNullSafe(F.col("o2")) & (F.col("s") == F.col("s2"))
+    same = F.col("k").eqNullSafe(F.col("k2")) & F.col("o").eqNullSafe(F.col("o2")) & (F.col("s") == F.col("s2")) & (F.col("p") == F.col("p2"))
     used = rows.join(taken.filter("uses > 0"), same)
     return used.withColumn("use", F.explode(F.array_repeat(F.lit(0), F.col("uses")))).select("row.*")

@@ -13,7 +13,7 @@ BLANK, FULL = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
     "op6_source_mix",
     f"""
     WITH sized AS (
-        SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{FULL}+')), 0) AS size FROM documents
+        SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{FULL}+')), 0) AS size, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS mark FROM documents
     ), sums AS (
         SELECT source, sum(size)::DOUBLE AS s, count(*) AS n FROM sized GROUP BY source
     ), ranked AS (
@@ -37,28 +37,21 @@ BLANK, FULL = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
         SELECT greatest(1, ceil(sum(s) / {mixing.SHARD_WORDS}), ceil(sum(n) / {mixing.SHARD_DOCS}))::BIGINT AS shards FROM sums
     ), placed AS (
         SELECT d.doc_id, d.size, t.rank, t.s, t.target,
-            ('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT
-                % (SELECT shards FROM shards) AS shard,
-            ('0x' || substr(md5('{mixing.SEED + 1}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS place
+            ('0x' || substr(md5('{mixing.SEED}:' || mark), 1, 8))::BIGINT % (SELECT shards FROM shards) AS shard,
+            ('0x' || substr(md5('{mixing.SEED + 1}:' || mark), 1, 8))::BIGINT AS place
         FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
     ), parts AS (
-        SELECT shard, rank, sum(size)::BIGINT AS words,
-            CASE WHEN any_value(s) > 0 THEN any_value(target) * sum(size)::DOUBLE / any_value(s) ELSE 0 END AS wanted
-        FROM placed GROUP BY shard, rank
-    ), seats AS (
-        SELECT shard, round(sum(wanted) / {mixing.BLOCK})::BIGINT AS seats FROM parts GROUP BY shard
-    ), quotients AS (
-        SELECT shard, rank, unnest(range(((2 * words + {mixing.BLOCK - 1}) // {mixing.BLOCK})::BIGINT)) AS held, wanted
-        FROM parts WHERE wanted > 0
-    ), served AS (
-        SELECT *, row_number() OVER (PARTITION BY shard ORDER BY wanted / (2 * held + 1) DESC, rank) AS turn FROM quotients
+        SELECT shard, rank, sum(size)::BIGINT AS words, any_value(s) AS s, any_value(target) AS target FROM placed GROUP BY shard, rank
+    ), running AS (
+        SELECT *, sum(words) OVER (PARTITION BY rank ORDER BY shard) AS upto FROM parts
     ), quotas AS (
-        SELECT shard, rank, count(*) AS quota FROM served JOIN seats USING (shard) WHERE turn <= seats GROUP BY ALL
+        SELECT shard, rank, words, CASE WHEN s > 0 THEN least(2 * words, {mixing.BLOCK} * (floor(target * upto / s / {mixing.BLOCK} + 0.5)
+            - floor(target * (upto - words) / s / {mixing.BLOCK} + 0.5))) ELSE 0 END AS quota FROM running
     ), ends AS (
-        SELECT p.*, parts.words, least({mixing.BLOCK} * coalesce(quota, 0), 2 * parts.words) AS quota,
+        SELECT p.*, words, quota,
             sum(p.size) OVER (PARTITION BY p.shard, p.rank ORDER BY place, doc_id, p.size
                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS until
-        FROM placed p JOIN parts USING (shard, rank) LEFT JOIN quotas USING (shard, rank)
+        FROM placed p JOIN quotas USING (shard, rank)
     )
     SELECT doc_id, size::BIGINT AS size, s::BIGINT AS source_size, target,
         (greatest(0, least(size, quota - until + size)) + greatest(0, least(size, quota - words - until + size)))::BIGINT AS taken
