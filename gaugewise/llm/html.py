@@ -9,6 +9,7 @@ A decision tree grown from the small labelled table below says which blocks are
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -82,6 +83,23 @@ LABELLED = """
  70   6  80  0.0 0.0 0.0  0 1
  45   3  60  0.0 0.0 0.0  0 1
  80  25   6  0.0 0.0 0.0  0 1
+  0   1   1  0.0 0.0 1.0  0 0
+  0   1   2  0.0 0.0 1.0  0 0
+  0   2  12  0.0 0.0 1.0  0 0
+  2   1   2  1.0 0.0 1.0  0 0
+  1   1   1  1.0 0.0 1.0  0 0
+  2   3   1  1.0 0.0 0.0  0 0
+  5   9   6  1.0 0.0 0.0  0 0
+ 60   8  40  0.0 1.0 0.0  0 0
+ 70   4  80  0.0 1.0 0.0  0 0
+  9  60  70  0.0 0.9 0.0  0 0
+ 40   9  50  0.0 0.8 0.0  1 0
+ 60   6  70  0.0 1.0 0.0  1 0
+  9   5  60  0.0 1.0 0.0  1 0
+  0   4  50  0.0 1.0 0.0  1 0
+ 80   9  80  0.0 0.7 0.0  1 0
+ 12   9   8  0.0 0.0 0.0  0 1
+  0   1  30  0.0 0.0 0.0  0 1
   0  60   0  0.0 0.0 0.0  0 1
   0  20   0  0.0 0.0 0.0  0 1
   5  30   5  1.0 0.1 1.0  0 1
@@ -109,6 +127,10 @@ _NEVER_TEXT_NAMES = frozenset(
     "login signin signup register search form widget copyright legal pagination pager skip toolbar".split()
 )
 _ARTICLE_NAMES = frozenset("article main post entry story articlebody".split())
+#: Words that make a compound name tell of a state of the page ("no-sidebar", "comments-open"), not of the container.
+_STATE_WORDS = frozenset("no not without with has have is are open closed on off enabled disabled left right both full one two".split())
+#: What readers write, also in article tags.
+_READER_NAMES = frozenset("comment comments commentlist reply replies disqus respond".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|"
@@ -125,19 +147,35 @@ def _standing(tag: str, attributes: str) -> int:
         return -1
     if tag in ("html", "body"):
         return 0
-    names: set[str] = set()
-    if "=" in attributes:
-        for found in _NAMES.findall(attributes):
-            names.update(re.split(r"[^a-z]+", "".join(found).lower()))
-    if names & _NEVER_TEXT_NAMES:
-        return -1
-    return 1 if tag in _ARTICLE_TAGS or names & _ARTICLE_NAMES else 0
+    never = article = False
+    whole: set[str] = set()
+    for name in _names(attributes):
+        parts = set(re.split(r"[^a-z]+", name)) - {""}
+        if parts == {name}:
+            whole.add(name)
+        elif not parts & _STATE_WORDS:
+            never |= bool(parts & _NEVER_TEXT_NAMES)
+            article |= bool(parts & _ARTICLE_NAMES)
+    told = bool(whole & _ARTICLE_NAMES)
+    if whole & _NEVER_TEXT_NAMES:
+        # only an article that is named as one outweighs a name of its own that is never text
+        return 1 if tag in _ARTICLE_TAGS and told and not whole & _READER_NAMES else -1
+    if tag in _ARTICLE_TAGS or told:
+        return 1
+    return -1 if never else int(article)
+
+
+def _names(attributes: str) -> list[str]:
+    if "=" not in attributes:
+        return []
+    return [name for found in _NAMES.findall(attributes) for name in "".join(found).lower().split()]
 
 
 def blocks(html: str) -> list[tuple[str, int, float, int]]:
     """Text blocks in page order: text, words, share of words in links, standing of its containers."""
     out: list[tuple[str, int, float, int]] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()  # tags in the stack
     never = article = 0
     parts: list[str] = []
     linked: list[str] = []
@@ -162,11 +200,19 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
 
     def leave(depth: int) -> None:
         nonlocal never, article
-        for _, standing in stack[depth:]:
+        for name, standing in stack[depth:]:
+            opened[name] -= 1
             never -= standing < 0
             article -= standing > 0
         del stack[depth:]
 
+    def enter(name: str, standing: int) -> None:
+        nonlocal never, article
+        stack.append((name, standing))
+        opened[name] += 1
+        never += standing < 0
+        article += standing > 0
+
     at, size = 0, len(html)
     while at < size:
         found = _TAG.search(html, at)
@@ -194,8 +240,7 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
         elif tag in _INLINE:
             if not closing and _standing(tag, found[3]) < 0:
                 end()
-                stack.append((tag, -1))
-                never += 1
+                enter(tag, -1)
             elif closing and stack and stack[-1][0] == tag:
                 end()
                 leave(len(stack) - 1)
@@ -206,15 +251,11 @@ def blocks(html: str) -> list[tuple[str, int, float, int]]:
                     continue
                 if stack and (stack[-1][0] == "p" or stack[-1][0] == tag in _ENDED_BY_NEXT):
                     leave(len(stack) - 1)
-                standing = _standing(tag, found[3])
-                stack.append((tag, standing))
-                never += standing < 0
-                article += standing > 0
+                enter(tag, _standing(tag, found[3]))
             else:
                 in_link = False
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-                if depth is not None:
-                    leave(depth)
+                if opened[tag]:  # what the search passes is left, so no tag is passed twice
+                    leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
     end()
     return out
 
