@@ -124,7 +124,13 @@ def markov_spans(text: str, ratio: list[list[float]]) -> list[tuple[int, int, st
 def spans(text: str, ratio: list[list[float]]) -> list[tuple[int, int, str]]:
     """All spans by start and kind; a Markov span never touches one of the fixed patterns."""
     base = base_spans(text)
-    found = [s for s in markov_spans(text, ratio) if all(s[1] <= a or b <= s[0] for a, b, _ in base)]
+    covered = sorted((a, b) for a, b, _ in base)
+    found, k, reach = [], 0, 0  # both lists rise, so one walk over each is enough
+    for span in markov_spans(text, ratio):
+        while k < len(covered) and covered[k][0] < span[1]:
+            reach, k = max(reach, covered[k][1]), k + 1
+        if reach <= span[0]:
+            found.append(span)
     return sorted(base + found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
