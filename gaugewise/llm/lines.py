@@ -33,7 +33,9 @@ def _hashed(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
         F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    lines = source.select("k", F.xxhash64("text").alias("t"), "site", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    # the text is hashed before its lines are laid out: beside the generator it would be hashed for every line
+    source = source.withColumn("t", F.xxhash64("text"))
+    lines = source.select("k", "t", "site", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return lines.filter(F.col("line").rlike(WORD)).select("k", "t", "site", "i", F.xxhash64(trimmed(F.col("line"))).alias("h"))
 
 
@@ -87,9 +89,10 @@ def dedup(
     dropped = dropped.select(F.col("k").alias("k2"), F.col("t").alias("t2"), "gone")
     joined = source.join(dropped, F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2")), "left")
     joined = joined.select("row", "gone", F.col(f"row.`{text}`").cast("string").alias("text"))
-    joined = joined.withColumn("lines", F.split("text", "\n"))
-    marked = F.transform("lines", lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    kept = F.transform(F.filter(marked, lambda x: ~F.array_contains("gone", x["i"])), lambda x: x["line"])
+    # a generator, so that the array of lines is made once and not again for every line looked up in it
+    joined = joined.select(F.inline(F.array(F.struct("row", "gone", "text", F.split("text", "\n").alias("lines")))))
+    places = F.sequence(F.lit(0), F.size("lines") - 1)
+    kept = F.transform(F.array_except(places, "gone"), lambda i: F.get("lines", i))
     return joined.select(
         "row",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
