@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -206,3 +207,100 @@ def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text"), (None, "more")], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [(r.predicted, r.score < 0.01) for r in toxicity.score(docs, model).collect()] == [(0, True)] * 2
+
+
+@pytest.mark.parametrize(
+    "around",
+    ['<article class="post comments-open">{}</article>', '<main class="no-sidebar">{}</main>', '<div class="content with-sidebar">{}</div>',
+     '<div id="main" class="has-menu">{}</div>', '<body class="sidebar menu">{}</body>'],
+)
+def test_containers_that_tell_of_the_page_keep_their_article(around):
+    tree = html.grow_tree(*html.labelled_table())
+    menu = "<ul><li>Home<li><a href=1>All news</a><li><a href=2>Contact</a></ul>"
+    article = "<h2>A title of some words</h2><p>" + "word " * 40 + "</p>"
+    page = f"{menu}{around.format(article)}<div class=\"comment-list\"><p>{'reader ' * 30}</p></div>"
+    assert html.main_text(page, tree) == "A title of some words " + "word " * 39 + "word"
+    for never in ('<article class="comment">', '<div class="site-footer">', '<div class="post related">', '<section id="sidebar">'):
+        assert html.main_text(f"<article>{article}</article>{never}<p>{'other ' * 30}</p>", tree).endswith("word")
+
+
+def test_links_of_neighbours_decide():
+    tree = html.grow_tree(*html.labelled_table())
+
+    def fields(node):
+        return {node[0]} | fields(node[2]) | fields(node[3]) if isinstance(node, tuple) else set()
+
+    assert {html.FIELDS[k] for k in fields(tree)} >= {"words", "words_after", "links", "links_after", "place"}
+    heading, label = [[8, 5, 12, 0, 0, after, html.NO_ARTICLE] for after in (0.0, 1.0)]
+    assert html.classify(tree, np.array([heading, label], float)).tolist() == [True, False]
+
+
+def blocks_slowly(page):
+    """Another cut of plain nested pages: by a parser of the standard library, without classes or raw elements."""
+    from html.parser import HTMLParser
+
+    out, text = [], []
+
+    class Cutter(HTMLParser):
+        def flush(self):
+            words = "".join(text).split()
+            text.clear()
+            if words:
+                out.append(" ".join(words))
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("b", "i", "a", "span"):
+                self.flush()
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "i", "a", "span"):
+                self.flush()
+
+        def handle_data(self, data):
+            text.append(data)
+
+    parser = Cutter(convert_charrefs=True)
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    return out
+
+
+def test_blocks_against_a_parser():
+    choose = random.Random(8)
+    for _ in range(200):
+        page, open_ = "", []
+        for _ in range(choose.randint(1, 40)):
+            kind = choose.random()
+            if kind < 0.3:
+                open_.append(choose.choice(["div", "section", "td", "b", "i", "span"]))
+                page += f"<{open_[-1]} data-x='1 > 2'>"
+            elif kind < 0.5 and open_:
+                page += f"</{open_.pop()}>"
+            else:
+                page += choose.choice(["some words ", "a &amp; b ", "\n", "x", "&eacute;t&eacute; ", "1 &lt; 2 "])
+        assert [b[0] for b in html.blocks(page)] == blocks_slowly(page)
+
+
+def test_long_texts_take_linear_time():
+    tree = html.grow_tree(*html.labelled_table())
+    began = time.time()
+    html.main_text("<div>" * 500_000 + "</section>" * 250_000, tree)
+    html.main_text("<p>word <b>bold</b> &amp; more</p>" * 150_000, tree)
+    assert time.time() - began < 30
+    ratio = np.zeros((secrets.N, secrets.N)) + 5.0
+    text = " ".join(f"password=abcdefgh{k % 7} zZ9{k:017d}x{k % 3}" for k in range(120_000))
+    began = time.time()
+    found = secrets.spans(text, ratio.tolist())
+    assert len(text) > 5_000_000 - 1_000_000 and len(found) == 240_000 and time.time() - began < 20
+
+
+def test_markov_spans_touch_no_fixed_pattern():
+    choose = random.Random(4)
+    ratio = (np.zeros((secrets.N, secrets.N)) + 5.0).tolist()
+    parts = ["password=abcdefgh1234567890abcdef", "AKIA" + "Q7" * 12, "0123456789abcdef" * 3, "Zz9_" * 7, "token: x", "api_key='0123456789abcdef0123456789abcdef00'", "plain words"]
+    for _ in range(300):
+        text = "".join(choose.choice(parts) + choose.choice([" ", "", "-", "/"]) for _ in range(choose.randint(1, 12)))
+        base, markov = secrets.base_spans(text), secrets.markov_spans(text, ratio)
+        free = [s for s in markov if all(s[1] <= a or b <= s[0] for a, b, _ in base)]
+        assert sorted(secrets.spans(text, ratio)) == sorted(base + free)
