@@ -9,9 +9,58 @@ squared error add up to it exactly.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 #: Below this number of matched observations the metrics of a location are NULL.
 MIN_OBS = 10
 
+
+@dataclass(frozen=True)
+class PairMetric:
+    """A metric of a run's own, computed in the same aggregation as the others.
+
+    ``moments`` are SQL aggregates by name, over the pair's columns written as ``{x}`` (the reference)
+    and ``{y}``; ``value`` is SQL over these names and the usual moments (n, mx, my, sx, sy, cxy, msd),
+    each in braces. Rows lacking one of the two series should not count; ``{both}`` is true for the others.
+    ``merge`` says how a moment of several sets of rows follows from theirs (sum, min or max); with it
+    the metric is available in temporal sub-windows too.
+    """
+
+    name: str
+    moments: Mapping[str, str]
+    value: str
+    merge: Mapping[str, str] | None = None
+
+    def __post_init__(self):
+        if self.merge is not None and (set(self.merge) != set(self.moments) or set(self.merge.values()) - {"sum", "min", "max"}):
+            raise ValueError(f"metric {self.name!r}: merge needs sum, min or max for each of its moments")
+        if set(self.moments) & set(_USUAL):
+            raise ValueError(f"metric {self.name!r}: {', '.join(_USUAL)} are there already")
+
+    def aggregates(self, x: str, y: str, prefix: str) -> list[str]:
+        both = f"({x} IS NOT NULL AND {y} IS NOT NULL)"
+        return [f"{sql.format(x=x, y=y, both=both)} AS {self.column(m, prefix)}" for m, sql in self.moments.items()]
+
+    def merges(self, prefix: str) -> list[str]:
+        if self.merge is None:
+            raise ValueError(f"metric {self.name!r} has no merge, so it can't be had in sub-windows")
+        return [f"{how}({self.column(m, prefix)}) AS {self.column(m, prefix)}" for m, how in self.merge.items()]
+
+    def columns(self, prefix: str) -> list[str]:
+        return [self.column(m, prefix) for m in self.moments]
+
+    def column(self, moment: str, prefix: str) -> str:
+        return f"`{prefix}{self.name}_{moment}`"
+
+    def expression(self, prefix: str) -> str:
+        usual = {m: prefix + m for m in _USUAL}
+        return f"CAST({self.value.format(**usual, **{m: self.column(m, prefix) for m in self.moments})} AS DOUBLE)"
+
+
+#: Moments that every pair has.
+_USUAL = ("n", "mx", "my", "sx", "sy", "cxy", "msd")
+
 PAIR_METRICS = ("n_obs", "R", "BIAS", "RMSD", "urmsd", "mse", "mse_corr", "mse_bias", "mse_var", "RSS")
 TRIPLE_METRICS = ("snr", "beta", "err_std")
 TRIPLE_SIDES = ("x", "y", "z")

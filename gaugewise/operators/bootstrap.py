@@ -1,8 +1,10 @@
 """Bootstrap confidence intervals of the triple collocation metrics.
 
 Every matched row draws a Poisson(1) weight per replicate instead of being resampled by
-index: the weighted moments of all replicates then come out of one aggregation with
-map-side combine, where index resampling would need a self-join of every series. The draws
+index: the weighted sums of all replicates then come out of one aggregation with
+map-side combine, where index resampling would need a self-join of every series.
+Replicates that share a hash are columns of that aggregation, so a row is copied once for
+eight of them. The draws
 are slices of the MD5 of (location, microsecond, block of replicates), so rows, replicates
 and locations are independent, and a rerun of a lost task gives the same result.
 """
@@ -35,10 +37,13 @@ POISSON_ONE = (
 )
 
 
-def hashes(key: str, micros: str, replicates: int) -> str:
-    """One MD5 for each block of replicates (SQL text)."""
-    blocks = ", ".join(f"md5(concat_ws('|', {key}, {micros}, '{b}'))" for b in range(-(-replicates // BLOCK)))
-    return f"array({blocks})"
+#: The products whose sums give the covariances.
+PRODUCTS = (("x", "x"), ("y", "y"), ("z", "z"), ("x", "y"), ("x", "z"), ("y", "z"))
+
+
+def block_hash(key: str, micros: str, block: str) -> str:
+    """The MD5 that a block of replicates is drawn from (SQL text)."""
+    return f"md5(concat_ws('|', {key}, {micros}, {block}))"
 
 
 def poisson_weight(draw: str) -> str:
@@ -48,38 +53,29 @@ def poisson_weight(draw: str) -> str:
     return f"CASE {cases} ELSE {len(limits)} END"
 
 
-def replicate_moments(
+def replicate_sums(
     matched: DataFrame, names: Sequence[str], by: Sequence[str] = ("gpi",), replicates: int = REPLICATES
 ) -> DataFrame:
-    """Weighted sample covariances of the three series per group and replicate (prefix ``_b_``).
+    """Weighted sums of the three series per group and block of replicates, and the rows ``_rows`` of the group.
 
-    One replicate more than asked for comes last: the sample itself, with weight one for every row.
+    A row stands in every block once, with a weight for each replicate of the block; the sums of a block's
+    replicates are columns of one aggregation: ``_<replicate in block>_<n, x, y, z, xx, ...>``.
     """
     x, y, z = (f"`{n}`" for n in names)
-    blocks = hashes(f"`{by[0]}`", "_t", replicates)
-    draw = f"substring(_h[replicate div {BLOCK}], replicate % {BLOCK} * {DIGITS} + 1, {DIGITS})"
+    keys = [f"`{k}`" for k in by]
+    products = ", ".join(f"{a} * {b} AS {a}{b}" for a, b in PRODUCTS).split(", ")
+    rows = matched.selectExpr(*keys, f"{x} AS x", f"{y} AS y", f"{z} AS z", "unix_micros(CAST(ts AS TIMESTAMP)) AS _t")
     drawn = (
-        matched.selectExpr(
-            *[f"`{k}`" for k in by], f"{x} AS x", f"{y} AS y", f"{z} AS z", f"unix_micros(CAST(ts AS TIMESTAMP)) AS _t"
-        )
-        .withColumn("_h", F.expr(blocks))
-        # the last one is the sample itself, which tells how many rows a group has
-        .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-        .withColumn("_w", F.expr(f"CASE WHEN replicate = {replicates} THEN 1 ELSE {poisson_weight(draw)} END"))
-        .where("_w > 0")
-    )
-    pairs = {"xx": "x*x", "yy": "y*y", "zz": "z*z", "xy": "x*y", "xz": "x*z", "yz": "y*z"}
-    sums = drawn.groupBy(*by, "replicate").agg(
-        F.sum("_w").alias("_b_n"),
-        *[F.expr(f"sum(_w * {s})").alias(f"_s{s}") for s in "xyz"],
-        *[F.expr(f"sum(_w * {product})").alias(f"_s{name}") for name, product in pairs.items()],
-    )
-    return sums.where("_b_n > 1").selectExpr(
-        *[f"`{k}`" for k in by],
-        "replicate",
-        "_b_n",
-        *[f"(_s{n} - _s{n[0]} * _s{n[1]} / _b_n) / (_b_n - 1) AS _b_q{n}" for n in pairs],
+        rows.selectExpr("*", *products)
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // BLOCK) - 1))))
+        .withColumn("_h", F.expr(block_hash(f"`{by[0]}`", "_t", "_block")))
+        .selectExpr("*", *[f"{poisson_weight(f'substring(_h, {r * DIGITS + 1}, {DIGITS})')} AS _w{r}" for r in range(BLOCK)])
     )
+    sums = ["count(1) AS _rows"]
+    for r in range(BLOCK):
+        sums.append(f"sum(_w{r}) AS _{r}_n")
+        sums += [f"sum(_w{r} * {s}) AS _{r}_{s}" for s in (*"xyz", *(a + b for a, b in PRODUCTS))]
+    return drawn.groupBy(*by, "_block").agg(*map(F.expr, sums))
 
 
 def triple_intervals(
@@ -92,23 +88,56 @@ def triple_intervals(
     """``by, metric, dataset, lower, upper``: percentile intervals of snr, beta and err_std, null
     where a group has too few rows for the metrics themselves.
 
-    The percentiles are over ``replicates`` values per group, a fixed number.
+    The percentiles are over ``replicates`` values per group, a fixed number, held in one array.
     """
-    moments = replicate_moments(matched, names, by, replicates)
-    entries = ", ".join(
-        f"struct('{metric}' AS metric, '{dataset}' AS dataset, {stats.triple_metric(metric, side, '_b_')} AS value)"
-        for metric in stats.TRIPLE_METRICS
-        for side, dataset in zip(stats.TRIPLE_SIDES, names)
-    )
-    tail = (1 - confidence) / 2
-    drawn, rows = f"replicate < {replicates}", f"max(CASE WHEN replicate = {replicates} THEN _b_n END)"
-    return (
-        moments.selectExpr(*[f"`{k}`" for k in by], "replicate", "_b_n", f"inline(array({entries}))")
-        .groupBy(*by, "metric", "dataset")
+    keys = [f"`{k}`" for k in by]
+    sums = replicate_sums(matched, names, by, replicates)
+    # sample covariances of every replicate of the block
+    covariances = [
+        f"CASE WHEN _{r}_n > 1 AND _block * {BLOCK} + {r} < {replicates} "
+        f"THEN (_{r}_{a}{b} - _{r}_{a} * _{r}_{b} / _{r}_n) / (_{r}_n - 1) END AS _{r}_q{a}{b}"
+        for r in range(BLOCK)
+        for a, b in PRODUCTS
+    ]
+    wanted = [(metric, side) for metric in stats.TRIPLE_METRICS for side in stats.TRIPLE_SIDES]
+    arrays = [
+        "array(" + ", ".join(_replicate_metric(metric, side, r) for r in range(BLOCK)) + f") AS _{metric}_{side}"
+        for metric, side in wanted
+    ]
+    values = (
+        sums.selectExpr(*keys, "_rows", *covariances)
+        .selectExpr(*keys, "_rows", *arrays)
+        .groupBy(*by)
         .agg(
+            F.max("_rows").alias("_rows"),
             *[
-                F.expr(f"CASE WHEN {rows} >= {stats.MIN_OBS} THEN percentile(CASE WHEN {drawn} THEN value END, {q!r}D) END").alias(name)
-                for name, q in (("lower", tail), ("upper", 1 - tail))
-            ]
+                F.expr(f"array_sort(array_compact(flatten(collect_list(_{metric}_{side})))) AS _{metric}_{side}")
+                for metric, side in wanted
+            ],
         )
     )
+    dataset = dict(zip(stats.TRIPLE_SIDES, names))
+    tail = (1 - confidence) / 2
+    entries = ", ".join(
+        f"struct('{metric}' AS metric, '{dataset[side]}' AS dataset, _{metric}_{side} AS _v)" for metric, side in wanted
+    )
+    enough = f"_rows >= {stats.MIN_OBS}"
+    return values.selectExpr(*keys, "_rows", f"inline(array({entries}))").selectExpr(
+        *keys,
+        "metric",
+        "dataset",
+        f"CASE WHEN {enough} THEN {_quantile('_v', tail)} END AS lower",
+        f"CASE WHEN {enough} THEN {_quantile('_v', 1 - tail)} END AS upper",
+    )
+
+
+def _replicate_metric(metric: str, side: str, r: int) -> str:
+    """A metric of one replicate; the reference's slope is 1 only where the replicate counts."""
+    return f"CASE WHEN _{r}_qxx IS NOT NULL THEN {stats.triple_metric(metric, side, f'_{r}_')} END"
+
+
+def _quantile(values: str, q: float) -> str:
+    """Interpolated quantile of a sorted array without nulls (SQL text); null of an empty one."""
+    at = f"({q!r}D * (size({values}) - 1))"
+    low, high = f"get({values}, CAST(floor({at}) AS INT))", f"get({values}, CAST(ceil({at}) AS INT))"
+    return f"{low} + ({at} - floor({at})) * ({high} - {low})"

@@ -6,6 +6,11 @@ border is repeated in the neighbouring tile it can still serve, so results do no
 on the tiling. Inside a tile one sort and a pair of null-skipping lag/lead functions find
 the candidates on both sides of every reference row: no pairs are formed, and the work
 stays linear after the sort however many candidates lie within the tolerance.
+
+A tile that holds a large share of all rows, be they references or candidates, is cut into
+ranges of time, however short. Candidates are then not repeated: the last and the first
+candidate of every piece are passed on over the pieces after and before it, so a piece needs
+none of its neighbours' rows.
 """
 
 from __future__ import annotations
@@ -14,10 +19,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gaugewise.functions.timing import DAY_US, epoch_us, tile_of
-from gaugewise.operators import skew
-from gaugewise.operators.skew import attach, crowding, settle
+from gaugewise.operators.skew import attach, crowding, cut_ranges, may_crowd, settle
 
 
 def unique_times(series: DataFrame, keys: Sequence[str] = ("gpi",)) -> DataFrame:
@@ -69,12 +74,10 @@ def match_datasets(
     series = series.where(F.col("dataset").isin(reference, *others) & F.col("value").isNotNull())
     if not unique:
         candidates = unique_times(series.where(F.col("dataset") != reference), ["dataset", *keys])
-        rows = series.where(F.col("dataset") == reference).select(*candidates.columns)
+        # read for the distinct times and for the match
+        rows = settle(series.where(F.col("dataset") == reference).select(*candidates.columns))
         times = settle(rows.groupBy("dataset", *keys, "ts").agg(F.count(F.lit(1)).alias("n")))
-        crowd = crowding(times)
-        if crowd.total > skew.FLOOR:
-            tile_us = _fitting_tile(times, keys, tile_us, half_window_us)
-        if crowd.any_hot:
+        if crowding(times).any_hot:
             # match the distinct times, with their row counts in place of values, and join the rows back
             distinct = times.withColumn("value", F.col("n").cast("double")).select(*candidates.columns)
             found = match_datasets(
@@ -85,10 +88,7 @@ def match_datasets(
             return attach(rows, found.withColumnRenamed(reference, "n"), [*keys, "ts"]).select(*found.columns)
         series = rows.unionByName(candidates)
 
-    is_ref = F.col("dataset") == reference
-    us = F.col("_us")
-    own_tile = tile_of(us, tile_us)
-    served_tiles = F.sequence(tile_of(us - half_window_us, tile_us), tile_of(us + half_window_us, tile_us))
+    is_ref, us = F.col("dataset") == reference, F.col("_us")
     value = F.col("value").cast("double")
     tagged = series.withColumn("_us", epoch_us()).select(
         *keys,
@@ -100,10 +100,9 @@ def match_datasets(
             F.when(F.col("dataset") == name, F.struct(us.alias("us"), value.alias("value"))).alias(f"_c_{i}")
             for i, name in enumerate(others)
         ],
-        F.explode(F.when(is_ref, F.array(own_tile)).otherwise(served_tiles)).alias("_tile"),
     )
-
-    over = f"OVER (PARTITION BY {', '.join(keys)}, _tile ORDER BY _us, _is_ref)"
+    tagged, tile = _tiled(tagged, keys, len(others), tile_us, half_window_us)
+    over = f"OVER (PARTITION BY {', '.join([*keys, *tile])} ORDER BY _us, _is_ref)"
     found = tagged.select(
         *keys,
         "ts",
@@ -137,14 +136,53 @@ def tile_width(half_window_us: int) -> int:
     return max(min(64 * half_window_us, max(8 * half_window_us, 30 * DAY_US)), 1)
 
 
-def _fitting_tile(times: DataFrame, keys: list[str], tile_us: int, half_window_us: int) -> int:
-    """Narrows the tile while one tile of one location holds a large share of all reference rows."""
-    while tile_us > 2 * half_window_us:
-        tiles = times.groupBy(*keys, tile_of(epoch_us(), tile_us).alias("_tile")).agg(F.count(F.lit(1)).alias("n"))
-        if not crowding(tiles).any_hot:
-            break
-        tile_us = max(tile_us // 8, 2 * half_window_us)
-    return tile_us
+def _tiled(tagged: DataFrame, keys: list[str], n: int, tile_us: int, half_window_us: int) -> tuple[DataFrame, list[str]]:
+    """``tagged`` with every candidate in all tiles it can serve, and the columns that number the tiles."""
+    us = F.col("_us")
+    own = tile_of(us, tile_us)
+    if may_crowd(tagged):
+        # read for the sizes of the tiles, for the cuts and for the match
+        tagged = settle(tagged)
+        placed = tagged.withColumn("_tile", own)
+        sizes = settle(placed.groupBy(*keys, "_tile").agg(F.count(F.lit(1)).alias("n")))
+        crowd = crowding(sizes)
+        if crowd.any_hot:
+            return _pieces(cut_ranges(placed, [*keys, "_tile"], "_us", sizes, crowd), keys, n), ["_tile", "_sub"]
+    served = F.sequence(tile_of(us - half_window_us, tile_us), tile_of(us + half_window_us, tile_us))
+    return tagged.withColumn("_tile", F.explode(F.when(F.col("_is_ref"), F.array(own)).otherwise(served))), ["_tile"]
+
+
+def _pieces(placed: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``placed`` plus, in every piece, the nearest candidates of each dataset before and after the piece.
+
+    One row a piece is passed along its location: a location has as many as its time range has tiles,
+    and a bounded number of cuts more.
+    """
+    piece = ["_tile", "_sub"]
+    ends = placed.groupBy(*keys, *piece).agg(
+        *[F.max(f"_c_{i}").alias(f"_l_{i}") for i in range(n)], *[F.min(f"_c_{i}").alias(f"_f_{i}") for i in range(n)]
+    )
+    # both from the start of the order: a frame that ends at its end would be walked anew for every row
+    onward = W.partitionBy(*keys).orderBy(*piece).rowsBetween(W.unboundedPreceding, -1)
+    back = W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in piece]).rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(
+        *keys,
+        *piece,
+        *[F.last(f"_l_{i}", ignorenulls=True).over(onward).alias(f"_b_{i}") for i in range(n)],
+        *[F.last(f"_f_{i}", ignorenulls=True).over(back).alias(f"_a_{i}") for i in range(n)],
+    )
+    entries = ", ".join(f"struct({i} AS _i, _{side}_{i} AS _c)" for i in range(n) for side in "ba")
+    carried = carried.selectExpr(*[f"`{k}`" for k in keys], *piece, f"inline(array({entries}))").where("_c IS NOT NULL")
+    rows = carried.selectExpr(
+        *[f"`{k}`" for k in keys],
+        "CAST(NULL AS TIMESTAMP_NTZ) AS ts",
+        "_c.us AS _us",
+        "false AS _is_ref",
+        "CAST(NULL AS DOUBLE) AS _ref",
+        *[f"CASE WHEN _i = {i} THEN _c END AS _c_{i}" for i in range(n)],
+        *piece,
+    )
+    return placed.unionByName(rows)
 
 
 def _closer(i: int, half_window_us: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.functions import stats
+from gaugewise.operators import moments
 from gaugewise.operators.ranking import with_ranks
 
 #: Status of a location and sub-window.
@@ -35,6 +36,7 @@ def metrics_wide(
     by: Sequence[str] = ("gpi",),
     triples: bool = False,
     ranked: bool = False,
+    own: Sequence[stats.PairMetric] = (),
 ) -> DataFrame:
     """Moments of all pairs (and triples) of every location in a single aggregation.
 
@@ -46,6 +48,8 @@ def metrics_wide(
         if ranked:
             x, y = (_quoted(f"rank_{name}") for name in names)
             aggregates.append(f"{stats.pearson(x, y)} AS _p{i}_rho")
+        for metric in own:
+            aggregates += metric.aggregates(*map(_quoted, names), prefix=f"_p{i}_")
     if triples:
         for i, names in enumerate(triple_names(reference, others)):
             aggregates += stats.triple_moments(*map(_quoted, names), prefix=f"_t{i}_")
@@ -61,12 +65,23 @@ def metrics_long(
     min_obs: int = stats.MIN_OBS,
     pair_metrics: Sequence[str] = stats.PAIR_METRICS,
     rank_correlation: bool = False,
+    own: Sequence[stats.PairMetric] = (),
 ) -> DataFrame:
     """Tidy metrics: ``by``, ``combo`` (datasets joined by ``_and_``), ``metric``, ``value``.
 
+    ``own`` adds metrics of the caller's to every pair.
+
     Metrics of a location with fewer than ``min_obs`` matches are NULL; its ``n_obs`` and
     ``status`` are always present.
     """
+    if rank_correlation:
+        matched = with_ranks(matched, by, [reference, *others])
+    wide = metrics_wide(matched, reference, others, by, triples, ranked=rank_correlation, own=own)
+    return _tidy(wide, reference, others, by, triples, min_obs, pair_metrics, rank_correlation, own)
+
+
+def _tidy(wide, reference, others, by, triples, min_obs, pair_metrics, rank_correlation=False, own=()) -> DataFrame:
+    """One row for each metric of the moments that ``metrics_wide`` names."""
     entries = []
 
     def add(combo, metric, value, n=None):
@@ -82,6 +97,8 @@ def metrics_long(
             add(combo, metric, stats.pair_metric(metric, f"_p{i}_"), n=None if metric == "n_obs" else n)
         if rank_correlation:
             add(combo, "rho", f"_p{i}_rho", n)
+        for metric in own:
+            add(combo, metric.name, metric.expression(f"_p{i}_"), n)
         add_status(combo, n)
     if triples:
         for i, names in enumerate(triple_names(reference, others)):
@@ -90,9 +107,72 @@ def metrics_long(
                 for side, dataset in zip(stats.TRIPLE_SIDES, names):
                     add(combo, f"{metric}_{dataset}", stats.triple_metric(metric, side, f"_t{i}_"), n)
             add_status(combo, n)
-    if rank_correlation:
-        matched = with_ranks(matched, by, [reference, *others])
-    wide = metrics_wide(matched, reference, others, by, triples, ranked=rank_correlation)
+    return wide.selectExpr(*map(_quoted, by), f"inline(array({', '.join(entries)}))")
+
+
+def moment_groups(reference: str, others: Sequence[str], triples: bool = False) -> dict[str, tuple[str, ...]]:
+    """The pairs and triples under the prefixes that their moments carry."""
+    groups = {f"_p{i}_": names for i, names in enumerate(pair_names(reference, others))}
+    if triples:
+        groups |= {f"_t{i}_": names for i, names in enumerate(triple_names(reference, others))}
+    return groups
+
+
+def metrics_of_moments(
+    merged: DataFrame,
+    reference: str,
+    others: Sequence[str],
+    by: Sequence[str],
+    triples: bool = False,
+    min_obs: int = stats.MIN_OBS,
+    pair_metrics: Sequence[str] = stats.PAIR_METRICS,
+    own: Sequence[stats.PairMetric] = (),
+) -> DataFrame:
+    """Tidy metrics as of ``metrics_long``, from merged moments of ``moment_groups``."""
+    columns = []
+    for prefix, names in moment_groups(reference, others, triples).items():
+        columns += moments.pair_columns(prefix) if len(names) == 2 else moments.triple_columns(prefix)
+    columns += [c for i in range(len(others)) for metric in own for c in metric.columns(f"_p{i}_")]
+    wide = merged.selectExpr(*map(_quoted, by), *columns)
+    return _tidy(wide, reference, others, by, triples, min_obs, pair_metrics, own=own)
+
+
+def window_metrics(
+    matched: DataFrame,
+    reference: str,
+    others: Sequence[str],
+    cells: moments.Cells,
+    by: Sequence[str] = ("gpi",),
+    triples: bool = False,
+    min_obs: int = stats.MIN_OBS,
+    pair_metrics: Sequence[str] = stats.PAIR_METRICS,
+    own: Sequence[stats.PairMetric] = (),
+) -> DataFrame:
+    """Tidy metrics of every temporal sub-window (``tsw``), from one aggregation of the matched rows."""
+    groups = moment_groups(reference, others, triples)
+    more, merges = [], []
+    for i, names in enumerate(pair_names(reference, others)):
+        for metric in own:
+            more += metric.aggregates(*map(_quoted, names), prefix=f"_p{i}_")
+            merges += metric.merges(f"_p{i}_")
+    in_cells = moments.cell_moments(matched, groups, cells, by, more)
+    merged = moments.window_moments(in_cells, groups, cells, by, merges)
+    return metrics_of_moments(merged, reference, others, [*by, "tsw"], triples, min_obs, pair_metrics, own)
+
+
+def rank_correlations(
+    rows: DataFrame, reference: str, others: Sequence[str], by: Sequence[str], min_obs: int = stats.MIN_OBS
+) -> DataFrame:
+    """Tidy ``rho`` of every pair; ranks do not merge, so ``rows`` stand in every window that they belong to."""
+    ranked = with_ranks(rows, by, [reference, *others])
+    aggregates, entries = [], []
+    for i, names in enumerate(pair_names(reference, others)):
+        x, y = (_quoted(f"rank_{name}") for name in names)
+        both = " AND ".join(f"{_quoted(name)} IS NOT NULL" for name in names)
+        aggregates += [f"count(CASE WHEN {both} THEN 1 END) AS _n{i}", f"{stats.pearson(x, y)} AS _rho{i}"]
+        value = f"CASE WHEN _n{i} >= {min_obs} THEN _rho{i} END"
+        entries.append(f"struct('{'_and_'.join(names)}' AS combo, 'rho' AS metric, {value} AS value)")
+    wide = ranked.groupBy(*by).agg(*map(F.expr, aggregates))
     return wide.selectExpr(*map(_quoted, by), f"inline(array({', '.join(entries)}))")
 
 

@@ -74,7 +74,7 @@ def _cdf_match(matched: DataFrame, reference: str, others: list[str], by: list[s
     )
     points = points.select(*by, "_series", "n", F.array(*probabilities).alias("_points"))
     if beta:
-        points = points.withColumn("_points", distinct_percentiles("_points"))
+        points = distinct_percentiles(points, "_points")
     per_key = points.groupBy(*by).agg(
         F.max("n").alias("_n"),
         *[F.max(F.when(F.col("_series") == i, F.col("_points"))).alias(f"_points_{i}") for i in range(len(names))],

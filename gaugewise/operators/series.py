@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.functions.timing import DAY_US, epoch_us, tile_of
-from gaugewise.operators.skew import attach
+from gaugewise.operators.skew import attach, crowding, cut_ranges, may_crowd, settle
 
 # Quality columns whose gaps mean "nothing reported".
 QUALITY_COLUMNS = (
@@ -61,10 +61,11 @@ def moving_mean(
     Prefix sums instead of a sliding frame: every row asks for the running sum at the two
     edges of its window, so the work per row does not depend on how many values the window
     holds. Location and time tile form the partition; values near a tile border are also
-    sent to the neighbour that needs them.
+    sent to the neighbour that needs them. If a tile holds a large share of all rows, tiles
+    are cut into ranges of time instead, and what lies before a piece comes from the sums of
+    the pieces before it.
     """
     keys = list(keys)
-    key_list = ", ".join(f"`{k}`" for k in keys)
     half = int(window_days * DAY_US / 2)
     tile_us = tile_us or 8 * half
     series = series.where(F.col("value").isNotNull()).select(*keys, "ts", F.col("value").cast("double").alias("value"))
@@ -72,8 +73,50 @@ def moving_mean(
         merged = series.withColumn("_copies", F.lit(1).cast("bigint"))
     else:
         merged = series.groupBy(*keys, "ts", "value").agg(F.count(F.lit(1)).alias("_copies"))
+    merged = merged.withColumn("_us", epoch_us())
+    if may_crowd(merged):
+        merged = settle(merged)  # read for the sizes of the tiles, for the cuts and for the sums
+        events = _window_events(merged, half).withColumn("_tile", tile_of(F.col("_at"), tile_us))
+        sizes = settle(events.groupBy(*keys, "_tile").agg(F.count(F.lit(1)).alias("n")))
+        crowd = crowding(sizes)
+        if crowd.any_hot:
+            running = _sums_over_pieces(cut_ranges(events, [*keys, "_tile"], "_at", sizes, crowd), keys)
+        else:
+            running = _sums_in_tiles(merged, keys, half, tile_us)
+    else:
+        running = _sums_in_tiles(merged, keys, half, tile_us)
+    pieces = [c for c in ("_tile",) if c in running.columns]
+    at_edges = (
+        running.where("_edge <> 0")
+        .groupBy(*keys, *pieces, "_us", "ts", "value", "_copies")
+        .agg(
+            F.expr("max(CASE WHEN _edge = 1 THEN _sum END) - max(CASE WHEN _edge = -1 THEN _sum END)").alias("_s"),
+            F.expr("max(CASE WHEN _edge = 1 THEN _count END) - max(CASE WHEN _edge = -1 THEN _count END)").alias("_c"),
+            F.max("_level").alias("_level"),
+        )
+    )
+    result = at_edges.selectExpr(*keys, "ts", "value", "_level + _s / _c AS mean", "_copies")
+    if not unique:
+        result = result.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy")
+    return result.drop("_copies")
+
+
+def _window_events(merged: DataFrame, half: int) -> DataFrame:
+    """Every value where it stands (edge 0), and the two edges of its window."""
+    return merged.selectExpr(
+        "*", f"inline(array(struct(_us AS _at, 0 AS _edge), struct(_us - {half} AS _at, -1 AS _edge), struct(_us + {half} AS _at, 1 AS _edge)))"
+    )
+
+
+def _running(keys: list[str], *tile: str) -> str:
+    names = ", ".join(f"`{k}`" for k in [*keys, *tile])
+    return f"OVER (PARTITION BY {names} ORDER BY _at, _edge ROWS UNBOUNDED PRECEDING)"
+
+
+def _sums_in_tiles(merged: DataFrame, keys: list[str], half: int, tile_us: int) -> DataFrame:
+    """Running sum and count at all events, values being sent to every tile whose windows reach them."""
     us = F.col("_us")
-    placed = merged.withColumn("_us", epoch_us()).select(
+    placed = merged.select(
         "*",
         tile_of(us, tile_us).alias("_own"),
         tile_of(us - half, tile_us).alias("_first"),
@@ -91,24 +134,48 @@ def moving_mean(
         "_own AS _tile",
         f"inline(array(struct(_us - {half} AS _at, -1 AS _edge), struct(_us + {half} AS _at, 1 AS _edge)))",
     )
-    over = f"OVER (PARTITION BY {key_list}, _tile ORDER BY _at, _edge ROWS UNBOUNDED PRECEDING)"
-    running = value_events.unionByName(edge_events).selectExpr(
+    over = _running(keys, "_tile")
+    return value_events.unionByName(edge_events).selectExpr(
         "*",
         f"coalesce(sum(CASE WHEN _edge = 0 THEN value * _copies END) {over}, 0D) AS _sum",
         f"coalesce(sum(CASE WHEN _edge = 0 THEN _copies END) {over}, 0) AS _count",
+        "0D AS _level",
     )
-    at_edges = (
-        running.where("_edge <> 0")
-        .groupBy(*keys, "_tile", "_us", "ts", "value", "_copies")
-        .agg(
-            F.expr("max(CASE WHEN _edge = 1 THEN _sum END) - max(CASE WHEN _edge = -1 THEN _sum END)").alias("_s"),
-            F.expr("max(CASE WHEN _edge = 1 THEN _count END) - max(CASE WHEN _edge = -1 THEN _count END)").alias("_c"),
-        )
+
+
+def _sums_over_pieces(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Running sum and count at all events: those of the pieces before, then those inside the piece.
+
+    Values are taken against the location's mean (``_level``), so that sums over a long series stay
+    small. The windows over pieces see one row a piece: the tiles of a location's time range and a
+    bounded number of cuts.
+    """
+    piece = [*keys, "_tile", "_sub"]
+    totals = events.groupBy(*piece).agg(
+        F.expr("coalesce(sum(CASE WHEN _edge = 0 THEN value * _copies END), 0D)").alias("_v"),
+        F.expr("coalesce(sum(CASE WHEN _edge = 0 THEN _copies END), 0)").alias("_n"),
+    )
+    group = ", ".join(f"`{k}`" for k in keys)
+    levelled = totals.selectExpr("*", f"sum(_v) OVER (PARTITION BY {group}) / sum(_n) OVER (PARTITION BY {group}) AS _level")
+    earlier = f"OVER (PARTITION BY {group} ORDER BY _tile, _sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    offsets = levelled.selectExpr(
+        *[f"`{k}`" for k in piece],
+        "_level",
+        f"coalesce(sum(_v - _n * _level) {earlier}, 0D) AS _v0",
+        f"coalesce(sum(_n) {earlier}, 0) AS _n0",
+    )
+    over = _running(keys, "_tile", "_sub")
+    return events.join(offsets, piece).selectExpr(
+        *[f"`{k}`" for k in keys],
+        "ts",
+        "value",
+        "_copies",
+        "_us",
+        "_edge",
+        "_level",
+        f"_v0 + coalesce(sum(CASE WHEN _edge = 0 THEN (value - _level) * _copies END) {over}, 0D) AS _sum",
+        f"_n0 + coalesce(sum(CASE WHEN _edge = 0 THEN _copies END) {over}, 0) AS _count",
     )
-    result = at_edges.selectExpr(*keys, "ts", "value", "_s / _c AS mean", "_copies")
-    if not unique:
-        result = result.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy")
-    return result.drop("_copies")
 
 
 def moving_anomaly(series: DataFrame, window_days: float = 35, keys=("gpi",), unique: bool = False) -> DataFrame:

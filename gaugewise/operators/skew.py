@@ -10,8 +10,9 @@ plan is built: the usual case gets the plain plan, the skewed case the one that
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 from collections.abc import Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -23,6 +24,10 @@ PARTS = 16_384
 FLOOR = 1_000_000
 #: Copies of one row that travel together.
 CHUNK = 100_000
+#: Ranges that a hot group is cut into at most; a range is looked up among every BLOCK-th cut first.
+RANGES, BLOCK = 1024, 32
+#: Bytes of a row at least, by which the planner's estimate of a size becomes one of rows.
+ROW_BYTES = 16
 
 
 def settle(frame: DataFrame) -> DataFrame:
@@ -35,27 +40,30 @@ def settle(frame: DataFrame) -> DataFrame:
         return frame
     spark = frame.sparkSession
     path = f"{checkpoint_dir(spark)}/gaugewise/{uuid.uuid4().hex}"
-    if _written:
-        _written[-1].append(path)
+    open_ = _written.get()
+    if open_ is not None:
+        open_.append(path)
     frame.write.parquet(path)
     stored = spark.read.schema(frame.schema).parquet(path)
     stored._settled = True
     return stored
 
 
-#: Folders written inside each open ``intermediate_results``.
-_written: list[list[str]] = []
+#: Folders written inside the innermost open ``intermediate_results`` of this thread or task.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 @contextmanager
 def intermediate_results(spark):
     """Removes what ``settle`` wrote inside, once the results that needed it are written."""
-    _written.append([])
+    written_here: list[str] = []
+    token = _written.set(written_here)
     try:
         yield
     finally:
+        _written.reset(token)
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for written in _written.pop():
+        for written in written_here:
             path = jvm.org.apache.hadoop.fs.Path(written)
             path.getFileSystem(conf).delete(path, True)
 
@@ -81,6 +89,51 @@ def crowding(counts: DataFrame, count_col: str = "n", parts: int | None = None,
     return Crowding(total, largest, max(total / parts, floor))
 
 
+def may_crowd(frame: DataFrame) -> bool:
+    """Whether ``frame`` may have more than FLOOR rows, by the planner's own estimate of its size.
+
+    Spares small inputs the pass that counts their groups. An estimate that is too low only means that
+    one task may get a few times FLOOR rows.
+    """
+    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) > FLOOR * ROW_BYTES
+
+
+def cut_ranges(rows: DataFrame, keys: Sequence[str], value: str, sizes: DataFrame, crowd: Crowding) -> DataFrame:
+    """``rows`` plus ``_sub``: 0, or for rows of a hot group the number of their range of ``value``.
+
+    ``sizes`` has ``n`` rows of every group. A hot group is cut at its approximate quantiles into about
+    as many ranges as it exceeds the threshold, RANGES at most. Equal values share a range.
+    """
+    keys = list(keys)
+    probabilities = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
+    # fewer than PARTS groups are hot and their ranges number at most 2 * PARTS, so the list of cuts is bounded
+    hot = F.broadcast(sizes.where(F.col("n") > crowd.threshold).select(*keys, F.col("n").alias("_n")))
+    step = f"greatest(1, floor({RANGES} * {crowd.threshold!r}D / _n))"
+    cuts = (
+        rows.select(*keys, F.col(value).alias("_v"))
+        .join(hot, keys)
+        .groupBy(*keys, "_n")
+        .agg(F.expr(f"approx_percentile(_v, array({probabilities}), 10000)").alias("_all"))
+        .withColumn("_cuts", F.expr(f"array_distinct(filter(_all, (c, i) -> (i + 1) % {step} = 0))"))
+        .withColumn("_blocks", F.expr(f"filter(_cuts, (c, i) -> (i + 1) % {BLOCK} = 0)"))
+        .select(*keys, "_cuts", "_blocks")
+    )
+    v = f"`{value}`"
+    return (
+        rows.join(F.broadcast(cuts), keys, "left")
+        .withColumn("_block", F.expr(f"CASE WHEN _cuts IS NULL THEN 0 ELSE {BLOCK} * size(filter(_blocks, c -> c < {v})) END"))
+        .withColumn(
+            "_sub",
+            F.expr(
+                "CASE WHEN _cuts IS NULL THEN 0 "
+                f"ELSE _block + size(filter(slice(_cuts, _block + 1, {BLOCK - 1}), c -> c < {v})) END"
+            ),
+        )
+        .drop("_cuts", "_blocks", "_block")
+    )
+
+
 def attach(
     rows: DataFrame,
     stats: DataFrame,

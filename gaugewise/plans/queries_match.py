@@ -194,3 +194,38 @@ METRICS_SQL = f"""WITH {MATCHED}, pairs AS (SELECT gpi, ts, 'A_and_N' AS combo,
 def validation_metrics(spark, d):
     """Flagship: three-way nearest match and every pairwise metric per location."""
     return metrics_long(matched_three(spark, d), "A", ["N", "R"]).select("gpi", "combo", "metric", r6("value"))
+
+
+#: Metrics that are not among the library's own.
+OWN_METRICS = (
+    stats.PairMetric(
+        "MAD",
+        {"gap": "sum(CASE WHEN {both} THEN abs({x} - {y}) END)"},
+        "{gap} / {n}",
+        {"gap": "sum"},
+    ),
+    stats.PairMetric("NSE", {}, "CASE WHEN {sx} > 0 THEN 1 - {msd} / ({sx} * {sx}) END", {}),
+    stats.PairMetric(
+        "max_gap", {"top": "max(CASE WHEN {both} THEN abs({x} - {y}) END)"}, "{top}", {"top": "max"}
+    ),
+)
+SQL_OWN = {
+    "MAD": "avg(abs(x - y))",
+    "NSE": "1 - sum((x - y) * (x - y)) / nullif(var_pop(x) * count(*), 0)",
+    "max_gap": "max(abs(x - y))",
+}
+
+
+@query(
+    "pairwise_custom",
+    f"""WITH {MATCHED}, pairs AS (SELECT gpi, ts, 'A_and_N' AS combo, A AS x, N AS y FROM matched
+        UNION ALL SELECT gpi, ts, 'A_and_R', A, R FROM matched),
+        long AS ({' UNION ALL '.join(
+            f"SELECT gpi, combo, '{m}' AS metric, CASE WHEN count(*) >= {stats.MIN_OBS} THEN {sql} END AS value FROM pairs GROUP BY gpi, combo"
+            for m, sql in SQL_OWN.items())})
+        SELECT gpi, combo, metric, {s6('value')} FROM long UNION ALL {METRICS_SQL.replace('WITH', 'SELECT * FROM (WITH', 1)})""",
+)
+def pairwise_custom(spark, d):
+    """Metrics of the caller's beside the library's, in one aggregation."""
+    metrics = metrics_long(matched_three(spark, d), "A", ["N", "R"], own=OWN_METRICS)
+    return metrics.select("gpi", "combo", "metric", r6("value"))

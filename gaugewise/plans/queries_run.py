@@ -5,10 +5,12 @@ from __future__ import annotations
 from gaugewise.config import parse_run
 from gaugewise.functions import stats
 from gaugewise.operators import filters as flt
+from gaugewise.operators.subwindows import MONTHS
 from gaugewise.plans import canonical as c
-from gaugewise.plans.queries_match import MATCHED, SQL_PAIR
+from gaugewise.plans.queries_match import MATCHED, SQL_R
 from gaugewise.plans.queries_results import _LUT, _SENSOR_SERIES, _nearest_sql
 from gaugewise.plans.queries_scan import OBS, POINTS, SENSORS
+from gaugewise.plans.queries_series import SLOPES_SQL, TC_SQL, TRIPLE, YEARS_SQL, intervals_sql, long_sql, recurring_sql
 from gaugewise.plans.registry import query, r6, s6
 from gaugewise.plans.validation import ValidationPlan
 from gaugewise.sources.loaders import Source
@@ -31,7 +33,7 @@ def _entry(number: int, name: str, reader: str = "GriddedNcOrthoMultiTs", km: fl
 
 
 def _metrics(spark, entries, sources, **fields):
-    """All metrics but the rank correlation, which ``pairwise_spearman`` checks."""
+    """All metrics of the run."""
     run = parse_run(
         {
             "validation_run": {
@@ -46,7 +48,7 @@ def _metrics(spark, entries, sources, **fields):
     )
     plan = ValidationPlan(spark, run, sources)
     tidy = plan.metrics(plan.matched(plan.reference_points()))
-    return tidy.where("metric <> 'rho'").select("gpi", "combo", "metric", r6("value"))
+    return tidy.select(*[c for c in ("gpi", "tsw", "combo", "metric") if c in tidy.columns], r6("value"))
 
 
 def _grid(spark, d, name):
@@ -57,17 +59,19 @@ def _sensors(spark, d):
     return Source(c.sensors(spark, d), c.sensor_series(spark, d))
 
 
-#: One row for each metric of the rows (gpi, combo, x, y) of ``pairs``.
-_LONG = (
-    " UNION ALL ".join(
-        f"SELECT gpi, combo, '{m}' AS metric, "
-        + (sql if m == "n_obs" else f"CASE WHEN count(*) >= {stats.MIN_OBS} THEN {sql} END")
-        + " AS value FROM pairs GROUP BY gpi, combo"
-        for m, sql in SQL_PAIR.items()
-    )
-    + " UNION ALL SELECT gpi, combo, 'status',"
-    f" CASE WHEN count(*) >= {stats.MIN_OBS} THEN 0 ELSE 1 END FROM pairs GROUP BY gpi, combo"
-)
+def _rho_sql(by: str, pairs: str = "pairs") -> str:
+    """Rank correlation of every ``by`` and combo of ``pairs``, ties sharing their average rank."""
+    group = f"PARTITION BY {by}, combo"
+
+    def rank(v):
+        return f"rank() OVER ({group} ORDER BY {v}) + (count(*) OVER ({group}, {v}) - 1) / 2.0 AS {v}"
+
+    return f"""SELECT {by}, combo, 'rho' AS metric, CASE WHEN count(*) >= {stats.MIN_OBS} THEN {SQL_R} END AS value
+      FROM (SELECT {by}, combo, {rank('x')}, {rank('y')} FROM {pairs}) GROUP BY {by}, combo"""
+
+
+#: All metrics of the rows (gpi, combo, x, y) of ``pairs``.
+_LONG = f"{long_sql('gpi')} UNION ALL {_rho_sql('gpi')}"
 
 
 def _against_reference(other: str, combo: str, where: str = "true") -> str:
@@ -125,3 +129,71 @@ def run_station_filters(spark, d):
     """The nearest station of some networks and depths, where the stations are not the reference."""
     entries = [_entry(1, "A"), _entry(2, "S", "ISMN_Interface", km=3000, parametrised_filters=STATIONS)]
     return _metrics(spark, entries, {1: _grid(spark, d, "A"), 2: _sensors(spark, d)})
+
+
+# --- sub-windows, triples and intervals of a run -----------------------------------------------
+
+_SIDES = {"x": "0-A", "y": "1-N", "z": "2-R"}
+_TRIPLE_COMBO = "0-A_and_1-N_and_2-R"
+
+
+def _windowed(spark, d, **fields):
+    """Three correlated gridded datasets with triple collocation."""
+    entries = [_entry(1, "A"), _entry(2, "N"), _entry(3, "R")]
+    triple = c.triple(spark, d)
+    sources = {
+        k: Source(c.points(spark, d), triple.selectExpr("gpi", "ts", f"{side} AS value")) for k, side in enumerate("xyz", start=1)
+    }
+    return _metrics(spark, entries, sources, tcol=True, **fields)
+
+
+def _windowed_sql(labelled: str, more: str, extra: str) -> str:
+    by = "gpi, tsw"
+    metrics = " UNION ALL ".join(
+        f"SELECT {by}, '{_TRIPLE_COMBO}', '{m}_{_SIDES[side]}', CASE WHEN n >= {stats.MIN_OBS} THEN {sql} END FROM spreads"
+        for m, sides in TC_SQL.items()
+        for side, sql in sides.items()
+    )
+    return f"""WITH {TRIPLE}, {labelled},
+      pairs AS (SELECT {by}, '0-A_and_1-N' AS combo, x, y FROM labelled
+        UNION ALL SELECT {by}, '0-A_and_2-R', x, z FROM labelled),
+      spreads AS (SELECT {by}, count(*) AS n, var_samp(x) AS qxx, var_samp(y) AS qyy, var_samp(z) AS qzz, covar_samp(x, y) AS qxy,
+        covar_samp(x, z) AS qxz, covar_samp(y, z) AS qyz FROM labelled GROUP BY {by}){more},
+      long AS ({long_sql(by)} UNION ALL {_rho_sql(by)} UNION ALL {metrics}
+        UNION ALL SELECT {by}, '{_TRIPLE_COMBO}', 'status', CASE WHEN n >= {stats.MIN_OBS} THEN 0 ELSE 1 END FROM spreads {extra})
+      SELECT gpi, tsw, combo, metric, {s6('value')} FROM long"""
+
+
+_CASE = "CASE dataset " + " ".join(f"WHEN '{side}' THEN '{name}'" for side, name in _SIDES.items()) + " END"
+
+
+@query(
+    "run_windows_triples_ci",
+    _windowed_sql(
+        recurring_sql(MONTHS, 10),
+        ", " + intervals_sql("labelled", "gpi, tsw"),
+        " ".join(
+            f"UNION ALL SELECT gpi, tsw, '{_TRIPLE_COMBO}', metric || '_ci_{bound}_' || {_CASE}, {bound} FROM intervals"
+            for bound in ("lower", "upper")
+        ),
+    ),
+)
+def run_windows_triples_ci(spark, d):
+    """Monthly windows with overlap: all pairs, triples and their bootstrap intervals."""
+    return _windowed(
+        spark, d, intra_annual_metrics=True, intra_annual_type="Monthly", intra_annual_overlap=10, bootstrap_tcol_cis=True
+    )
+
+
+@query(
+    "run_stability",
+    _windowed_sql(
+        YEARS_SQL,
+        f""", timed AS (SELECT gpi, ts, '0-A_and_1-N' AS combo, x, y FROM triple
+          UNION ALL SELECT gpi, ts, '0-A_and_2-R', x, z FROM triple), {SLOPES_SQL}""",
+        "UNION ALL SELECT gpi, tsw, combo, metric, value FROM trend",
+    ),
+)
+def run_stability(spark, d):
+    """Yearly windows with the slopes of their metrics."""
+    return _windowed(spark, d, stability_metrics=True)

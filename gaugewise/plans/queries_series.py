@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from gaugewise.functions import stats
 from gaugewise.operators import bootstrap
-from gaugewise.operators.metrics import metrics_long, metrics_wide
+from gaugewise.operators.metrics import window_metrics
+from gaugewise.operators.moments import recurring_cells, yearly_cells
 from gaugewise.operators.scaling import CDF_PERCENTILES, scale
 from gaugewise.operators.series import climatology_anomaly, moving_anomaly, moving_mean
 from gaugewise.operators.stability import stability_slopes
-from gaugewise.operators.subwindows import MONTHS, SEASONS, label_recurring, label_years
+from gaugewise.operators.subwindows import MONTHS, SEASONS
 from gaugewise.plans import canonical as c
 from gaugewise.plans.queries_match import MATCHED, SQL_PAIR, SQL_R, matched_three
 from gaugewise.plans.queries_scan import OBS
@@ -141,69 +142,157 @@ def scale_cdf_percentile(spark, d):
     return scaled.select("gpi", time_text(), r6("A"), r6("N"), r6("R"))
 
 
-@query("scale_cdf_beta")
+# The distribution function by Simpson's rule on each half of [0, 1], over v = x^a (and (1 - x)^b), where the
+# integrand has no singular end: another integration than the operator's.
+_CELLS = 2000
+
+
+def _beta_density(j):
+    return f"pow(1 - pow(({j}) * h, 1 / a), b - 1)"
+
+
+def _beta_newton(u):
+    return f"{u} - (c0 * {u} + c1 * {u} * {u} / 2 + c2 * {u} * {u} * {u} / 3 - r) / (c0 + c1 * {u} + c2 * {u} * {u})"
+
+
+_PIECES = [((p1 - p0) / 100, k) for k, (p0, p1) in enumerate(zip(CDF_PERCENTILES, CDF_PERCENTILES[1:]), start=1)]
+_UNIT_MEAN = " + ".join(f"{w!r} * (u[{k}] + u[{k + 1}]) / 2" for w, k in _PIECES)
+_UNIT_SQUARE = " + ".join(f"{w!r} * (u[{k}] * u[{k}] + u[{k}] * u[{k + 1}] + u[{k + 1}] * u[{k + 1}]) / 3" for w, k in _PIECES)
+_REPEATS = " OR ".join(f"q[{k + 1}] <= q[{k}]" for _, k in _PIECES)
+_BETA_SQL = f"""points AS (SELECT gpi, 'A' AS s, quantile_cont(A, {_PROBS}) AS q FROM matched GROUP BY gpi
+      UNION ALL SELECT gpi, 'N', quantile_cont(N, {_PROBS}) FROM matched GROUP BY gpi
+      UNION ALL SELECT gpi, 'R', quantile_cont(R, {_PROBS}) FROM matched GROUP BY gpi),
+    units AS (SELECT *, list_transform(q, lambda v: (v - q[1]) / (q[{_LAST + 1}] - q[1])) AS u FROM points
+      WHERE q[{_LAST + 1}] > q[1] AND ({_REPEATS})),
+    spreads AS (SELECT *, {_UNIT_MEAN} AS m, {_UNIT_SQUARE} AS sq FROM units),
+    fits AS (SELECT *, m * (m * (1 - m) / (sq - m * m) - 1) AS a, (1 - m) * (m * (1 - m) / (sq - m * m) - 1) AS b
+      FROM spreads WHERE sq > m * m AND m * (1 - m) > sq - m * m),
+    halves AS (SELECT gpi, s, 'lo' AS side, a, b, pow(0.5, a) / {_CELLS} AS h FROM fits
+      UNION ALL SELECT gpi, s, 'hi', b, a, pow(0.5, b) / {_CELLS} FROM fits),
+    cells AS (SELECT *, {_beta_density('k')} AS f0, {_beta_density('k + 0.5')} AS fm, {_beta_density('k + 1')} AS f1,
+        h / a * ({_beta_density('k')} + 4 * {_beta_density('k + 0.5')} + {_beta_density('k + 1')}) / 6 AS mass
+      FROM halves, range({_CELLS}) t(k)),
+    summed AS (SELECT *, sum(mass) OVER (PARTITION BY gpi, s, side ORDER BY k) AS upto, sum(mass) OVER (PARTITION BY gpi, s) AS total
+      FROM cells),
+    asked AS (SELECT *, CASE side WHEN 'lo' THEN p ELSE 1 - p END * total - upto + mass AS rest
+      FROM summed, (SELECT unnest({_PROBS}) AS p) WHERE p > 0 AND p < 1),
+    -- inside a cell the density is the parabola through its three values; three steps of Newton's method
+    hits AS (SELECT gpi, s, side, p, a, h, k, rest * a / h AS r, f0 AS c0, 4 * fm - 3 * f0 - f1 AS c1, 2 * f0 + 2 * f1 - 4 * fm AS c2,
+      rest / mass AS u0 FROM asked WHERE rest > 0 AND rest <= mass),
+    once AS (SELECT *, {_beta_newton('u0')} AS u1 FROM hits),
+    twice AS (SELECT *, {_beta_newton('u1')} AS u2 FROM once),
+    thrice AS (SELECT *, {_beta_newton('u2')} AS u3 FROM twice),
+    ends AS (SELECT gpi, s, side, p, pow((k + {_beta_newton('u3')}) * h, 1 / a) AS x FROM thrice),
+    placed AS (SELECT gpi, s, p, CASE side WHEN 'lo' THEN x ELSE 1 - x END AS x FROM ends),
+    fitted AS (SELECT gpi, s, list(q[1] + x * (q[{_LAST + 1}] - q[1]) ORDER BY p) AS f FROM (SELECT gpi, s, p, x FROM placed
+        UNION ALL SELECT gpi, s, 0, 0 FROM fits UNION ALL SELECT gpi, s, 1, 1 FROM fits) JOIN fits USING (gpi, s) GROUP BY gpi, s),
+    even AS (SELECT gpi, s, list_transform({_PROBS}, lambda p: q[1] + p * (q[{_LAST + 1}] - q[1])) AS f FROM spreads
+      WHERE (gpi, s) NOT IN (SELECT (gpi, s) FROM fits)),
+    final AS (SELECT gpi, s, coalesce(fitted.f, even.f, q) AS q FROM points LEFT JOIN fitted USING (gpi, s) LEFT JOIN even USING (gpi, s))"""
+
+
+def _beta_query(source):
+    return f"""WITH {source}, {_BETA_SQL}, q AS (SELECT gpi, max(q) FILTER (WHERE s = 'A') AS qA,
+          max(q) FILTER (WHERE s = 'N') AS qN, max(q) FILTER (WHERE s = 'R') AS qR FROM final GROUP BY gpi),
+        k AS (SELECT m.*, qA, qN, qR, {_cdf_sql('N')} AS kN, {_cdf_sql('R')} AS kR FROM matched m JOIN q USING (gpi))
+        SELECT gpi, {sql_time_text('ts')}, {s6('A')},
+          {s6('qA[kN] + (N - qN[kN]) / (qN[kN + 1] - qN[kN]) * (qA[kN + 1] - qA[kN])', 'N')},
+          {s6('qA[kR] + (R - qR[kR]) / (qR[kR + 1] - qR[kR]) * (qA[kR + 1] - qA[kR])', 'R')} FROM k"""
+
+
+@query("scale_cdf_beta", _beta_query(MATCHED))
 def scale_cdf_beta(spark, d):
     """Percentile matching where repeated percentiles come from a fitted beta distribution."""
     scaled = scale(matched_three(spark, d), "cdf_beta_match", "A", ["N", "R"])
     return scaled.select("gpi", time_text(), r6("A"), r6("N"), r6("R"))
 
 
+#: Values cut off below, so that percentiles repeat at every location.
+_COARSE = "greatest({0}, 12)"
+
+
+@query(
+    "scale_cdf_beta_coarse",
+    _beta_query(f"{MATCHED.replace('matched AS', 'fine AS')}, matched AS (SELECT gpi, ts, A, {_COARSE.format('N')} AS N, "
+                f"{_COARSE.format('R')} AS R FROM fine)"),
+)
+def scale_cdf_beta_coarse(spark, d):
+    """The same over values cut off below, where every location needs the fit."""
+    clipped = matched_three(spark, d).selectExpr("gpi", "ts", "A", *[f"{_COARSE.format(n)} AS {n}" for n in ("N", "R")])
+    scaled = scale(clipped, "cdf_beta_match", "A", ["N", "R"])
+    return scaled.select("gpi", time_text(), r6("A"), r6("N"), r6("R"))
+
+
 # --- sub-windows and stability ----------------------------------------------------------------
 
-_TSW_METRICS = ("n_obs", "R", "BIAS", "urmsd")
+def long_sql(by, pairs="pairs", metrics=SQL_PAIR):
+    """All metrics and the status of every ``by`` and combo of ``pairs`` (combo, x, y), as SQL."""
+    wide = ", ".join(f"CAST({sql} AS DOUBLE) AS {m}" for m, sql in metrics.items())
+    values = ", ".join(
+        f"{{'metric': '{m}', 'value': {m if m == 'n_obs' else f'CASE WHEN n_obs >= {stats.MIN_OBS} THEN {m} END'}}}" for m in metrics
+    )
+    status = f"{{'metric': 'status', 'value': CASE WHEN n_obs >= {stats.MIN_OBS} THEN 0::DOUBLE ELSE 1 END}}"
+    return f"""SELECT {by}, combo, e.metric AS metric, e.value AS value FROM (
+        SELECT *, unnest([{values}, {status}]) AS e FROM (SELECT {by}, combo, {wide} FROM {pairs} GROUP BY {by}, combo))"""
 
 
-def _tsw_run(label):
+def _tsw_run(cells):
     def run(spark, d):
-        wide = metrics_wide(label(c.triple(spark, d)), "x", ["y"], by=["gpi", "tsw"])
-        return wide.selectExpr(
-            "gpi", "tsw", *[e6(stats.pair_metric(m, "_p0_"), m) for m in _TSW_METRICS]
-        )
+        metrics = window_metrics(c.triple(spark, d), "x", ["y", "z"], cells)
+        return metrics.select("gpi", "tsw", "combo", "metric", r6("value"))
 
     return run
 
 
-_TSW_COLUMNS = ", ".join(s6(SQL_PAIR[m], m) for m in _TSW_METRICS)
-
-
-def _recurring_sql(windows, overlap):
+def recurring_sql(windows, overlap):
+    """``labelled``: the rows of ``triple`` in every window, and in bulk."""
     rows = ", ".join(f"('{w.name}', {w.first[0]}, {w.last[0]}, {int(w.last < w.first)})" for w in windows)
-    return f"""WITH {TRIPLE}, w AS (SELECT name,
+    return f"""w AS (SELECT name,
           make_date(y, m1, 1) - {overlap} AS s, last_day(make_date(y + wraps, m2, 1)) + {overlap} AS e
         FROM (VALUES {rows}) v(name, m1, m2, wraps), range(1990, 2010) t(y)),
-        labelled AS (SELECT DISTINCT t.gpi, t.ts, t.x, t.y, w.name AS tsw FROM triple t
+        labelled AS (SELECT DISTINCT t.gpi, t.ts, t.x, t.y, t.z, w.name AS tsw FROM triple t
           JOIN w ON CAST(t.ts AS DATE) BETWEEN w.s AND w.e
-          UNION ALL SELECT gpi, ts, x, y, 'bulk' FROM triple)
-        SELECT gpi, tsw, {_TSW_COLUMNS} FROM labelled GROUP BY gpi, tsw"""
+          UNION ALL SELECT gpi, ts, x, y, z, 'bulk' FROM triple)"""
 
 
-query("tsw_seasons", _recurring_sql(SEASONS, 0))(_tsw_run(lambda rows: label_recurring(rows, SEASONS)))
-query("tsw_months_overlap", _recurring_sql(MONTHS, 10))(_tsw_run(lambda rows: label_recurring(rows, MONTHS, 10)))
-query("tsw_seasons_max_overlap", _recurring_sql(SEASONS, 185))(
-    _tsw_run(lambda rows: label_recurring(rows, SEASONS, 185))
-)
-query(
-    "tsw_years_bulk",
-    f"""WITH {TRIPLE}, labelled AS (SELECT gpi, ts, x, y, CAST(year(ts) AS VARCHAR) AS tsw FROM triple
-          UNION ALL SELECT gpi, ts, x, y, 'bulk' FROM triple)
-        SELECT gpi, tsw, {_TSW_COLUMNS} FROM labelled GROUP BY gpi, tsw""",
-)(_tsw_run(label_years))
+YEARS_SQL = """labelled AS (SELECT gpi, ts, x, y, z, CAST(year(ts) AS VARCHAR) AS tsw FROM triple
+          UNION ALL SELECT gpi, ts, x, y, z, 'bulk' FROM triple)"""
+
+
+def _tsw_sql(labelled):
+    return f"""WITH {TRIPLE}, {labelled}, pairs AS (SELECT gpi, tsw, 'x_and_y' AS combo, x, y FROM labelled
+          UNION ALL SELECT gpi, tsw, 'x_and_z', x, z FROM labelled), long AS ({long_sql('gpi, tsw')})
+        SELECT gpi, tsw, combo, metric, {s6('value')} FROM long"""
+
+
+for _name, _windows, _overlap in (
+    ("tsw_seasons", SEASONS, 0),
+    ("tsw_months_overlap", MONTHS, 10),
+    ("tsw_seasons_max_overlap", SEASONS, 185),
+):
+    query(_name, _tsw_sql(recurring_sql(_windows, _overlap)))(_tsw_run(recurring_cells(_windows, _overlap)))
+query("tsw_years_bulk", _tsw_sql(YEARS_SQL))(_tsw_run(yearly_cells()))
+
+
+SLOPES_SQL = f"""yearly AS (SELECT gpi, year(ts) AS year, combo, {SQL_R} AS R, {SQL_PAIR['BIAS']} AS BIAS,
+          {SQL_PAIR['urmsd']} AS urmsd, count(*) AS n FROM timed GROUP BY 1, 2, 3),
+        slopes AS (SELECT gpi, year, combo, 'slopeR' AS metric, R AS v FROM yearly WHERE n >= {stats.MIN_OBS}
+          UNION ALL SELECT gpi, year, combo, 'slopeBIAS', BIAS FROM yearly WHERE n >= {stats.MIN_OBS}
+          UNION ALL SELECT gpi, year, combo, 'slopeURMSD', urmsd FROM yearly WHERE n >= {stats.MIN_OBS}),
+        trend AS (SELECT a.gpi, 'bulk' AS tsw, a.combo, a.metric,
+          10 * median((b.v - a.v) / (b.year - a.year)) FILTER (WHERE b.year > a.year) AS value
+        FROM slopes a JOIN slopes b ON a.gpi = b.gpi AND a.metric = b.metric AND a.combo = b.combo
+        WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY a.gpi, a.combo, a.metric)"""
 
 
 @query(
     "stability_theilsen",
-    f"""WITH {TRIPLE}, yearly AS (SELECT gpi, year(ts) AS year, {SQL_R} AS R, {SQL_PAIR['BIAS']} AS BIAS,
-          {SQL_PAIR['urmsd']} AS urmsd, count(*) AS n FROM triple GROUP BY 1, 2),
-        long AS (SELECT gpi, year, 'slopeR' AS metric, R AS v FROM yearly WHERE n >= {stats.MIN_OBS}
-          UNION ALL SELECT gpi, year, 'slopeBIAS', BIAS FROM yearly WHERE n >= {stats.MIN_OBS}
-          UNION ALL SELECT gpi, year, 'slopeURMSD', urmsd FROM yearly WHERE n >= {stats.MIN_OBS})
-        SELECT a.gpi, 'bulk' AS tsw, 'x_and_y' AS combo, a.metric,
-          {s6('10 * median((b.v - a.v) / (b.year - a.year)) FILTER (WHERE b.year > a.year)', 'value')}
-        FROM long a JOIN long b ON a.gpi = b.gpi AND a.metric = b.metric
-        WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY a.gpi, a.metric""",
+    f"""WITH {TRIPLE}, timed AS (SELECT gpi, ts, 'x_and_y' AS combo, x, y FROM triple
+          UNION ALL SELECT gpi, ts, 'x_and_z', x, z FROM triple), {SLOPES_SQL}
+        SELECT gpi, tsw, combo, metric, {s6('value')} FROM trend""",
 )
 def stability_theilsen(spark, d):
-    metrics = metrics_long(label_years(c.triple(spark, d)), "x", ["y"], by=["gpi", "tsw"])
+    metrics = window_metrics(c.triple(spark, d), "x", ["y", "z"], yearly_cells())
     return stability_slopes(metrics).select("gpi", "tsw", "combo", "metric", r6("value"))
 
 
@@ -217,7 +306,7 @@ def _noise(own, opposite, a, b):
     return f"CASE WHEN {own} * {opposite} / ({a} * {b}) - 1 > 0 THEN -10 * log10({own} * {opposite} / ({a} * {b}) - 1) END"
 
 
-_TC_SQL = {
+TC_SQL = {
     "snr": {
         "x": _noise("qxx", "qyz", "qxy", "qxz"),
         "y": _noise("qyy", "qxz", "qxy", "qyz"),
@@ -239,7 +328,7 @@ def _register_triple(metric, source, sql_source, names):
             "gpi", *[e6(stats.triple_metric(metric, side), f"{metric}_{side}") for side in "xyz"]
         )
 
-    columns = ", ".join(s6(_TC_SQL[metric][side], f"{metric}_{side}") for side in "xyz")
+    columns = ", ".join(s6(TC_SQL[metric][side], f"{metric}_{side}") for side in "xyz")
     return run, f"WITH {sql_source}, {_Q} SELECT gpi, {columns} FROM q"
 
 
@@ -268,19 +357,24 @@ def _interval(q):
 
 
 
+def intervals_sql(source, by):
+    """``intervals``: the bootstrap intervals of the rows (by, ts, x, y, z) of ``source``."""
+    return f"""draws AS (SELECT {by}, rep, x, y, z, {_DRAW} AS u FROM {source}, range(0, {bootstrap.REPLICATES}) t(rep)),
+        counts AS (SELECT {by}, count(*) AS n FROM {source} GROUP BY {by}),
+        weighted AS (SELECT {by}, rep, x, y, z, {_W} AS w FROM draws),
+        q AS (SELECT {by}, rep, {', '.join(f'{e} AS q{n}' for n, e in _BOOT_Q.items())} FROM weighted WHERE w > 0
+          GROUP BY {by}, rep HAVING sum(w) > 1),
+        drawn AS ({' UNION ALL '.join(
+            f"SELECT {by}, '{m}' AS metric, '{side}' AS dataset, {sql} AS value FROM q"
+            for m, sides in TC_SQL.items() for side, sql in sides.items())}),
+        intervals AS (SELECT {by}, metric, dataset, {_interval(_TAIL)} AS lower, {_interval(1 - _TAIL)} AS upper
+          FROM drawn JOIN counts USING ({by}) GROUP BY {by}, metric, dataset)"""
+
+
 @query(
     "tcol_bootstrap_ci",
-    f"""WITH {TRIPLE}, draws AS (SELECT gpi, rep, x, y, z, {_DRAW} AS u
-            FROM triple, range(0, {bootstrap.REPLICATES}) t(rep)),
-        counts AS (SELECT gpi, count(*) AS n FROM triple GROUP BY gpi),
-        weighted AS (SELECT gpi, rep, x, y, z, {_W} AS w FROM draws),
-        q AS (SELECT gpi, rep, {', '.join(f'{e} AS q{n}' for n, e in _BOOT_Q.items())} FROM weighted WHERE w > 0
-          GROUP BY gpi, rep HAVING sum(w) > 1),
-        long AS ({' UNION ALL '.join(
-            f"SELECT gpi, '{m}' AS metric, '{side}' AS dataset, {sql} AS value FROM q"
-            for m, sides in _TC_SQL.items() for side, sql in sides.items())})
-        SELECT gpi, metric, dataset, {s6(_interval(_TAIL), 'lower')}, {s6(_interval(1 - _TAIL), 'upper')}
-        FROM long JOIN counts USING (gpi) GROUP BY 1, 2, 3""",
+    f"""WITH {TRIPLE}, {intervals_sql('triple', 'gpi')}
+        SELECT gpi, metric, dataset, {s6('lower')}, {s6('upper')} FROM intervals""",
 )
 def tcol_bootstrap_ci(spark, d):
     intervals = bootstrap.triple_intervals(c.triple(spark, d), ["x", "y", "z"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from datetime import timedelta
@@ -18,7 +19,8 @@ from gaugewise.operators import filters as flt
 from gaugewise.operators import results as res
 from gaugewise.operators.bootstrap import triple_intervals
 from gaugewise.operators.matching import match_datasets
-from gaugewise.operators.metrics import metrics_long, pair_names, triple_names
+from gaugewise.operators.metrics import metrics_long, pair_names, rank_correlations, triple_names, window_metrics
+from gaugewise.operators.moments import Cells, recurring_cells, yearly_cells
 from gaugewise.operators.scaling import scale
 from gaugewise.operators.series import climatology_anomaly, moving_anomaly
 from gaugewise.operators.spatial import nearest
@@ -48,7 +50,13 @@ class RunResult:
 class ValidationPlan:
     """Lazy pieces of a run. Per dataset: read, exact time, filters, anomaly; then match, scale, metrics."""
 
-    def __init__(self, spark: SparkSession, run: RunConfig, sources: dict[int, Source] | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        run: RunConfig,
+        sources: dict[int, Source] | None = None,
+        own_metrics: Sequence[stats.PairMetric] = (),
+    ):
         if run.intra_annual_metrics and run.stability_metrics:
             raise ValueError("intra-annual and stability metrics exclude each other")
         if run.intra_annual_metrics and run.intra_annual_type not in INTRA_ANNUAL:
@@ -65,7 +73,12 @@ class ValidationPlan:
         if len({config.id for config in run.datasets}) < len(run.datasets):
             raise ValueError("dataset configurations need different ids")
         require_utc(spark)
-        self.spark, self.run = spark, run
+        taken = {*stats.PAIR_METRICS, "rho", "status"}
+        for metric in own_metrics:
+            if metric.name in taken:
+                raise ValueError(f"there is a metric {metric.name!r} already")
+            taken.add(metric.name)
+        self.spark, self.run, self.own_metrics = spark, run, tuple(own_metrics)
         self._sources = dict(sources or {})
         self._lookups: dict[int, DataFrame] = {}
         #: Whether the reference points of a plan are fewer than those of the reference dataset.
@@ -183,8 +196,15 @@ class ValidationPlan:
     def with_triples(self) -> bool:
         return self.run.tcol is True and len(self.run.datasets) >= 3
 
+    def cells(self) -> Cells | None:
+        """The cells that the run's sub-windows are merged from."""
+        run = self.run
+        if run.intra_annual_metrics:
+            return recurring_cells(INTRA_ANNUAL[run.intra_annual_type], int(run.intra_annual_overlap or 0))
+        return yearly_cells() if run.stability_metrics else None
+
     def labelled(self, matched: DataFrame) -> tuple[DataFrame, list[str]]:
-        """Matched rows with their sub-windows, and the grouping columns."""
+        """Matched rows in every sub-window they belong to, and the grouping columns: for what does not merge."""
         run = self.run
         if run.intra_annual_metrics:
             windows = INTRA_ANNUAL[run.intra_annual_type]
@@ -194,10 +214,18 @@ class ValidationPlan:
         return matched, ["gpi"]
 
     def metrics(self, matched: DataFrame) -> DataFrame:
-        rows, by = self.labelled(matched)
-        tidy = metrics_long(
-            rows, self.reference, self.others, by=by, triples=self.with_triples, rank_correlation=True
-        )
+        cells = self.cells()
+        if cells is None:
+            rows, by = matched, ["gpi"]
+            tidy = metrics_long(
+                rows, self.reference, self.others, by=by, triples=self.with_triples, rank_correlation=True,
+                own=self.own_metrics,
+            )
+        else:
+            matched = settle(matched)  # for the moments and the ranks
+            rows, by = self.labelled(matched)
+            tidy = window_metrics(matched, self.reference, self.others, cells, triples=self.with_triples, own=self.own_metrics)
+            tidy = tidy.unionByName(rank_correlations(rows, self.reference, self.others, by))
         if self.run.stability_metrics:
             tidy = settle(tidy)  # for the slopes and the result
             tidy = tidy.unionByName(stability_slopes(tidy).select(*tidy.columns))
@@ -219,7 +247,7 @@ class ValidationPlan:
             prefix = f"{window}{SEPARATOR}" if window else ""
             for names in pair_names(self.reference, self.others):
                 combo = "_and_".join(names)
-                metrics = [*stats.PAIR_METRICS, "rho", "status"]
+                metrics = [*stats.PAIR_METRICS, "rho", *(m.name for m in self.own_metrics), "status"]
                 if self.run.stability_metrics and window == BULK:
                     metrics += ["slopeR", "slopeBIAS", "slopeURMSD"]
                 keys += [f"{prefix}{m}_between_{combo}" for m in metrics]
@@ -277,21 +305,27 @@ def cancel(spark: SparkSession, run_id: str) -> None:
 
 
 def run_validation(
-    spark: SparkSession, run: RunConfig, output: str, batches: int = 1, sources: dict[int, Source] | None = None
+    spark: SparkSession,
+    run: RunConfig,
+    output: str,
+    batches: int = 1,
+    sources: dict[int, Source] | None = None,
+    own_metrics: Sequence[stats.PairMetric] = (),
 ) -> RunResult:
     """Executes a run and writes metrics, wide results, summary and metadata under ``output``.
 
     Points are processed in ``batches`` parts; parts finished by an earlier attempt with
-    the same configuration are not repeated.
+    the same configuration are not repeated. ``own_metrics`` adds metrics to every pair.
     """
     with intermediate_results(spark):
-        return _run(spark, run, output, batches, sources)
+        return _run(spark, ValidationPlan(spark, run, sources, own_metrics), output, batches)
 
 
-def _run(spark: SparkSession, run: RunConfig, output: str, batches: int, sources) -> RunResult:
-    plan = ValidationPlan(spark, run, sources)
+def _run(spark: SparkSession, plan: ValidationPlan, output: str, batches: int) -> RunResult:
+    run = plan.run
     plan.restricted = plan.restricted or batches > 1
-    path = sink.batch_path(output, run.settings(), batches)
+    settings = run.settings() | ({"own_metrics": [str(m) for m in plan.own_metrics]} if plan.own_metrics else {})
+    path = sink.batch_path(output, settings, batches)
     points = plan.reference_points()
     with tracked(spark, run.id):
         done = sink.finished_batches(spark, path)

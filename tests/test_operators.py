@@ -8,8 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewise.functions import stats
-from gaugewise.functions.beta import _beta_quantiles
-from gaugewise.operators.bootstrap import hashes, poisson_weight, triple_intervals
+from gaugewise.operators.bootstrap import block_hash, poisson_weight, triple_intervals
 from gaugewise.operators.matching import match_datasets, match_nearest
 from gaugewise.operators.metrics import metrics_long
 from gaugewise.operators.ranking import cumulative_counts, percentiles, with_ranks
@@ -210,6 +209,23 @@ def test_moving_mean(spark, unique):
         assert r["mean"] == pytest.approx(np.mean(near))
 
 
+@pytest.mark.parametrize("unique", [True, False])
+def test_moving_mean_in_a_crowded_tile(spark, crowded, unique):
+    rng = np.random.default_rng(17)
+    rows = [(0, 3000 + float(h) / 1000, 1e6 + float(h % 89)) for h in rng.choice(50_000, 900, replace=False)]
+    rows += [(g, h, v) for g, h, v in random_rows(18, n=150)] + ([] if unique else rows[:5] * 3)
+    if unique:
+        rows = list({(g, h): (g, h, v) for g, h, v in rows}.values())
+    averaged = moving_mean(series(spark, rows), 4, unique=unique, tile_us=400 * HOUR)
+    assert "_sub" in averaged._jdf.queryExecution().analyzed().toString()
+    got = averaged.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        at = (r.ts - EPOCH).total_seconds() / 3600
+        near = [v for g, h, v in rows if g == r.gpi and abs(h - at) <= 48 + 1e-9]
+        assert r["mean"] == pytest.approx(np.mean(near), abs=1e-6)
+
+
 def _check_climatology(spark):
     rows = [(g, h * 24, v) for g, h, v in random_rows(8, n=600, span=1000)]
     got = climatology_anomaly(series(spark, rows), "2000-01-01", "2001-12-31").collect()
@@ -279,9 +295,56 @@ def test_beta_scaling_of_repeated_percentiles(spark):
     assert (np.diff(scaled[order]) >= -1e-9).all()
 
 
-def test_beta_fit_of_a_uniform_distribution():
-    marks = np.array([0, 5, 10, 30, 50, 70, 90, 95, 100]) / 100
-    assert _beta_quantiles(marks * 4 + 1) == pytest.approx(marks * 4 + 1, abs=1e-2)
+def beta_slowly(points):
+    """The fit by a plain midpoint sum over a very fine grid, in steps that keep singular ends integrable."""
+    from gaugewise.functions.beta import PROBABILITIES
+
+    p, q = np.array(PROBABILITIES), np.array(points, float)
+    unit, width = (q - q[0]) / (q[-1] - q[0]), np.diff(PROBABILITIES)
+    mean = np.sum(width * (unit[:-1] + unit[1:]) / 2)
+    square = np.sum(width * (unit[:-1] ** 2 + unit[:-1] * unit[1:] + unit[1:] ** 2) / 3)
+    strength = mean * (1 - mean) / (square - mean**2) - 1
+    a, b = mean * strength, (1 - mean) * strength
+    u = (np.arange(4_000_000) + 0.5) / 4_000_000
+    x = u**3 * (10 - 15 * u + 6 * u**2)  # the ends are approached slowly
+    one_less = (1 - u) ** 3 * (10 - 15 * (1 - u) + 6 * (1 - u) ** 2)
+    density = x ** (a - 1) * one_less ** (b - 1) * 30 * u**2 * (1 - u) ** 2
+    total = np.concatenate([[0], np.cumsum(density)])
+    edges = np.arange(4_000_001) / 4_000_000
+    v = np.interp(p, total / total[-1], edges)
+    return q[0] + v**3 * (10 - 15 * v + 6 * v**2) * (q[-1] - q[0]), (a, b)
+
+
+@pytest.mark.parametrize(
+    "points",
+    [
+        [1, 1, 1, 2, 2, 3, 5, 5, 9],  # skewed
+        [0, 0, 0, 2, 5, 8, 10, 10, 10],  # both ends crowded: alpha and beta below 1
+        [0, 4.8, 4.9, 5, 5, 5, 5.1, 5.2, 10],  # narrow
+        [-3, -3, -2, -1, 0, 0, 1, 2, 2],
+    ],
+)
+def test_beta_percentiles_by_fine_sums(spark, points):
+    from gaugewise.functions.beta import distinct_percentiles
+
+    frame = spark.createDataFrame([(1, [float(v) for v in points])], "k int, points array<double>")
+    wanted, (a, b) = beta_slowly(points)
+    got = distinct_percentiles(frame, "points").first().points
+    assert a > 0.2 and b > 0.2 and got == pytest.approx(wanted, abs=2e-6)
+    assert all(later > earlier for earlier, later in zip(got, got[1:]))
+
+
+def test_beta_leaves_other_percentiles_alone(spark):
+    from gaugewise.functions.beta import distinct_percentiles
+
+    rows = {1: [float(v) for v in range(9)], 2: [5.0] * 9, 3: [1.0, None, 2.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0], 4: None,
+            5: [float("nan")] * 9, 6: [0.0] * 4 + [1.0] * 5}
+    frame = spark.createDataFrame(list(rows.items()), "k int, points array<double>")
+    got = {r.k: r.points for r in distinct_percentiles(frame, "points").collect()}
+    assert got[1] == rows[1] and got[2] == rows[2] and got[3] == rows[3] and got[4] is None
+    assert all(np.isnan(got[5])) and len(got[6]) == 9
+    plan = distinct_percentiles(frame, "points")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_yearly_slope(spark):
@@ -348,11 +411,50 @@ def test_nearest_point_with_crowded_cells(spark, crowded, monkeypatch):
     test_nearest_point(spark, monkeypatch, 4, None)
 
 
-def test_tile_is_narrowed_for_a_dense_location(spark, crowded):
-    from gaugewise.operators.matching import _fitting_tile
+def nearest_slowly(ref, others, half):
+    expected = []
+    for g, h, v in ref:
+        values = []
+        for other in others:
+            near = sorted((abs(oh - h), oh, ov) for og, oh, ov in other if og == g and abs(oh - h) <= half)
+            values.append(near[0][2] if near else None)
+        expected.append((g, h, v, *values))
+    return expected
+
+
+@pytest.mark.parametrize("dense", ["candidates", "references", "both"])
+@pytest.mark.parametrize("unique", [True, False])
+def test_matching_in_a_crowded_tile(spark, crowded, dense, unique):
+    """Nine tenths of all rows within one tile of one location; the other series is sparse there."""
+    rng = np.random.default_rng(21)
+
+    def around(n):
+        hours = rng.choice(200_000, n, replace=False)
+        return [(0, 5000 + float(h) / 100_000, float(h % 97)) for h in hours]
+
+    def anywhere(n, places):
+        return [(int(g), float(h), float(h % 31)) for g, h in {(g % places, h) for g, h in rng.integers(0, 20_000, (n, 2))}]
+
+    ref = (around(900) if dense != "candidates" else around(3)) + anywhere(60, 4)
+    one = (around(900) if dense != "references" else around(2)) + anywhere(60, 4)
+    two = anywhere(50, 4)
+    half = 400
+    matched = match_nearest(
+        series(spark, ref), {"a": series(spark, one), "b": series(spark, two)}, half * HOUR, unique=unique, combined=False
+    )
+    assert "_sub" in matched._jdf.queryExecution().analyzed().toString()
+    got = [(r.gpi, (r.ts - EPOCH).total_seconds() / 3600, r.ref, r.a, r.b) for r in matched.collect()]
+    rounded = [(g, round(h, 6), *rest) for g, h, *rest in got]
+    assert sorted(rounded, key=str) == sorted(((g, round(h, 6), *rest) for g, h, *rest in nearest_slowly(ref, [one, two], half)), key=str)
 
-    rows = series(spark, [(0, h / 60, 1.0) for h in range(3000)]).select("gpi", "ts")
-    assert _fitting_tile(rows, ["gpi"], 64 * HOUR, HOUR // 60) < 8 * HOUR
+
+def test_crowded_tile_is_cut_evenly(spark, crowded):
+    from gaugewise.operators.skew import crowding, cut_ranges
+
+    rows = spark.createDataFrame([(0, i * i) for i in range(5000)] + [(k, k) for k in range(1, 500)], "k int, v long")
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    pieces = [r["count"] for r in cut_ranges(rows, ["k"], "v", sizes, crowding(sizes)).groupBy("k", "_sub").count().collect()]
+    assert sum(pieces) == 5499 and max(pieces) <= 2 * 5499 / 256 and len(pieces) > 600
 
 
 def test_lookup_table_is_long(spark):
@@ -364,7 +466,9 @@ def test_lookup_table_is_long(spark):
 
 def test_bootstrap_weights_look_like_independent_poisson(spark):
     """Mean, variance and zeros of the weights; no correlation between replicates or neighbouring times."""
-    draws = spark.range(40_000).selectExpr("id % 7 AS gpi", "id AS t").withColumn("h", F.expr(hashes("gpi", "t", 16)))
+    draws = spark.range(40_000).selectExpr("id % 7 AS gpi", "id AS t").withColumn(
+        "h", F.array(*[F.expr(block_hash("gpi", "t", str(b))) for b in (0, 1)])
+    )
     draws = draws.selectExpr(
         "t", *[f"{poisson_weight(f'substring(h[{r // 8}], {r % 8 * 4 + 1}, 4)')} AS w{r}" for r in (0, 1, 7, 8, 15)]
     ).toPandas().sort_values("t")
@@ -388,3 +492,42 @@ def test_intervals_need_enough_rows(spark):
 def test_metric_names_are_complete():
     for name in stats.PAIR_METRICS:
         assert stats.pair_metric(name)
+
+
+def test_moments_merge_into_those_of_all_rows(spark):
+    from gaugewise.operators import moments
+
+    rng = np.random.default_rng(31)
+    n = 400
+    frame = pd.DataFrame({"gpi": rng.integers(0, 3, n), "part": rng.integers(0, 9, n), "x": rng.normal(1e6, 1, n)})
+    frame["y"], frame["z"] = frame.x * 0.5 + rng.normal(0, 1, n), rng.normal(0, 1, n)
+    rows = spark.createDataFrame(frame).selectExpr("gpi", "part", "x", "CASE WHEN part <> 3 THEN y END AS y", "CASE WHEN x > 1e6 THEN z END AS z")
+    groups = {"_p_": ("x", "y"), "_t_": ("x", "y", "z")}
+    parts = rows.groupBy("gpi", "part").agg(*map(F.expr, moments.row_moments(groups)))
+    got = {r.gpi: r.asDict() for r in moments.merge_moments(parts, groups, ["gpi"], ["part"]).collect()}
+    for gpi, own in frame.groupby("gpi"):
+        pair = own[own.part != 3]
+        triple = pair[pair.x > 1e6]
+        for prefix, some, names in (("_p_", pair, "xy"), ("_t_", triple, "xyz")):
+            m = got[gpi]
+            assert m[prefix + "n"] == len(some)
+            for a in names:
+                assert m[f"{prefix}m{a}"] == pytest.approx(some[a].mean(), rel=1e-12)
+                for b in names[names.index(a) :]:
+                    wanted = ((some[a] - some[a].mean()) * (some[b] - some[b].mean())).sum()
+                    assert m[f"{prefix}c{a}{b}"] == pytest.approx(wanted, rel=1e-6, abs=1e-6)
+
+
+def test_windows_copy_no_rows(spark, sf_dir):
+    from gaugewise.operators.metrics import window_metrics
+    from gaugewise.operators.moments import recurring_cells
+    from gaugewise.operators.subwindows import MONTHS
+    from gaugewise.plans.canonical import triple
+
+    plan = window_metrics(triple(spark, sf_dir), "x", ["y", "z"], recurring_cells(MONTHS, 10), triples=True)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    # from the top: the metrics, then the windows of the moments; below the moments' aggregation nothing is generated
+    lines = text.splitlines()
+    generated = [k for k, line in enumerate(lines) if "Generate" in line]
+    moments_at = max(k for k, line in enumerate(lines) if "partial_covar_pop" in line or "covar_pop" in line)
+    assert generated and max(generated) < moments_at
