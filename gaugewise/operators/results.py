@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.operators.ranking import percentiles
+from gaugewise.operators.skew import settle
+from gaugewise.operators.spatial import nearest
 from gaugewise.operators.subwindows import SEPARATOR
 
 
@@ -171,6 +173,59 @@ def compare_runs(
     )
 
 
+def compare_regridded(
+    first: DataFrame,
+    second: DataFrame,
+    first_points: DataFrame,
+    second_points: DataFrame,
+    metrics: Sequence[str],
+    max_dist_m: float,
+    intersection: bool = True,
+    extent=None,
+    key: str = "gpi",
+) -> DataFrame:
+    """Two wide result sets on different grids, side by side as of ``compare_runs``.
+
+    A location of the second run goes to the nearest location of the first that lies within
+    ``max_dist_m`` (half a grid step); of several that go to one place the nearest stays, then the one
+    with the smaller id. With ``intersection`` only places of both remain. Otherwise locations of the
+    second run without a partner follow under their own id with ``<key>_2``, places of the first have a
+    null there. ``extent`` is a predicate on the points' coordinates.
+    """
+    if extent is not None:
+        first_points, second_points = first_points.where(extent), second_points.where(extent)
+    own = first_points.join(first.select(key), key, "left_semi").select(key, "lon", "lat")
+    other = second_points.join(second.select(key), key, "left_semi").select(key, "lon", "lat")
+    hits = nearest(other, own, max_dist_m).select(F.col(key).alias(f"{key}_2"), F.col("other_gpi").alias(key), "distance_m")
+    # one row a place: an aggregate, so that a crowd of points around one place is merged before it travels
+    best = F.min(F.struct(F.round("distance_m", 3).alias("d"), F.col(f"{key}_2").alias("k")))
+    paired = settle(hits.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.k").alias(f"{key}_2")))
+    left = first.join(own.select(key), key, "left_semi").select(key, *[F.col(m).alias(f"{m}_1") for m in metrics])
+    right = second.join(other.select(key), key, "left_semi").select(
+        F.col(key).alias(f"{key}_2"), *[F.col(m).alias(f"{m}_2") for m in metrics]
+    )
+    joined = left.join(paired, key, "inner" if intersection else "left").join(right, f"{key}_2", "inner" if intersection else "full_outer")
+    return joined.select(
+        key,
+        f"{key}_2",
+        *[c for m in metrics for c in (F.col(f"{m}_1"), F.col(f"{m}_2"), (F.col(f"{m}_1") - F.col(f"{m}_2")).alias(f"{m}_diff"))],
+    )
+
+
+def common_interval(ranges: DataFrame, start=None, end=None) -> DataFrame:
+    """One row: from the latest start to the earliest end of the datasets, within the run's interval.
+
+    ``ranges`` has ``dataset``, ``first`` and ``last`` of every dataset. Null and null if they do not overlap.
+    """
+    found = ranges.agg(F.max("first").alias("a"), F.min("last").alias("b"))
+    if start is not None:
+        found = found.withColumn("a", F.greatest("a", F.lit(start).cast("timestamp_ntz")))
+    if end is not None:
+        found = found.withColumn("b", F.least("b", F.lit(end).cast("timestamp_ntz")))
+    overlap = F.col("a") <= F.col("b")
+    return found.select(F.when(overlap, F.col("a")).alias("actual_from"), F.when(overlap, F.col("b")).alias("actual_to"))
+
+
 def difference_table(compared: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Summary (count, mean, median, quartiles) of the differences of two runs, one row per metric."""
     rows = ", ".join(f"struct('{m}' AS metric, `{m}_diff` AS value)" for m in metrics)

@@ -399,3 +399,56 @@ def pairwise_all_with_rho(spark, d):
     """Rank correlation computed together with the other metrics of all pairs."""
     metrics = metrics_long(matched_three(spark, d), "A", ["N", "R"], rank_correlation=True)
     return metrics.select("gpi", "combo", "metric", r6("value"))
+
+
+@query(
+    "actual_interval_of_run",
+    """WITH ranges AS (SELECT l_returnflag AS dataset, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem GROUP BY 1
+          UNION ALL SELECT 'orders', min(o_orderdate), max(o_orderdate) FROM orders),
+        common AS (SELECT greatest(max(first), TIMESTAMP '1996-01-01') AS a, least(min(last), TIMESTAMP '2000-12-31') AS b FROM ranges)
+        SELECT strftime(a, '%Y-%m-%d %H:%M:%S.%f') AS actual_from, strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS actual_to
+        FROM common WHERE a <= b UNION ALL SELECT NULL, NULL FROM common WHERE NOT a <= b""",
+)
+def actual_interval_of_run(spark, d):
+    """The time that all datasets of a run cover, within its interval: scans of one time column each."""
+    lines, orders = c.table(spark, d, "lineitem"), c.table(spark, d, "orders")
+    ends = [F.min("ts").alias("first"), F.max("ts").alias("last")]
+    ranges = lines.select(F.col("l_returnflag").alias("dataset"), F.col("l_shipdate").alias("ts")).groupBy("dataset").agg(*ends)
+    ranges = ranges.unionByName(
+        orders.select(F.lit("orders").alias("dataset"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts")).groupBy("dataset").agg(*ends)
+    )
+    found = results.common_interval(ranges, "1996-01-01", "2000-12-31")
+    return found.select(time_text("actual_from", "actual_from"), time_text("actual_to", "actual_to"))
+
+
+_HALF_STEP_M = 40_000
+
+
+def _regridded_sql(kind):
+    where = "" if kind == "FULL" else "WHERE k.gpi IS NOT NULL AND b.gpi IS NOT NULL"
+    return f"""WITH {_RUNS}, moved AS (SELECT 7 * p.gpi + 3 AS gpi, least(p.lon + (p.gpi % 9) / 10.0, 180) AS lon, p.lat FROM points p),
+        run3 AS (SELECT 7 * gpi + 3 AS gpi, R, BIAS FROM run2),
+        own AS (SELECT p.* FROM points p JOIN run1 USING (gpi)), other AS (SELECT m.* FROM moved m JOIN run3 USING (gpi)),
+        placed AS (SELECT a.gpi AS gpi_2, b.gpi AS gpi, {_DIST} AS dist FROM other a, own b),
+        hits AS (SELECT gpi_2, gpi, dist FROM (SELECT *, row_number() OVER (PARTITION BY gpi_2 ORDER BY round(dist, 3), gpi) AS k
+          FROM placed) WHERE k = 1 AND dist <= {_HALF_STEP_M}),
+        kept AS (SELECT gpi_2, gpi FROM (SELECT *, row_number() OVER (PARTITION BY gpi ORDER BY round(dist, 3), gpi_2) AS k FROM hits)
+          WHERE k = 1),
+        k AS (SELECT run1.*, kept.gpi_2 FROM run1 LEFT JOIN kept USING (gpi))
+        SELECT k.gpi AS gpi, b.gpi AS gpi_2, {_COMPARED.replace('a.', 'k.')} FROM k FULL JOIN run3 b ON b.gpi = k.gpi_2 {where}"""
+
+
+def _regridded(intersection):
+    def run(spark, d):
+        first, second = _two_runs(spark, d)
+        points = c.points(spark, d)
+        moved = points.selectExpr("7 * gpi + 3 AS gpi", "least(lon + (gpi % 9) / 10.0D, 180D) AS lon", "lat")
+        second = second.withColumn("gpi", 7 * F.col("gpi") + 3)
+        compared = results.compare_regridded(first, second, points, moved, ["R", "BIAS"], _HALF_STEP_M, intersection)
+        return compared.select("gpi", "gpi_2", *[r6(f"{m}_{s}") for m in ("R", "BIAS") for s in ("1", "2", "diff")])
+
+    return run
+
+
+query("run_comparison_regridded", _regridded_sql("INNER"))(_regridded(True))
+query("run_comparison_regridded_outer", _regridded_sql("FULL"))(_regridded(False))

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewise.config import ANOMALY_METHODS, SCALING_METHODS, UPSCALING_METHODS, DatasetConfig, RunConfig
@@ -304,6 +304,31 @@ def cancel(spark: SparkSession, run_id: str) -> None:
     spark.sparkContext.cancelJobsWithTag(run_id)
 
 
+@dataclass
+class Progress:
+    """Points done so far, counted by Spark while the batches are written."""
+
+    combo: str
+    total: int
+    points: int = 0
+    ok: int = 0
+
+    def observed(self, results: DataFrame, observation: Observation) -> DataFrame:
+        status = (F.col("metric") == "status") & (F.col("combo") == self.combo)
+        if "tsw" in results.columns:
+            status &= F.col("tsw") == BULK
+        fine = status & (F.col("value") == 0)
+        return results.observe(observation, F.count_if(status).alias("points"), F.count_if(fine).alias("ok"))
+
+    def add(self, observation: Observation) -> None:
+        self.points += observation.get["points"]
+        self.ok += observation.get["ok"]
+
+    @property
+    def percent(self) -> int:
+        return round(100 * self.points / self.total) if self.total else 0
+
+
 def run_validation(
     spark: SparkSession,
     run: RunConfig,
@@ -329,18 +354,25 @@ def _run(spark: SparkSession, plan: ValidationPlan, output: str, batches: int) -
     points = plan.reference_points()
     with tracked(spark, run.id):
         done = sink.finished_batches(spark, path)
+        seen = Progress(plan.first_combo, points.count())
         for batch_id in (b for b in range(batches) if b not in done):
             part = sink.with_batch(points, batches).where(F.col("batch_id") == batch_id).drop("batch_id")
             metrics = settle(plan.metrics(settle(plan.matched(part))))
             data = plan.source(run.spatial_ref).series
             complete = res.with_missing_points(metrics, part, data, plan.first_combo)
-            sink.write_batch(complete, path, batch_id)
-            LOG.info("batch %d of %d written to %s", batch_id + 1, batches, path)
+            observation = Observation(f"batch {batch_id}")
+            sink.write_batch(seen.observed(complete, observation), path, batch_id)
+            seen.add(observation)
+            LOG.info("batch %d of %d written to %s, %d %% of the points done", batch_id + 1, batches, path, seen.percent)
         metrics = sink.read_results(spark, path).drop("batch_id")
         sink.write_results(plan.wide(metrics, points), f"{path}/wide/{plan.output_name}")
         groups = [c for c in ("tsw", "combo", "metric") if c in metrics.columns]
         sink.write_summary_csv(res.summary(metrics.where("metric <> 'status'"), groups), f"{path}/summary")
-        counts = res.progress(res.count_status(metrics, plan.first_combo, points)).first()
+        if done or plan.cells() is not None:
+            # batches of an earlier attempt were not seen, and a point of several windows is judged by all of them
+            counts = res.progress(res.count_status(metrics, plan.first_combo, points)).first().asDict()
+        else:
+            counts = {"total": seen.total, "ok": seen.ok, "error": seen.total - seen.ok, "progress": seen.percent}
         finished = replace(
             run,
             total_points=counts["total"],

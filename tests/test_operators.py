@@ -531,3 +531,45 @@ def test_windows_copy_no_rows(spark, sf_dir):
     generated = [k for k, line in enumerate(lines) if "Generate" in line]
     moments_at = max(k for k, line in enumerate(lines) if "partial_covar_pop" in line or "covar_pop" in line)
     assert generated and max(generated) < moments_at
+
+
+def test_run_status_of_all_combinations(spark):
+    from gaugewise.functions.scalar import run_status
+
+    rows = [(p, e, c) for p in (-1, 0, 1, 50, 99, 100) for e in (True, False) for c in ("DONE", "RUNNING", "ERROR")]
+    frame = spark.createDataFrame(rows, "progress int, ended boolean, current string")
+    for r in frame.withColumn("status", run_status(F.col("progress"), F.col("ended"), F.col("current"))).collect():
+        if r.current == "DONE":
+            wanted = "DONE"
+        elif r.progress < 0:
+            wanted = "CANCELLED"
+        elif r.ended:
+            wanted = "DONE" if r.progress == 100 else "ERROR"
+        else:
+            wanted = "RUNNING" if r.progress else "SCHEDULED"
+        assert r.status == wanted, r
+
+
+def test_own_metrics_are_one_aggregation(spark, sf_dir):
+    from gaugewise.operators.metrics import window_metrics
+    from gaugewise.operators.moments import yearly_cells
+    from gaugewise.plans.queries_match import OWN_METRICS
+
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"gpi": rng.integers(0, 3, 300), "day": rng.integers(0, 900, 300), "a": rng.normal(5, 2, 300)})
+    frame["b"] = frame.a + rng.normal(0, 1, 300)
+    rows = spark.createDataFrame(frame).selectExpr("gpi", "CAST(date_add(DATE'2000-01-01', CAST(day AS INT)) AS TIMESTAMP_NTZ) AS ts", "a", "b")
+    plain = metrics_long(rows, "a", ["b"], own=OWN_METRICS)
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r.gpi, r.metric): r.value for r in plain.collect()}
+    yearly = window_metrics(rows, "a", ["b"], yearly_cells(), own=OWN_METRICS)
+    merged = {(r.gpi, r.metric): r.value for r in yearly.where("tsw = 'bulk'").collect()}
+    for gpi, own in frame.groupby("gpi"):
+        gap = (own.a - own.b).abs()
+        wanted = {"MAD": gap.mean(), "max_gap": gap.max(), "NSE": 1 - (gap**2).sum() / ((own.a - own.a.mean()) ** 2).sum()}
+        for name, value in wanted.items():
+            assert got[gpi, name] == pytest.approx(value) and merged[gpi, name] == pytest.approx(value)
+    with pytest.raises(ValueError):
+        stats.PairMetric("odd", {"n": "sum({x})"}, "{n}")
+    with pytest.raises(ValueError):
+        stats.PairMetric("odd", {"s": "sum({x})"}, "{s}", {"s": "avg"})
