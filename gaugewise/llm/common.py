@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,10 +33,43 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{checkpoint_dir(spark)}/gaugewise-llm/{name}-{uuid.uuid4().hex}"
+    written = _written.get()
+    if written is not None:
+        written.append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Folders written inside the innermost open ``intermediate``.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def intermediate(spark: SparkSession):
+    """Removes in the end what ``stored`` wrote inside; what is still to be read has to be stored outside."""
+    here: list[str] = []
+    token = _written.set(here)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for written in here:
+            path = jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def stored_last(make, spark: SparkSession, name: str) -> DataFrame:
+    """The frame that ``make`` returns, stored; all that ``make`` stored on the way is removed."""
+    with intermediate(spark):
+        frame = make()
+        outer = _written.set(None)
+        try:
+            return stored(frame, name)
+        finally:
+            _written.reset(outer)
+
+
 def bounded(frame: DataFrame, key: Column, most: int, seed: int = 17) -> DataFrame:
     """About ``most`` rows chosen by a hash of ``key`` (all rows, if there are no more).
 

@@ -1,14 +1,18 @@
 """Quality, lines, mixing, near copies, search, archives and the pipeline against brute force."""
 
+import hashlib
 import random
 import re
 import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gaugewise.llm.catalogue import QUERIES
@@ -373,14 +377,99 @@ def test_archive_audit(spark):
     assert first.offset == 0 and first.length == len(first.record.encode()) and first.record.startswith("WARC/1.1\r\n")
 
 
-def test_pipeline(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        out = stage(spark, docs, sf_dir)
-        assert out.columns == names, name
-        assert 0 < out.count() and stage(spark, docs.limit(0), sf_dir).count() == 0
+def mixed_slowly(rows):
+    """Uses of every row (doc_id, text, source) where all fit into one shard."""
+    sizes, groups, uses = defaultdict(int), defaultdict(list), {}
+    for k, text, source in rows:
+        size = len(WORD.findall(text or ""))
+        digest = hashlib.md5((text or "").encode()).hexdigest()
+        place = int(hashlib.md5(f"{mixing.SEED + 1}:{k}:{digest}".encode()).hexdigest()[:8], 16)
+        sizes[source] += size
+        groups[source].append((place, k, size))
+    for source, target in targets_slowly(sizes).items():
+        quota, end = int(target + 0.5), 0
+        for _, k, size in sorted(groups[source]):
+            taken = 0
+            for use in range(mixing.MOST_USES):
+                taken += max(0, min(size, quota - use * sizes[source] - end))
+            end += size
+            uses[k] = taken // size + (2 * (taken % size) >= size) if size else 0
+    return uses
+
+
+def test_pipeline(spark, tmp_path):
+    choose = random.Random(6)
+    vocabulary = ["".join(choose.choice("abcdefghij") for _ in range(choose.randint(2, 8))) for _ in range(150)]
+    rows = []
+    for k in range(90):
+        words = [choose.choice(vocabulary) for _ in range(choose.randint(30, 90))]
+        text = "\n".join(" ".join(words[i : i + 12]) for i in range(0, len(words), 12))
+        rows.append((k, f"{text}\nAll rights reserved by the site" if k % 3 else text, f"s{k % 10}"))
+    for k in range(12):  # edited copies, exact copies
+        text = rows[k][1].split(" ")
+        text[len(text) // 2] += "x"
+        rows.append((200 + k, " ".join(text) if k % 2 else rows[k][1], f"s{k % 10}"))
+    rows += [(300 + k, " ".join(choose.choice(["@@@", "###", "$$", "xx%%"]) for _ in range(60)), "s1") for k in range(25)]
+    rows += [(400, None, "s1"), (401, "", None), (402, "too short", "s2"), (403, "again and again " * 30, "s3"), (404, rows[5][1], None)]
+    sf_dir = str(tmp_path)
+    docs = spark.createDataFrame([(k, t, "en", s, len(t or "")) for k, t, s in rows], DOCUMENT)
+    docs.write.parquet(f"{sf_dir}/documents.parquet")
+    good = [k for k in range(60)]
+    spark.createDataFrame([(k, 1, 0) for k in good], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+
+    # every stage on what the slow version of the one before has kept
+    ratios, buckets = ratios_slowly([(k, t) for k, t, _ in rows], set(good))
+    kept = []
+    for k, text, source in rows:
+        n, _, _, _, repeat = form_slowly(text)
+        if n >= 10 and 100 * repeat <= 20 * n and sum(ratios[b] for b in buckets(text)) >= quality.THRESHOLD * len(buckets(text)):
+            kept.append((k, text, source))
+    assert 80 < len(kept) < len(rows) - 10
+    sites = defaultdict(set)
+    for _, text, source in kept:
+        for line in text.split("\n"):
+            sites[line.strip()].add(source or "")
+    wide, first, lined = {line for line, of in sites.items() if len(of) >= lines.MIN_SITES}, set(), []
+    for k, text, source in sorted(kept):
+        left = []
+        for line in text.split("\n"):
+            if line.strip() not in wide or line.strip() not in first:
+                left.append(line)
+            first.add(line.strip())
+        lined.append((k, "\n".join(left), source))
+    assert wide and sum(len(t) for _, t, _ in lined) < sum(len(t) for _, t, _ in kept)
+    sets, label = [shingles_slowly(text) for _, text, _ in lined], list(range(len(lined)))
+    for a in range(len(lined)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                label = [label[b] if x == label[a] else x for x in label]
+    single = [next(row for row, x in zip(lined, label) if x == own) for own in dict.fromkeys(label)]
+    assert len(single) < len(lined) - 5
+    uses = mixed_slowly(single)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    wanted = []
+    for k, text, _ in single:
+        ids = library.encode(text, add_special_tokens=False).ids
+        wanted += [(k, len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))] * uses[k]
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir")) / "gaugewise-llm"
+    there = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert sorted(map(tuple, out.select("doc_id", "n_tokens", "ids", "decoded").collect())) == sorted(wanted)
+    # besides the lexicon, which executors that join later still fetch
+    left = {p.name.split("-")[0] for p in folder.iterdir() if p.name not in there}
+    assert left - {"lexicon", ".lexicon"} == {"pipeline"}
     assert len(corpus_pipeline.STAGES) == 5
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.columns == docs.columns and empty.count() == 0, name
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], DOCUMENT).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
 
 
 def test_many_boilerplate_lines_in_long_texts(spark):
