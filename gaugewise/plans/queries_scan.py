@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gaugewise.functions.flags import excludes_bitmask, has_no_bit_group
@@ -12,6 +14,8 @@ from gaugewise.operators import filters as flt
 from gaugewise.operators.series import clean, extend
 from gaugewise.plans import canonical as c
 from gaugewise.plans.registry import query, r6, s6, sql_time_text, time_text
+from gaugewise.session import checkpoint_dir
+from gaugewise.sources.bucketed import extend_bucketed, write_bucketed
 from gaugewise.sources.stations import attach_frm_classes, networks_with_sensors, parse_sensor_metadata
 from gaugewise.sources.timestamps import TIME_RULES, exact_time
 
@@ -336,20 +340,32 @@ def clean_fillna_dropna(spark, d):
     return clean(raw).select("orderkey", "linenumber", r6("Soil_Moisture"), r6("Chi_2_P"), "Science_Flags")
 
 
-@query(
-    "extension_keep_last",
-    f"""WITH {OBS}, both_sources AS (
+_EXTENDED = f"""WITH {OBS}, both_sources AS (
           SELECT gpi, ts, value, 0 AS src FROM obs WHERE dataset = 'A'
           UNION ALL SELECT gpi, ts, value, 1 FROM obs WHERE dataset = 'N'),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY gpi, ts ORDER BY src DESC, value DESC) AS k
           FROM both_sources)
-        SELECT gpi, {sql_time_text('ts')}, {s6('value')} FROM ranked WHERE k = 1""",
-)
+        SELECT gpi, {sql_time_text('ts')}, {s6('value')} FROM ranked WHERE k = 1"""
+
+
+@query("extension_keep_last", _EXTENDED)
 def extension_keep_last(spark, d):
     series = extend(c.dataset(spark, d, "A"), c.dataset(spark, d, "N"))
     return series.select("gpi", time_text(), r6("value"))
 
 
+#: Buckets of the stores below; on a cluster several times the number of cores.
+BUCKETS = 16
+
+
+@query("extension_bucketed", _EXTENDED)
+def extension_bucketed(spark, d):
+    """The same from two stores that are bucketed alike and merged without a shuffle."""
+    root = f"{checkpoint_dir(spark)}/gaugewise/{uuid.uuid4().hex}"
+    base, newer = (write_bucketed(c.dataset(spark, d, n), f"{root}/{n}", BUCKETS) for n in ("A", "N"))
+    return extend_bucketed(base, newer).select("gpi", time_text(), r6("value"))
+
+
 @query(
     "timestamp_days_seconds",
     f"""SELECT l_orderkey, l_linenumber, {sql_time_text(

@@ -1,6 +1,6 @@
 import sys
 import types
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -180,3 +180,23 @@ def test_day_columns_reach_the_scan(spark, tmp_path, kind):
         return {r.gpi for r in adapt_timestamps(frame, "SMOS_L3", "any").where(F.col("ts").between(F.lit(start), F.lit(end))).collect()}
 
     assert exact(coarse) == exact(stored) and 15 < len(exact(stored)) <= coarse.count() < 30
+
+
+def test_bucketed_stores_merge_without_exchange(spark, tmp_path):
+    from gaugewise.operators.series import extend
+    from gaugewise.sources.bucketed import extend_bucketed, open_bucketed, write_bucketed
+
+    def rows(start, n, source):
+        return [(k % 5, datetime(2020, 1, 1) + timedelta(hours=k // 5 * 3), float(k * source), f"s{source}") for k in range(start, start + n)]
+
+    schema = "gpi bigint, ts timestamp_ntz, value double, flag string"
+    base = spark.createDataFrame(rows(0, 300, 1) + rows(0, 5, 3) + [(None, None, 1.0, None)], schema)
+    newer = spark.createDataFrame(rows(200, 200, 2), schema)
+    write_bucketed(base, f"{tmp_path}/base", 4)
+    write_bucketed(newer, f"{tmp_path}/newer", 4)
+    merged = extend_bucketed(*(open_bucketed(spark, f"{tmp_path}/{n}", 4) for n in ("base", "newer")))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    wanted = sorted(map(repr, map(tuple, extend(base, newer).collect())))
+    assert sorted(map(repr, map(tuple, merged.collect()))) == wanted and merged.columns == base.columns
+    assert len([p for p in (tmp_path / "base").iterdir() if p.suffix == ".parquet"]) <= 4
