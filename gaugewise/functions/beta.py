@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 PROBABILITIES = (0.0, 0.05, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95, 1.0)
 #: Nodes lie at -REACH ... REACH, where the integrand has vanished for parameters down to a hundredth.
-REACH, NODES = 8.0, 4096
+REACH, NODES = 8.0, 8192
 _STEP = 2 * REACH / NODES
 
 

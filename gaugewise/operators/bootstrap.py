@@ -92,20 +92,20 @@ def triple_intervals(
     """
     keys = [f"`{k}`" for k in by]
     sums = replicate_sums(matched, names, by, replicates)
-    # sample covariances of every replicate of the block
-    covariances = [
-        f"CASE WHEN _{r}_n > 1 AND _block * {BLOCK} + {r} < {replicates} "
-        f"THEN (_{r}_{a}{b} - _{r}_{a} * _{r}_{b} / _{r}_n) / (_{r}_n - 1) END AS _{r}_q{a}{b}"
+    # sample covariances of every replicate of the block, as one array: the metrics are written once for all of them
+    replicas = ", ".join(
+        f"CASE WHEN _{r}_n > 1 AND _block * {BLOCK} + {r} < {replicates} THEN struct("
+        + ", ".join(f"(_{r}_{a}{b} - _{r}_{a} * _{r}_{b} / _{r}_n) / (_{r}_n - 1) AS q{a}{b}" for a, b in PRODUCTS)
+        + ") END"
         for r in range(BLOCK)
-        for a, b in PRODUCTS
-    ]
+    )
     wanted = [(metric, side) for metric in stats.TRIPLE_METRICS for side in stats.TRIPLE_SIDES]
     arrays = [
-        "array(" + ", ".join(_replicate_metric(metric, side, r) for r in range(BLOCK)) + f") AS _{metric}_{side}"
+        f"transform(_q, q -> CASE WHEN q IS NOT NULL THEN {stats.triple_metric(metric, side, 'q.')} END) AS _{metric}_{side}"
         for metric, side in wanted
     ]
     values = (
-        sums.selectExpr(*keys, "_rows", *covariances)
+        sums.selectExpr(*keys, "_rows", f"array({replicas}) AS _q")
         .selectExpr(*keys, "_rows", *arrays)
         .groupBy(*by)
         .agg(
@@ -131,11 +131,6 @@ def triple_intervals(
     )
 
 
-def _replicate_metric(metric: str, side: str, r: int) -> str:
-    """A metric of one replicate; the reference's slope is 1 only where the replicate counts."""
-    return f"CASE WHEN _{r}_qxx IS NOT NULL THEN {stats.triple_metric(metric, side, f'_{r}_')} END"
-
-
 def _quantile(values: str, q: float) -> str:
     """Interpolated quantile of a sorted array without nulls (SQL text); null of an empty one."""
     at = f"({q!r}D * (size({values}) - 1))"

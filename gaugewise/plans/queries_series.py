@@ -142,13 +142,13 @@ def scale_cdf_percentile(spark, d):
     return scaled.select("gpi", time_text(), r6("A"), r6("N"), r6("R"))
 
 
-# The distribution function by Simpson's rule on each half of [0, 1], over v = x^a (and (1 - x)^b), where the
-# integrand has no singular end: another integration than the operator's.
-_CELLS = 2000
+# The distribution function by Simpson's rule on each half of [0, 1], over v = x^(a / m) with a whole m that leaves
+# no singular end (and the same from the other side): another integration than the operator's.
+_CELLS = 8000
 
 
 def _beta_density(j):
-    return f"pow(1 - pow(({j}) * h, 1 / a), b - 1)"
+    return f"pow(({j}) * h, m - 1) * pow(1 - pow(({j}) * h, g), b - 1)"
 
 
 def _beta_newton(u):
@@ -167,22 +167,23 @@ _BETA_SQL = f"""points AS (SELECT gpi, 'A' AS s, quantile_cont(A, {_PROBS}) AS q
     spreads AS (SELECT *, {_UNIT_MEAN} AS m, {_UNIT_SQUARE} AS sq FROM units),
     fits AS (SELECT *, m * (m * (1 - m) / (sq - m * m) - 1) AS a, (1 - m) * (m * (1 - m) / (sq - m * m) - 1) AS b
       FROM spreads WHERE sq > m * m AND m * (1 - m) > sq - m * m),
-    halves AS (SELECT gpi, s, 'lo' AS side, a, b, pow(0.5, a) / {_CELLS} AS h FROM fits
-      UNION ALL SELECT gpi, s, 'hi', b, a, pow(0.5, b) / {_CELLS} FROM fits),
+    sides AS (SELECT gpi, s, 'lo' AS side, b, ceil(6 * a) AS m, ceil(6 * a) / a AS g FROM fits
+      UNION ALL SELECT gpi, s, 'hi', a, ceil(6 * b), ceil(6 * b) / b FROM fits),
+    halves AS (SELECT *, pow(0.5, 1 / g) / {_CELLS} AS h FROM sides),
     cells AS (SELECT *, {_beta_density('k')} AS f0, {_beta_density('k + 0.5')} AS fm, {_beta_density('k + 1')} AS f1,
-        h / a * ({_beta_density('k')} + 4 * {_beta_density('k + 0.5')} + {_beta_density('k + 1')}) / 6 AS mass
+        h * g * ({_beta_density('k')} + 4 * {_beta_density('k + 0.5')} + {_beta_density('k + 1')}) / 6 AS mass
       FROM halves, range({_CELLS}) t(k)),
     summed AS (SELECT *, sum(mass) OVER (PARTITION BY gpi, s, side ORDER BY k) AS upto, sum(mass) OVER (PARTITION BY gpi, s) AS total
       FROM cells),
     asked AS (SELECT *, CASE side WHEN 'lo' THEN p ELSE 1 - p END * total - upto + mass AS rest
       FROM summed, (SELECT unnest({_PROBS}) AS p) WHERE p > 0 AND p < 1),
     -- inside a cell the density is the parabola through its three values; three steps of Newton's method
-    hits AS (SELECT gpi, s, side, p, a, h, k, rest * a / h AS r, f0 AS c0, 4 * fm - 3 * f0 - f1 AS c1, 2 * f0 + 2 * f1 - 4 * fm AS c2,
+    hits AS (SELECT gpi, s, side, p, g, h, k, rest / h / g AS r, f0 AS c0, 4 * fm - 3 * f0 - f1 AS c1, 2 * f0 + 2 * f1 - 4 * fm AS c2,
       rest / mass AS u0 FROM asked WHERE rest > 0 AND rest <= mass),
     once AS (SELECT *, {_beta_newton('u0')} AS u1 FROM hits),
     twice AS (SELECT *, {_beta_newton('u1')} AS u2 FROM once),
     thrice AS (SELECT *, {_beta_newton('u2')} AS u3 FROM twice),
-    ends AS (SELECT gpi, s, side, p, pow((k + {_beta_newton('u3')}) * h, 1 / a) AS x FROM thrice),
+    ends AS (SELECT gpi, s, side, p, pow((k + {_beta_newton('u3')}) * h, g) AS x FROM thrice),
     placed AS (SELECT gpi, s, p, CASE side WHEN 'lo' THEN x ELSE 1 - x END AS x FROM ends),
     fitted AS (SELECT gpi, s, list(q[1] + x * (q[{_LAST + 1}] - q[1]) ORDER BY p) AS f FROM (SELECT gpi, s, p, x FROM placed
         UNION ALL SELECT gpi, s, 0, 0 FROM fits UNION ALL SELECT gpi, s, 1, 1 FROM fits) JOIN fits USING (gpi, s) GROUP BY gpi, s),
