@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gaugewise.llm.catalogue import QUERIES
-from gaugewise.llm import lines, minhash, mixing, quality, simhash, topk, warc
+from gaugewise.llm import graycopies, lines, mixing, quality, simhash, topk, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -301,10 +301,11 @@ def shingles_slowly(text):
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
 
 
-@pytest.mark.parametrize("chunk, ends", [(256, ("low", "high")), (7, ())])
-def test_edited_copies(spark, monkeypatch, chunk, ends):
-    monkeypatch.setattr(minhash, "CHUNK", chunk)
-    monkeypatch.setattr(minhash, "ENDS", ends)
+@pytest.mark.parametrize("chunk, size, propose", [(512, 1 << 22, True), (7, 1 << 22, False), (7, 5000, True)])
+def test_edited_copies(spark, monkeypatch, chunk, size, propose):
+    monkeypatch.setattr(graycopies, "CHUNK", chunk)
+    monkeypatch.setattr(graycopies, "CHUNK_BYTES", size)
+    monkeypatch.setattr(graycopies, "PROPOSE", propose)
     choose = random.Random(11)
     rows = [(None, "a b"), (3, None), (4, ""), (5, "a b"), (6, "A b"), (7, "a b c d e"), (8, "a b c d f")]
     for group in range(15):
@@ -331,6 +332,23 @@ def test_edited_copies(spark, monkeypatch, chunk, ends):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), None).count() == 0
 
 
+def test_gray_tree_finds_all_within_its_radius():
+    draw = np.random.default_rng(5)
+    heads = draw.integers(0, 1 << 64, (12, 3), dtype=np.uint64)
+    rows = heads[draw.integers(0, 12, 300)].copy()
+    for row in rows:  # up to forty bits changed in the code, none in the block value
+        for bit in draw.integers(64, 192, draw.integers(0, 40)):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    bits = np.bitwise_count(rows[:, None, 1:] ^ rows[None, :, 1:]).sum(2)
+    near = (rows[:, None, 0] == rows[None, :, 0]) & (bits <= graycopies.RADIUS)
+    i, j, apart = graycopies.links(rows)
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
+    assert (apart == bits[i, j]).all() and len(i) > 500
+    i, j, _ = graycopies.links(rows[:120], rows[120:])
+    assert set(zip(i.tolist(), (j + 120).tolist())) == {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(near))) if a < 120 <= b}
+
+
 def search_slowly(rows, k):
     def numbers(v):
         return None if v is None or any(x is None or not np.isfinite(x) for x in v) else [int(np.floor(256 * float(x))) for x in v]
