@@ -273,13 +273,15 @@ def keep_first(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     groups = grouped(docs) if groups is None else groups
     own = F.struct(F.col("k").isNull().alias("late"), "k", "t")
     kept = groups.filter(own == F.col("first")).select(F.col("k").alias("k2"), F.col("t").alias("t2")).distinct()
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *(docs[f"`{c}`"].alias(f"_{n}") for n, c in enumerate(docs.columns) if c != "text")))
     rows = docs.select(
         F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
         F.col("doc_id").alias("k"),
         F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("t"),
+        F.xxhash64(others).alias("h"),
     )
     same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2"))
+    # rows of one id and text stand together; the one whose other columns hash lowest stays
     chosen = rows.join(kept, same, "left_semi")
-    # equal rows stand together; only one of them stays
-    one = F.row_number().over(W.partitionBy("k", "t").orderBy(F.lit(1)))
+    one = F.row_number().over(W.partitionBy("k", "t").orderBy("h"))
     return chosen.withColumn("n", one).filter("n = 1").select("row.*")

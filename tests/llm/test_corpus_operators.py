@@ -294,6 +294,9 @@ def test_near_copies_frame(spark):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 5, 8]
     assert simhash.components_of(docs.limit(0)).count() == 0
+    # rows of one id and text that differ elsewhere: the same one stays, however they are dealt out
+    equal = spark.createDataFrame([(1, body, "en", f"s{k}", k) for k in range(9)], DOCUMENT)
+    assert len({simhash.keep_first(equal.repartition(n)).first().source for n in (1, 4, 7)}) == 1
 
 
 def shingles_slowly(text):
