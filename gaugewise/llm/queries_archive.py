@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gaugewise.llm import warc
-from gaugewise.llm.common import table
+from gaugewise.llm.common import stored, table
 from gaugewise.llm.registry import query
 
 
@@ -28,5 +30,7 @@ from gaugewise.llm.registry import query
     """,
 )
 def op5(spark, sf_dir):
-    records = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.audit(records, warc.damaged(records))
+    pages = table(spark, sf_dir, "pages")
+    both = stored(warc.index(pages, copy=warc.damage_of(F.col("record_id"), F.col("record"))), "archive-index")
+    replica = both.filter("copy IS NOT NULL").withColumn("digest", F.col("copy"))
+    return warc.audit(both.drop("copy"), replica.drop("copy"))

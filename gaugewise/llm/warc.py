@@ -1,6 +1,7 @@
 """Fixity audit of web archives by Merkle trees over records and offset ranges.
 
-Each record is hashed with its offset and length. An archive is cut into ranges of equal length by
+Each record is hashed where it is read, and its digest with offset and length where it lies; whole records
+are never shuffled. An archive is cut into ranges of equal length by
 offset; a range's hash covers its records in order, and every node above covers FAN ranges of the
 level below. Replicas are compared from the roots down: only children of nodes that differ are
 looked at, until the records that differ are known. Nodes are small rows in a stored table, so an
@@ -40,30 +41,62 @@ def record_of(key: Column, url: Column, content: Column) -> Column:
     )
 
 
-def archive(pages: DataFrame, key: str = "page_id", url: str = "url", content: str = "html", per: int = RECORDS_PER_ARCHIVE):
-    """Pages as records of archives: archive, offset, length, record_id and record.
+def records_of(pages: DataFrame, key: str = "page_id", url: str = "url", content: str = "html", per: int = RECORDS_PER_ARCHIVE):
+    """Pages as records: archive, record_id and record, in no order.
 
-    An archive holds the records of ``per`` consecutive keys in their order (pages without key: one
-    archive of their own for each first hex digit pair of the URL's MD5). Equal rows follow each
-    other as records of their own. Other columns are left out, so their names cannot clash.
+    An archive has the records of ``per`` consecutive keys (pages without key: one archive of their own
+    for each first hex digit pair of the URL's MD5). Other columns are left out, so their names cannot clash.
     """
-    whole = pages.select(
+    return pages.select(
         F.col(key).cast("long").alias("record_id"),
         F.coalesce(
             F.floor(F.col(key) / per).cast("string"), F.concat(F.lit("none-"), F.substring(F.md5(F.coalesce(url, F.lit(""))), 1, 2))
         ).alias("archive"),
         record_of(F.col(key), F.col(url).cast("string"), F.col(content).cast("string")).alias("record"),
-    ).withColumn("length", F.octet_length("record").cast("long"))
-    order = W.partitionBy("archive").orderBy("record_id", "record").rowsBetween(W.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long")
-    return whole.withColumn("offset", offset).select("archive", "offset", "length", "record_id", "record")
+    )
+
+
+def digest_of(record: Column) -> Column:
+    """SHA-256 of a record; a null record is the empty one."""
+    return F.sha2(F.coalesce(record.cast("string"), F.lit("")).cast("binary"), 256)
+
+
+def laid_out(rows: DataFrame) -> DataFrame:
+    """Rows (archive, record_id, length, digest, others) with their offset, in order of id and digest, null ids first.
+
+    Equal rows follow each other as records of their own. Give digests, not records: the rows are shuffled and sorted.
+    """
+    order = W.partitionBy("archive").orderBy("record_id", "digest").rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long"))
+
+
+def index(pages: DataFrame, key: str = "page_id", url: str = "url", content: str = "html", per: int = RECORDS_PER_ARCHIVE, **versions):
+    """archive, offset, length, record_id and digest of every record of ``pages``, as ``archive`` places them.
+
+    ``versions`` are further columns made from record_id and record, such as a replica's digest.
+    """
+    records = records_of(pages, key, url, content, per).withColumn("length", F.octet_length("record").cast("long"))
+    own = [digest_of(F.col("record")).alias("digest"), *(made.alias(name) for name, made in versions.items())]
+    return laid_out(records.select("archive", "length", "record_id", *own)).select("archive", "offset", "length", "record_id", "digest", *versions)
+
+
+def archive(pages: DataFrame, key: str = "page_id", url: str = "url", content: str = "html", per: int = RECORDS_PER_ARCHIVE):
+    """Pages as records of archives: archive, offset, length, record_id and record.
+
+    This writes archives; an audit needs ``index`` only. Equal rows follow each other as records of their own.
+    """
+    records = records_of(pages, key, url, content, per)
+    whole = records.withColumn("length", F.octet_length("record").cast("long")).withColumn("digest", digest_of(F.col("record")))
+    return laid_out(whole).select("archive", "offset", "length", "record_id", "record")
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """archive, offset, length, record_id and digest of every record. A null record is the empty one."""
-    digest = F.sha2(
-        F.concat_ws(":", "offset", "length", F.coalesce(F.col("record").cast("string"), F.lit(""))).cast("binary"), 256
-    )
+    """archive, offset, length, record_id and digest (of place, length and content) of every record.
+
+    Records have their content as ``record``, or its SHA-256 as ``digest``.
+    """
+    content = F.col("digest") if "digest" in records.columns else digest_of(F.col("record"))
+    digest = F.sha2(F.concat_ws(":", "offset", "length", content).cast("binary"), 256)
     return records.select("archive", "offset", "length", "record_id", digest.alias("digest"))
 
 
@@ -111,7 +144,7 @@ def audit(one: DataFrame, two: DataFrame) -> DataFrame:
     """Records that differ: archive, offset, length and record_id (of ``one``, else of ``two``), status.
 
     ``changed``: another digest at this offset; ``missing``: not in ``two``; ``extra``: only there.
-    Records (archive, offset, length, record_id, record) may come in any order. Several records at
+    Records (archive, offset, length, record_id, and record or digest) may come in any order. Several records at
     one offset count as one whose digest covers them all. Empty replicas agree.
     """
     one, two = (stored(leaves(r), "leaves") for r in (one, two))
@@ -134,8 +167,8 @@ def audit(one: DataFrame, two: DataFrame) -> DataFrame:
     )
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica with damage that depends on the record: two in 256 lost, four in 256 altered."""
-    sign = F.substring(F.md5(F.concat(F.lit("damage"), F.col("record_id").cast("string"))), 1, 2)
-    altered = F.when(sign.isin("02", "03", "04", "05"), F.concat("record", F.lit("~"))).otherwise(F.col("record"))
-    return records.filter(F.coalesce(~sign.isin("00", "01"), F.lit(True))).withColumn("record", altered)
+def damage_of(key: Column, record: Column) -> Column:
+    """A replica's digest of a record, with damage that depends on its id: two in 256 lost (null), four in 256 altered."""
+    sign = F.substring(F.md5(F.concat(F.lit("damage"), key.cast("string"))), 1, 2)
+    altered = F.when(sign.isin("02", "03", "04", "05"), digest_of(F.concat(record, F.lit("~")))).otherwise(digest_of(record))
+    return F.when(F.coalesce(~sign.isin("00", "01"), F.lit(True)), altered)

@@ -394,6 +394,12 @@ def test_archive_audit(spark):
     assert found == [(11, "changed"), (700, "missing"), (1200, "changed")]
     assert [r.status for r in warc.audit(bad, records).filter("record_id = 700").collect()] == ["extra"]
     assert warc.audit(records.limit(0), records.limit(0)).count() == 0
+    # digests in place of records give the same places, and the same damage
+    index = warc.index(pages, copy=warc.digest_of(F.col("record")))
+    assert index.select("archive", "offset", "length", "record_id").exceptAll(records.drop("record")).count() == 0
+    assert index.count() == records.count() and warc.audit(index.drop("copy"), records).count() == 0
+    found = sorted((r.record_id, r.status) for r in warc.audit(index.drop("copy"), bad).collect())
+    assert found == [(11, "changed"), (700, "missing"), (1200, "changed")]
     first = records.filter("record_id = 0").first()
     assert first.offset == 0 and first.length == len(first.record.encode()) and first.record.startswith("WARC/1.1\r\n")
 
