@@ -15,6 +15,7 @@ from gaugewise.operators.series import clean, extend
 from gaugewise.plans import canonical as c
 from gaugewise.plans.registry import query, r6, s6, sql_time_text, time_text
 from gaugewise.session import checkpoint_dir
+from gaugewise.sources import ragged
 from gaugewise.sources.bucketed import extend_bucketed, write_bucketed
 from gaugewise.sources.stations import attach_frm_classes, networks_with_sensors, parse_sensor_metadata
 from gaugewise.sources.timestamps import TIME_RULES, exact_time
@@ -366,6 +367,25 @@ def extension_bucketed(spark, d):
     return extend_bucketed(base, newer).select("gpi", time_text(), r6("value"))
 
 
+#: Cells that the locations are dealt to below; the series come back as they were.
+CELLS = 8
+_SERIES = f"WITH {OBS} SELECT gpi, {sql_time_text('ts')}, {s6('value')} FROM obs WHERE dataset = 'A'"
+
+
+@query("ragged_contiguous", _SERIES)
+def ragged_contiguous(spark, d):
+    """Series out of a store whose observations follow each other location by location."""
+    locations, rows = ragged.as_contiguous(c.dataset(spark, d, "A"), F.col("gpi") % CELLS)
+    return ragged.expand(locations, rows).select("gpi", time_text(), r6("value"))
+
+
+@query("ragged_indexed", _SERIES)
+def ragged_indexed(spark, d):
+    """Series out of a store whose observations name their location's place in the cell."""
+    locations, rows = ragged.as_indexed(c.dataset(spark, d, "A"), F.col("gpi") % CELLS)
+    return ragged.expand(locations, rows).select("gpi", time_text(), r6("value"))
+
+
 @query(
     "timestamp_days_seconds",
     f"""SELECT l_orderkey, l_linenumber, {sql_time_text(

@@ -3,8 +3,9 @@
 Canonical layout of a dataset folder: ``series/`` (Parquet: gpi, ts and the data columns,
 optionally partitioned by cell), ``points/`` (Parquet: gpi, lon, lat, optionally cell and
 station metadata), an optional ``extension/`` with newer series, and for stations an optional
-classification CSV. Folders with NetCDF time series go through a Python data source when its
-library is installed.
+classification CSV. A store in a ragged layout has ``locations/`` and ``observations/`` instead (see
+``ragged``). Folders with NetCDF time series go through a Python data source when its library is
+installed. What a folder holds decides, not the name of the reader.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from gaugewise.config import DatasetConfig
 from gaugewise.operators.series import clean, extend
 from gaugewise.sources.netcdf import GRID_FILE, netcdf_source
+from gaugewise.sources.ragged import expand
 from gaugewise.sources.stations import CLASS_FILE, attach_frm_classes
 
 
@@ -35,6 +37,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def _parquet_source(spark: SparkSession, config: DatasetConfig) -> Source:
     root = config.storage_path.rstrip("/")
+    if _exists(spark, f"{root}/locations"):
+        locations = spark.read.parquet(f"{root}/locations")
+        series = expand(locations, spark.read.parquet(f"{root}/observations"))
+        return Source(locations.drop("position", "row_size"), series)
     if not _exists(spark, f"{root}/series"):
         points, series = netcdf_source(spark, root)
         return Source(points, series)
@@ -99,5 +105,5 @@ def check_storage(configs) -> None:
             raise FileNotFoundError(f"storage path of {config.short_name} is missing: {path}")
         if not path.is_dir():
             raise NotADirectoryError(f"storage path of {config.short_name} is not a folder: {path}")
-        if config.reader in GRID_READERS and not any((path / name).exists() for name in ("points", GRID_FILE)):
+        if config.reader in GRID_READERS and not any((path / name).exists() for name in ("points", "locations", GRID_FILE)):
             raise FileNotFoundError(f"{config.short_name} needs points/ or {GRID_FILE} in {path}")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewise.config import parse_run
-from gaugewise.sources import loaders, netcdf
+from gaugewise.sources import loaders, netcdf, ragged
 from gaugewise.functions.timing import within_period
 from gaugewise.sources.timestamps import adapt_timestamps, raw_period, time_rule
 from gaugewise.streaming.results import point_stream, stream_results
@@ -200,3 +200,41 @@ def test_bucketed_stores_merge_without_exchange(spark, tmp_path):
     wanted = sorted(map(repr, map(tuple, extend(base, newer).collect())))
     assert sorted(map(repr, map(tuple, merged.collect()))) == wanted and merged.columns == base.columns
     assert len([p for p in (tmp_path / "base").iterdir() if p.suffix == ".parquet"]) <= 4
+
+
+@pytest.mark.parametrize("positions, rows", [(4096, 1 << 16), (3, 5)])
+def test_ragged_layouts(spark, tmp_path, monkeypatch, positions, rows):
+    monkeypatch.setattr(ragged, "POSITIONS", positions)
+    monkeypatch.setattr(ragged, "ROWS", rows)
+    draw = np.random.default_rng(3)
+    located, observed, wanted = [], [], []
+    for cell in range(3):
+        row = 0
+        for position in range(20 * cell):  # the first cell is empty
+            gpi = 1000 * cell + position
+            size = None if position == 4 else int(draw.choice([0, 1, 2, 40]))
+            located.append((cell, position, gpi, float(cell), float(position), size))
+            for _ in range(size or 0):
+                observed.append((cell, row, position, f"v{cell}-{row}"))
+                wanted.append((gpi, f"v{cell}-{row}"))
+                row += 1
+        observed.append((cell, row, 99, "beyond the last location"))
+    draw.shuffle(observed)
+    locations = spark.createDataFrame(located, "cell int, position int, gpi long, lon double, lat double, row_size int")
+    observations = spark.createDataFrame([(int(c), int(r), int(p), str(v)) for c, r, p, v in observed], "cell int, row int, location_index int, value string")
+    assert len(wanted) > 200
+    found = ragged.expand(locations, observations.drop("location_index"))
+    assert found.columns == ["gpi", "value"] and sorted(map(tuple, found.collect())) == sorted(wanted)
+    assert sorted(map(tuple, ragged.expand(locations.drop("row_size"), observations.drop("row")).collect())) == sorted(wanted)
+    assert ragged.expand(locations.limit(0), observations.drop("location_index")).count() == 0
+    with pytest.raises(ValueError):
+        ragged.expand(locations.drop("row_size"), observations.drop("location_index"))
+    # prefix sums against a plain loop
+    totals = {(r.cell, r.position): r.start for r in ragged.prefix_sums(locations, "cell", "position", "row_size", "start").collect()}
+    for cell, position, *_ in located:
+        assert totals[cell, position] == sum(x[5] or 0 for x in located if x[0] == cell and x[1] < position)
+    # a folder in this layout is a dataset of any gridded reader
+    locations.write.parquet(f"{tmp_path}/locations")
+    observations.drop("location_index").write.parquet(f"{tmp_path}/observations")
+    source = loaders.load(spark, config(tmp_path, "SMAPTs"))
+    assert sorted(map(tuple, source.series.collect())) == sorted(wanted) and source.points.columns == ["cell", "gpi", "lon", "lat"]
