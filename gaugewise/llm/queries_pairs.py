@@ -16,9 +16,11 @@ from gaugewise.llm.registry import query
         SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
         WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), asked AS (
+        SELECT vec_id, min(v) AS v FROM numbers WHERE vec_id % 50 = 0 GROUP BY vec_id
     ), scores AS (
         SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-        FROM numbers q JOIN numbers c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        FROM asked q JOIN numbers c ON c.vec_id <> q.vec_id
     ), ranked AS (
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
         FROM scores

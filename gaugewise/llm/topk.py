@@ -5,8 +5,10 @@ triangle inequality turns them into a lower bound of its distance to each candid
 over all pivots, and so into an upper bound of the inner product. Candidates are evaluated in the
 order of their bounds, until the next bound is below the k-th best score; no score is estimated.
 
-Vectors lie in blocks. Every query block meets every candidate block once, in a task of its own;
-what a task sends on is the best k of each query in its block.
+Vectors with the same nearest pivot, in the order of their distance to it, lie in blocks. A block keeps the
+least and largest distance of its vectors to each pivot, and a query block the lowest score that can still count.
+A pair of blocks whose best bound is below that is dropped while only these summaries have travelled. The pairs
+left meet, each in a task of its own; what a task sends on is the best k of each query in its block.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from gaugewise.llm.common import bounded, stored
+from gaugewise.llm.common import ROWS_AT_ONCE, bounded, stored
 
 #: Pivots besides the origin; rows they are chosen from at most (about; see ``bounded``).
 PIVOTS, SAMPLE = 31, 2048
@@ -113,8 +115,45 @@ def search_block(query, query_id, query_table, least, block, ids, table, k):
     return found_ids, found
 
 
+def block_bound(one: np.ndarray, two: np.ndarray) -> float:
+    """Upper bound of all inner products between two blocks, from the (least, largest) distances to each pivot."""
+    apart = max(0.0, float(np.maximum(one[0] - two[1], two[0] - one[1]).max()))
+    square = one[1][0] ** 2 + two[1][0] ** 2
+    return float((square - apart**2) / 2 + 1e-9 * square + 1e-6)
+
+
+def near_pairs(batches):
+    """Numbers of the block pairs that can hold a counting score."""
+    for batch in batches:
+        ends = ([np.frombuffer(x).reshape(2, -1) for x in batch.column(k).to_pylist()] for k in (2, 3))
+        kept = pa.array([block_bound(q, c) >= least for q, c, least in zip(*ends, batch.column(4).to_pylist())], pa.bool_())
+        yield batch.select([0, 1]).filter(kept)
+
+
+def _placed(vectors: DataFrame, shape: Shape, pivots: np.ndarray) -> DataFrame:
+    """Vectors in the order of their nearest pivot and their distance to it."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                table = pivot_distances(shape.matrix(part.column(1).to_pylist()), pivots)
+                # the origin is the nearest of all where vectors have unit length, and parts none of them
+                near = table[:, 1:].argmin(1) + 1 if table.shape[1] > 1 else np.zeros(len(table), np.int64)
+                far = table[np.arange(len(near)), near]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(near, pa.int64()), pa.array(far)], names=["id", "v", "near", "far"]
+                )
+
+    placed = vectors.select("id", "v").mapInArrow(run, "id long, v array<long>, near long, far double")
+    # the id parts vectors that are equal, so that these fill blocks in several tasks
+    return placed.repartitionByRange("near", "far", "id").sortWithinPartitions("near", "far", "id")
+
+
 def _packed(vectors: DataFrame, shape: Shape, pivots: np.ndarray, rows: int, sample=None, k: int = 0) -> DataFrame:
-    """Blocks of at most ``rows`` vectors: ids, vectors, pivot distances, and each one's least score.
+    """Blocks of at most ``rows`` vectors: ids, vectors, pivot distances, each one's least score, ends and lowest.
+
+    ``ends`` are the least and largest distances to each pivot, ``lowest`` the lowest of the least scores.
 
     The least score of a query is its k-th best among the sample, which no k-th best of all is below.
     """
@@ -133,18 +172,23 @@ def _packed(vectors: DataFrame, shape: Shape, pivots: np.ndarray, rows: int, sam
                     scores[ids[:, None] == sample[0][None, :]] = -np.inf
                     if scores.shape[1] >= k:
                         least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                ends = np.stack([table.min(0), table.max(0)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes()], pa.binary()) for x in (ids, matrix, table, least)],
-                    names=["ids", "vectors", "table", "least"],
+                    [*(pa.array([x.tobytes()], pa.binary()) for x in (ids, matrix, table, least, ends)), pa.array([least.min()])],
+                    names=["ids", "vectors", "table", "least", "ends", "lowest"],
                 )
 
-    return vectors.select("id", "v").mapInArrow(run, "ids binary, vectors binary, table binary, least binary")
+    packed = _placed(vectors, shape, pivots).select("id", "v").mapInArrow(
+        run, "ids binary, vectors binary, table binary, least binary, ends binary, lowest double"
+    )
+    return packed.withColumn("block", F.monotonically_increasing_id())
 
 
 def search(vectors: DataFrame, queries: Column, key: str, vector: str, k: int) -> DataFrame:
     """The best ``k`` of all rows for each row where ``queries`` holds: query_id, rank, vec_id, score.
 
-    Candidates are all rows but those with the query's own key; a query's key repeated is asked once.
+    Candidates are all rows but those with the query's own key; a query's key repeated is asked once,
+    with the smallest of its vectors (component by component).
     Equal scores go to the smaller key. Rows without key, without vector, or with a component that is
     null or not finite take no part. Other columns are left out, so their names cannot clash.
     """
@@ -156,13 +200,18 @@ def search(vectors: DataFrame, queries: Column, key: str, vector: str, k: int) -
     pivots = pick_pivots(sample[1])
 
     candidates = stored(_packed(wanted, shape, pivots, CANDIDATES), "pivot-table")
-    asked = wanted.filter("q").dropDuplicates(["id"])
-    asked = _packed(asked, shape, pivots, QUERIES, sample, k)
+    asked = wanted.filter("q").groupBy("id").agg(F.min("v").alias("v"))
+    asked = stored(_packed(asked, shape, pivots, QUERIES, sample, k), "query-blocks")
     lanes = max(1, candidates.count())
-    # each candidate block goes to one lane, each query block to all of them
-    candidates = candidates.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<bigint>")).alias("lane"), *(F.col(c).alias(f"q_{c}") for c in asked.columns))
-    met = asked.join(candidates.drop("least"), "lane").drop("lane")
+    # summaries of the blocks: a candidate block's goes to one lane, a query block's to all of them
+    few = candidates.select("block", "ends", F.pmod(F.xxhash64("block"), F.lit(lanes)).alias("lane"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<bigint>")).alias("lane")
+    lowest = asked.select(F.col("block").alias("q_block"), F.col("ends").alias("q_ends"), "lowest", every)
+    pairs = lowest.join(few, "lane").select("q_block", "block", "q_ends", "ends", "lowest")
+    pairs = stored(pairs.mapInArrow(near_pairs, "q_block long, block long"), "block-pairs")
+    names = ("ids", "vectors", "table", "least")
+    met = pairs.join(asked.select(F.col("block").alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in names)), "q_block")
+    met = met.join(candidates.select("block", *names[:3]), "block").drop("block", "q_block")
 
     def run(batches):
         for batch in batches:

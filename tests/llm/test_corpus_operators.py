@@ -381,6 +381,29 @@ def test_topk(spark, monkeypatch, kind):
     assert [r.vec_id for r in two.collect()] == [1]
 
 
+def test_topk_drops_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 40)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    pairs = []
+    monkeypatch.setattr(topk, "stored", lambda frame, name, f=topk.stored: pairs.append((name, f(frame, name))) or pairs[-1][1])
+    choose = np.random.default_rng(8)
+    centres = choose.normal(size=(12, 8)) * 6
+    rows = [(k, (centres[k % 12] + choose.normal(size=8) * 0.2).tolist()) for k in range(1200)]
+    rows += [(50, [9.0] * 8), (50, [-9.0] * 8), (100, rows[100][1])]  # an id with several vectors: the smallest asks
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = sorted(map(tuple, topk.search(frame, F.col("vec_id") % 50 == 0, "vec_id", "embedding", 5).collect()))
+    asked = {k: min(v for i, v in rows if i == k) for k, _ in rows if k % 50 == 0}
+    numbers = {k: np.floor(256 * np.array(v)).astype(np.int64) for k, v in asked.items()}
+    every = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows]
+    wanted = []
+    for q, v in numbers.items():
+        best = sorted((-int(v @ w), i) for i, w in every if i != q)[:5]
+        wanted += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert found == sorted(wanted)
+    sizes = {name: frame.count() for name, frame in pairs}
+    assert 0 < sizes["block-pairs"] < 0.7 * sizes["pivot-table"] * sizes["query-blocks"]
+
+
 def test_archive_audit(spark):
     choose = random.Random(9)
     rows = [(k, f"http://h/{k}", "x" * choose.randint(0, 9000), 1) for k in range(1500)] + [(None, None, None, 1), (3, "u", "", 1), (3, "u", "", 1)]
