@@ -11,6 +11,7 @@ from gaugewise.functions import stats
 from gaugewise.operators.bootstrap import block_hash, poisson_weight, triple_intervals
 from gaugewise.operators.matching import match_datasets, match_nearest
 from gaugewise.operators.metrics import metrics_long
+from gaugewise.operators.moments import recurring_cells
 from gaugewise.operators.ranking import cumulative_counts, percentiles, with_ranks
 from gaugewise.operators.scaling import scale
 from gaugewise.operators.series import climatology_anomaly, extend, moving_mean
@@ -479,6 +480,44 @@ def test_bootstrap_weights_look_like_independent_poisson(spark):
     assert abs(np.corrcoef(weights[:-1, 0], weights[1:, 0])[0, 1]) < 0.03
 
 
+def _triple_rows(spark, seed=5, n=400):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g, h in sorted({(int(g), int(h)) for g, h in zip(np.where(rng.random(n) < 0.5, 0, rng.integers(1, 6, n)), rng.integers(0, 20_000, n))}):
+        s = rng.normal(20, 5)
+        x, y, z = (float(v) for v in (s + rng.normal(), 0.8 * s + rng.normal(), 1.1 * s + rng.normal()))
+        rows.append((g, EPOCH + timedelta(hours=h), x, y, z))
+    return spark.createDataFrame(rows, "gpi bigint, ts timestamp_ntz, x double, y double, z double")
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_intervals_of_windows_merge_from_cells(spark, monkeypatch, hot):
+    """The same intervals as over rows copied into their windows, also with a location that holds half of all rows."""
+    rows, names = _triple_rows(spark), ["x", "y", "z"]
+    labelled = label_recurring(rows, SEASONS, 20)
+    wanted = {tuple(r)[:4]: tuple(r)[4:] for r in triple_intervals(labelled, names, by=["gpi", "tsw"]).collect()}
+    if hot:
+        from gaugewise.operators import skew
+
+        monkeypatch.setattr(skew, "FLOOR", 0)
+        monkeypatch.setattr(skew, "PARTS", 4)
+    found = triple_intervals(rows, names, cells=recurring_cells(SEASONS, 20))
+    assert found.columns == ["gpi", "tsw", "metric", "dataset", "lower", "upper"]
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in found.collect()}
+    assert got.keys() == wanted.keys() and len(got) == 6 * 5 * 9
+    assert any(low is not None for low, _ in got.values())
+    for key, bounds in wanted.items():
+        assert got[key] == (pytest.approx(bounds, rel=1e-9, abs=1e-9) if None not in bounds else bounds), key
+
+
+def test_bootstrap_sums_do_not_travel(spark):
+    """Rows travel by location, once; sums of replicates, far wider than the rows, stay where they are."""
+    rows, names = _triple_rows(spark), ["x", "y", "z"]
+    for cells in (None, recurring_cells(SEASONS)):
+        plan = triple_intervals(rows, names, cells=cells)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(gpi") == 1 and plan.count("Exchange") == 1
+
+
 def test_intervals_need_enough_rows(spark):
     rows = [(g, f"2020-01-{k + 1:02d} 0{h}:00:00", 1.0 * (k + h), 2.0 * k + h * h, k * k - 1.5 * h)
             for g, days in ((1, 4), (2, 20)) for k in range(days) for h in (1, 2)]
