@@ -39,13 +39,13 @@ def stream_batch_results(spark, d):
     return read_results(spark, f"{root}/results").select("gpi", "combo", "metric", r6("value"))
 
 
-#: Files of observations, and how many days after its time an observation may come.
+#: Arrivals of observations, and how many days after its time an observation may come.
 TIME_FILES, LATE_DAYS = 5, 40
 
 
 @query("stream_incremental", METRICS_SQL)
 def stream_incremental(spark, d):
-    """Observations arrive by time in five files, a third of each file's last weeks in the one after it."""
+    """Observations arrive by time in five parts, a third of each part's last weeks in the one after it."""
     root = f"{checkpoint_dir(spark)}/gaugewise/{uuid.uuid4().hex}"
     rows = settle(c.observations(spark, d).select("dataset", "gpi", "ts", "value"))
     span = rows.agg(F.min(epoch_us()).alias("a"), F.max(epoch_us()).alias("b")).first()
@@ -53,10 +53,11 @@ def stream_incremental(spark, d):
     offset = epoch_us() - F.lit(span.a)
     late = (offset % width >= width - 30 * c.DAY) & (F.pmod(F.xxhash64("dataset", "gpi", "ts"), F.lit(3)) == 0)
     filed = rows.withColumn("_file", F.least(F.floor(offset / width) + late.cast("int"), F.lit(TIME_FILES - 1)))
-    for k in range(TIME_FILES):
-        filed.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(f"{root}/observations")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/observations")
     run = IncrementalValidation(spark, root, "A", ("N", "R"), c.MATCH_HALF_US, LATE_DAYS * c.DAY, unique=True)
-    query_ = run.start(stream, f"{root}/checkpoint")
-    query_.awaitTermination()
+    stream = spark.readStream.schema(rows.schema)
+    for k in range(TIME_FILES):
+        # written by as many tasks as read it, and worked off before the next part arrives
+        filed.where(F.col("_file") == k).drop("_file").write.mode("append").parquet(f"{root}/observations")
+        query_ = run.start(stream.parquet(f"{root}/observations"), f"{root}/checkpoint")
+        query_.awaitTermination()
     return run.metrics(query_.lastProgress.batchId).select("gpi", "combo", "metric", r6("value"))

@@ -48,3 +48,13 @@ def test_empty_batches(spark, tmp_path):
     for number in range(2):
         run.process(spark.createDataFrame([], SCHEMA), number)
     assert run.metrics(1).count() == 0
+
+
+def test_parts_are_written_by_many_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    from gaugewise.plans import queries_stream
+
+    monkeypatch.setattr(queries_stream, "checkpoint_dir", lambda _: str(tmp_path))
+    settle = queries_stream.settle
+    monkeypatch.setattr(queries_stream, "settle", lambda rows: settle(rows.repartition(4, "gpi", "ts")))
+    queries_stream.stream_incremental(spark, sf_dir)
+    assert len(list(tmp_path.glob("gaugewise/*/observations/*.parquet"))) > queries_stream.TIME_FILES
