@@ -612,3 +612,28 @@ def test_own_metrics_are_one_aggregation(spark, sf_dir):
         stats.PairMetric("odd", {"n": "sum({x})"}, "{n}")
     with pytest.raises(ValueError):
         stats.PairMetric("odd", {"s": "sum({x})"}, "{s}", {"s": "avg"})
+
+
+def test_covariance_of_rounding_is_none(spark):
+    """Uncorrelated to the last digit: what is left of the covariance depends on the order of the rows."""
+    from gaugewise.functions import stats
+
+    x, y = [0.1, 0.2, 0.4, 0.7, 0.7, 0.4, 0.2, 0.1], [0.3, 0.5, 0.6, 0.9, 0.3, 0.5, 0.6, 0.9]
+    y[4:] = y[:4][::-1]
+    rows = list(zip(x, [a if k < 4 else -a for k, a in enumerate(y)], [k % 3 + 0.1 * k for k in range(8)]))
+    for seed in range(6):
+        order = np.random.default_rng(seed).permutation(8)
+        frame = spark.createDataFrame([rows[k] for k in order], "x double, y double, z double").coalesce(1)
+        moments = frame.groupBy().agg(*map(F.expr, stats.triple_moments("x", "y", "z")))
+        row = moments.selectExpr("qxy", *[f"{stats.triple_metric('snr', s)} AS {s}" for s in "xyz"]).first()
+        assert abs(row.qxy) < 1e-15 and (row.x, row.y, row.z) == (None, None, None)
+
+
+def test_beta_median_of_a_symmetric_fit(spark):
+    """Location 538 of the tables: its fit is symmetric, so the median lies half way."""
+    from gaugewise.functions.beta import distinct_percentiles
+
+    points = [3.0, 4.0, 7.0, 15.0, 26.0, 37.5, 48.0, 48.0, 50.0]
+    got = distinct_percentiles(spark.createDataFrame([(points,)], "points array<double>"), "points").first().points
+    assert len(got) == 9 and got[4] == pytest.approx(26.5, abs=1e-9)
+    assert got[3] + got[5] == pytest.approx(53, abs=1e-9) and got[1] == pytest.approx(4.268893809667871, abs=1e-6)
