@@ -637,3 +637,14 @@ def test_beta_median_of_a_symmetric_fit(spark):
     got = distinct_percentiles(spark.createDataFrame([(points,)], "points array<double>"), "points").first().points
     assert len(got) == 9 and got[4] == pytest.approx(26.5, abs=1e-9)
     assert got[3] + got[5] == pytest.approx(53, abs=1e-9) and got[1] == pytest.approx(4.268893809667871, abs=1e-6)
+
+
+def test_points_at_one_place_descend_once(spark, monkeypatch):
+    from gaugewise.operators import spatial
+
+    seen, original = [], spatial.with_unit_vector
+    monkeypatch.setattr(spatial, "with_unit_vector", lambda frame: (seen.append(frame.count()), original(frame))[1])
+    points = spark.createDataFrame([(k, float(k % 3), 1.0) for k in range(90)], "gpi long, lon double, lat double")
+    candidates = spark.createDataFrame([(7, 0.2, 1.0), (5, 2.0, 1.5)], "gpi long, lon double, lat double")
+    hits = {r.gpi: r.other_gpi for r in nearest(points, candidates).collect()}
+    assert hits == {k: 5 if k % 3 == 2 else 7 for k in range(90)} and max(seen) == 3
