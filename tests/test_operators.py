@@ -648,3 +648,12 @@ def test_points_at_one_place_descend_once(spark, monkeypatch):
     candidates = spark.createDataFrame([(7, 0.2, 1.0), (5, 2.0, 1.5)], "gpi long, lon double, lat double")
     hits = {r.gpi: r.other_gpi for r in nearest(points, candidates).collect()}
     assert hits == {k: 5 if k % 3 == 2 else 7 for k in range(90)} and max(seen) == 3
+
+
+def test_a_rank_sorts_its_column_once(spark):
+    rows = [{"gpi": 0, "a": a, "b": b} for a, b in ((1.0, 2.0), (1.0, None), (3.0, 2.0), (None, 2.0), (-0.0, 5.0), (0.0, 1.0))]
+    ranked = with_ranks(spark.createDataFrame(rows, "gpi long, a double, b double"), ["gpi"], ["a", "b"])
+    got = sorted((r.rank_a or 9, r.rank_b or 9) for r in ranked.collect())
+    assert got == sorted([(3.5, 3), (3.5, 9), (5, 3), (9, 3), (1.5, 5), (1.5, 1)])
+    plan = ranked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Sort [") == 2
