@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard of 0.8 or more, by the Gray-order index) stays."""
+    """One document of each group of near copies (five-word Jaccard of 0.8 or more, by SimHash in the Gray-order index) stays."""
     return simhash.keep_first(docs, graycopies.grouped(docs))
 
 

@@ -1,12 +1,12 @@
-"""Near copies by exact Jaccard of word shingles, through a Gray-order hierarchical index of wide fingerprints.
+"""Near copies by exact Jaccard of word shingles: SimHash through a Gray-order hierarchical index, then confirmed.
 
 Op7's three bits can't find them: at a Jaccard of 0.8 two 64-bit fingerprints of it differ in ten bits,
-and blocks that agree for certain would be four bits long. Here a fingerprint has one bit of each of 120
-minima. Near copies differ in a tenth of its bits on average, and agree, with a probability of over
-0.9999, in one of 24 blocks of five whole minima. For each block the fingerprints are sorted by block
-value and Gray rank and cut into chunks. A tree over each chunk keeps, per node, the bits of block value
-and fingerprint that all below share; two nodes whose block values differ, or whose shared bits already
-differ in more than RADIUS places, are dropped with everything below them.
+and blocks of bits that agree for certain would be four bits long. Here a fingerprint is a SimHash of 128
+bits. Near copies differ in 19 of them on average (24 with the fewest shingles), and agree, with a
+probability of over 0.9999, in one of 24 blocks of five minima of their shingles. For each block the
+fingerprints are sorted by block value and Gray rank and cut into chunks. A tree over each chunk keeps, per
+node, the bits of block value and fingerprint that all below share; two nodes whose block values differ, or
+whose shared bits already differ in more than RADIUS places, are dropped with everything below them.
 
 First every fingerprint proposes the nearest one before it, inside its chunk and in the chunk where
 its block value begins: at most two pairs each, confirmed on the texts. This joins groups of copies.
@@ -28,8 +28,9 @@ from gaugewise.llm import minhash
 from gaugewise.llm.common import ROWS_AT_ONCE, stored
 from gaugewise.llm.simhash import FAN, _below, components, gray_rank, of_components
 
-#: Most differing bits: at SIMILAR 12 of 120 differ on average, and this is four and a half deviations more.
-RADIUS = 27
+#: Most differing bits of 128. At SIMILAR four shingles against five differ most: in 24 bits on average, and in more than
+#: this in one of 700 000 pairs; any others in one of 70 million.
+RADIUS = 46
 #: Share of equal minima from which two texts are held against each other: four deviations below SIMILAR.
 NEARLY = 0.65
 #: Fingerprints in a chunk, and bytes of shingles.

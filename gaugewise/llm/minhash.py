@@ -1,7 +1,7 @@
-"""Sketches of word shingles: minima of 120 permutations, as the blocks and bits that near copies share.
+"""Sketches of word shingles: a SimHash of 128 bits, and minima of 120 permutations for the blocks that near copies share.
 
-A text is the set of its five-word shingles. Each minimum is equal in two texts with a probability
-that is their Jaccard; its lowest bit differs with half of what is left to one.
+A text is the set of its five-word shingles. A bit of the SimHash differs in two texts with a probability
+of about the angle of their sets over 180 degrees. Each minimum is equal with one that is their Jaccard.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewise.llm.common import ROWS_AT_ONCE
+from gaugewise.llm.simhash import majority
 
 SHINGLE, SEED = 5, 43
 #: Least Jaccard, as a fraction.
@@ -35,6 +36,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * common >= SIMILAR[0] * (len(a) + len(b) - common)
 
 
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles in two words: the majority of their hashes, and of those mixed again."""
+    more = (hashes ^ hashes >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    more = (more ^ more >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return majority(np.column_stack([hashes, more ^ more >> np.uint64(31)]))
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """16 bits of the minimum of each permutation."""
     low = np.full(len(_FACTORS), ~np.uint64(0))
@@ -45,7 +53,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """k (doc_id), t (hash of the text), fp (hash of the shingles), sketch and its code (one, two) of every row.
+    """k (doc_id), t (hash of the text), fp (hash of the shingles), SimHash (one, two) and sketch of every row.
 
     A null text is the empty one.
     """
@@ -59,7 +67,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = [grams(value) for value in part.column(2).to_pylist()]
                 fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], "<u8").view("<i8")
                 found = [sketch(x).tobytes() for x in sets]
-                words = (pa.array(x, pa.int64()) for x in (fps, *codes(found).T))
+                words = (pa.array(x, pa.int64()) for x in (fps, *np.array([fingerprint(x) for x in sets]).T))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), *words, pa.array(found, pa.binary())],
                     names=["k", "t", "fp", "one", "two", "sketch"],
@@ -69,10 +77,3 @@ def sketches(docs: DataFrame) -> DataFrame:
     for name in ("fp", "one", "two"):
         schema = schema.add(name, "long")
     return source.mapInArrow(run, schema.add("sketch", "binary"))
-
-
-def codes(found: list[bytes]) -> np.ndarray:
-    """The lowest bit of every minimum of each sketch, in two words."""
-    bits = np.frombuffer(b"".join(found), "<u2").reshape(len(found), BANDS * MINIMA) & 1
-    packed = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little")
-    return np.pad(packed, ((0, 0), (0, 16 - packed.shape[1]))).view("<i8")

@@ -35,12 +35,17 @@ def fingerprint(text: str) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = list(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)))))
-    counts = np.zeros(64, np.int64)
-    for start in range(0, len(shingles), 1 << 15):
-        part = shingles[start : start + (1 << 15)]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in part), "<u8", len(part))
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view("<i8")[0])
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), "<u8", len(shingles))
+    return int(majority(hashes[:, None])[0])
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the rows of ``hashes``, as many words as it has columns; signed."""
+    counts = np.zeros(64 * hashes.shape[1], np.int64)
+    for start in range(0, len(hashes), 1 << 15):
+        part = hashes[start : start + (1 << 15)]
+        counts += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

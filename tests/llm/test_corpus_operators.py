@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from gaugewise.llm.catalogue import QUERIES
-from gaugewise.llm import graycopies, lines, mixing, quality, simhash, topk, warc
+from gaugewise.llm import graycopies, lines, minhash, mixing, quality, simhash, topk, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -335,6 +335,48 @@ def test_edited_copies(spark, monkeypatch, chunk, size, propose):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), None).count() == 0
 
 
+def simhash_slowly(text):
+    """Two words: the majority of the shingles' hashes, and of their SplitMix64 finalizers."""
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % (1 << 64)
+        return h ^ h >> 31
+
+    first = [xxhash.xxh64_intdigest(" ".join(s).encode(), 43) for s in shingles_slowly(text)]
+    return tuple(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) for hashes in (first, [mixed(h) for h in first]))
+
+
+def test_stage_orders_and_compares_simhash(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(graycopies, "stored", lambda frame, name, f=graycopies.stored: seen.setdefault(name, f(frame, name)))
+    choose = random.Random(12)
+    rows = []
+    for group in range(20):
+        words = [f"g{group}w{choose.randrange(300)}" for _ in range(choose.randint(6, 200))]
+        rows += [(10 * group, " ".join(words)), (10 * group + 1, " ".join(words[:-1] + ["Other"]))]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCUMENT)
+    corpus_pipeline.near_dedup(spark, docs, None)
+    fingerprints = {r.fp: (r.one, r.two) for r in seen["sketches"].collect()}
+    wanted = sorted(simhash_slowly(t) for _, t in rows)
+    assert sorted(tuple(x % (1 << 64) for x in words) for words in fingerprints.values()) == wanted
+    # the index sorts, keeps and compares the same words
+    chunks = seen["gray-chunks"].collect()
+    inside = [tuple(x) for c in chunks for x in zip(*(np.frombuffer(c[n], "<i8").tolist() for n in ("fp", "one", "two")))]
+    assert len(chunks) and all(fingerprints[fp] == (one, two) for fp, one, two in inside) and len({x[0] for x in inside}) > 20
+
+
+def test_simhash_of_near_copies_within_the_radius():
+    draw = np.random.default_rng(13)
+    for common, one, two in ((4, 0, 1), (12, 1, 2), (20, 2, 3), (100, 0, 25), (800, 100, 100)):  # Jaccard of exactly 0.8
+        apart = []
+        for _ in range(150):
+            hashes = draw.integers(0, 1 << 64, common + one + two, dtype=np.uint64)
+            a, b = minhash.fingerprint(hashes[: common + one]), minhash.fingerprint(np.delete(hashes, np.arange(common, common + one)))
+            apart.append(int(np.bitwise_count((a ^ b).view("<u8")).sum()))
+        assert max(apart) <= graycopies.RADIUS and 14 < np.mean(apart) < 28
+
+
 def test_gray_tree_finds_all_within_its_radius():
     draw = np.random.default_rng(5)
     heads = draw.integers(0, 1 << 64, (12, 3), dtype=np.uint64)
