@@ -11,7 +11,7 @@ from gaugewise.functions import stats
 from gaugewise.operators.bootstrap import block_hash, poisson_weight, triple_intervals
 from gaugewise.operators.matching import match_datasets, match_nearest
 from gaugewise.operators.metrics import metrics_long
-from gaugewise.operators.moments import recurring_cells
+from gaugewise.operators.moments import recurring_cells, yearly_cells
 from gaugewise.operators.ranking import cumulative_counts, percentiles, with_ranks
 from gaugewise.operators.scaling import scale
 from gaugewise.operators.series import climatology_anomaly, extend, moving_mean
@@ -518,6 +518,135 @@ def test_bootstrap_sums_do_not_travel(spark):
         assert plan.count("Exchange hashpartitioning(gpi") == 1 and plan.count("Exchange") == 1
 
 
+def test_gathered_intervals_draw_and_evaluate_as_the_aggregation(spark):
+    """Missing values, locations without a key, long and short texts: what Spark's expressions give for the same rows."""
+    from gaugewise.operators import bootstrap
+
+    names = ["x", "y", "z"]
+    rows = _triple_rows(spark, seed=8).selectExpr(
+        "CASE WHEN gpi <> 2 THEN gpi END AS gpi", "CASE WHEN x < 30 THEN ts END AS ts", "CASE WHEN gpi <> 3 AND z > 10 THEN x END AS x",
+        "y", "CASE WHEN gpi <> 4 THEN z END AS z",
+    )
+    long_keys = rows.selectExpr(f"concat(repeat('k', {60}), gpi) AS gpi", "ts", *names)
+    for frame in (rows, long_keys):
+        for cells in (None, recurring_cells(SEASONS, 20), yearly_cells()):
+            by = ["gpi"] if cells is None else ["gpi", "tsw"]
+            for replicates in (100, 13):
+                wanted = bootstrap._intervals(frame, names, ["gpi"], replicates, 0.95, cells).collect()
+                found = bootstrap._gathered_intervals(frame.repartition(3, "gpi"), names, ["gpi"], replicates, 0.95, cells).collect()
+                at = len(by) + 2
+                got, wanted = ({tuple(r)[:at]: tuple(r)[at:] for r in some} for some in (found, wanted))
+                assert len(found) == len(got) and got.keys() == wanted.keys()
+                assert any(low is not None for low, _ in got.values()) and any(low is None for low, _ in got.values())
+                for key, bounds in wanted.items():
+                    assert got[key] == (pytest.approx(bounds, rel=1e-9, abs=1e-9) if None not in bounds else bounds), key
+
+
+def test_triple_values_are_the_metrics_of_the_sql(spark):
+    """Every case of the formulas: usable, negative variances, covariances of nothing but rounding, missing ones."""
+    from gaugewise.operators.bootstrap import triple_values
+
+    rng = np.random.default_rng(3)
+    q = {p: rng.normal(0, 1, 300) for p in ("xy", "xz", "yz")} | {p: rng.uniform(0.5, 9, 300) for p in ("xx", "yy", "zz")}
+    q["xy"][:40], q["xx"][30:60], q["yz"][50:70], q["zz"][60:80] = 1e-14, 0.0, np.nan, -1e-15
+    frame = pd.DataFrame({f"q{k}": v for k, v in q.items()}).reset_index()
+    clean = spark.createDataFrame(frame).selectExpr("index", *[f"nullif(q{k}, double('NaN')) AS q{k}" for k in q])
+    values = triple_values(q)
+    sql = clean.selectExpr("index", *[f"{stats.triple_metric(m, s)} AS v{i}" for i, ((m, s), _) in enumerate(values)])
+    for row in sql.collect():
+        for i, (name, found) in enumerate(values):
+            want = row[f"v{i}"]
+            assert np.isnan(found[row["index"]]) if want is None else found[row["index"]] == pytest.approx(want, rel=1e-12), (name, row)
+
+
+def test_cells_of_all_days_are_those_of_the_windows(spark):
+    """The calendar written out against the windows' own predicates, over turns of the century with and without leap day."""
+    from gaugewise.operators.subwindows import MONTHS
+
+    days = spark.sql(
+        "SELECT explode(array_union(sequence(DATE'1895-01-01', DATE'1905-12-31'), sequence(DATE'1995-01-01', DATE'2009-12-31'))) AS d"
+    ).selectExpr("CAST(d AS TIMESTAMP_NTZ) + INTERVAL '23:59:59' HOUR TO SECOND AS ts")
+    for windows, overlap in ((SEASONS, 0), (SEASONS, 185), (MONTHS, 10)):
+        bits = " + ".join(f"CASE WHEN {w.predicate(overlap=overlap)} THEN {1 << i}L ELSE 0L END" for i, w in enumerate(windows))
+        cells = recurring_cells(windows, overlap)
+        rows = days.selectExpr("ts", f"{bits} AS wanted", f"{cells.cell} AS _cell").selectExpr("*", f"{cells.windows} AS names")
+        found = rows.collect()
+        assert [r._cell for r in found] == [r.wanted for r in found]
+        assert all(r.names == cells.names(r._cell) for r in found)
+    nothing = spark.sql("SELECT CAST(NULL AS TIMESTAMP_NTZ) AS ts")
+    for cells, names in ((recurring_cells(SEASONS), ["bulk"]), (yearly_cells(), [None, "bulk"])):
+        row = nothing.selectExpr(f"{cells.cell} AS _cell").selectExpr("*", f"{cells.windows} AS names").first()
+        assert row.names == cells.names(row._cell) == names
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_rank_correlations_of_windows(spark, monkeypatch, hot):
+    """Against ranks of every window's own rows: ties, missing values, and rows without location or time."""
+    from gaugewise.operators import skew
+    from gaugewise.operators.metrics import rank_correlations
+
+    rng = np.random.default_rng(17)
+    n = 700
+    frame = pd.DataFrame({"gpi": rng.choice([1.0, 2.0, np.nan], n, p=[0.2, 0.2, 0.6]), "day": rng.integers(0, 900, n), "a": rng.integers(0, 40, n)})
+    frame["b"], frame["c"] = frame.a * rng.integers(0, 3, n), rng.integers(0, 5, n)
+    rows = spark.createDataFrame(frame).selectExpr(
+        "CAST(nullif(gpi, double('NaN')) AS BIGINT) AS gpi",
+        "CASE WHEN day % 50 <> 7 THEN CAST(date_add(DATE'2000-01-01', CAST(day AS INT)) AS TIMESTAMP_NTZ) END AS ts",
+        "CAST(a AS DOUBLE) AS a", "CASE WHEN c <> 2 THEN CAST(b AS DOUBLE) END AS b", "CASE WHEN gpi = 1 THEN 3D ELSE CAST(c AS DOUBLE) END AS c",
+    )
+    if hot:
+        monkeypatch.setattr(skew, "FLOOR", 0)
+        monkeypatch.setattr(skew, "PARTS", 4)
+    for cells in (recurring_cells(SEASONS, 20), yearly_cells()):
+        labelled = rows.withColumn("_cell", F.expr(cells.cell)).withColumn("tsw", F.explode(F.expr(cells.windows))).toPandas()
+        wanted = {}
+        for (gpi, tsw), own in labelled.groupby(["gpi", "tsw"], dropna=False):
+            ranks = {k: own[k].rank() for k in "abc"}
+            for other in "bc":
+                both = own["a"].notna() & own[other].notna()
+                x, y, spread = ranks["a"][both], ranks[other][both], ranks["a"].std(ddof=0) * ranks[other].std(ddof=0)
+                rho = ((x - x.mean()) * (y - y.mean())).mean() / spread if both.sum() >= 10 and spread > 0 else None
+                wanted[None if pd.isna(gpi) else int(gpi), None if pd.isna(tsw) else tsw, f"a_and_{other}", "rho"] = rho
+        found = rank_correlations(rows, "a", ["b", "c"], cells)
+        assert found.columns == ["gpi", "tsw", "combo", "metric", "value"]
+        got = {tuple(r)[:4]: r.value for r in found.collect()}
+        assert got.keys() == wanted.keys() and any(v is None for v in got.values())
+        for key, value in wanted.items():
+            assert got[key] == (value if value is None else pytest.approx(value, abs=1e-12)), key
+
+
+def test_windows_are_not_made_by_copies_of_rows(spark):
+    """No row is copied into its windows for its draws and ranks: the only sort and shuffle are by location."""
+    from gaugewise.operators.metrics import rank_correlations
+    from gaugewise.operators.subwindows import MONTHS
+
+    rows = _triple_rows(spark)
+    for found in (triple_intervals(rows, ["x", "y", "z"], cells=recurring_cells(MONTHS, 10)),
+                  rank_correlations(rows, "x", ["y", "z"], recurring_cells(MONTHS, 10))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1
+        below = plan[plan.index("MapInArrow"):]
+        assert "Generate" not in below and "Window" not in below and "Aggregate" not in below
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 1000])
+def test_whole_groups_of_batches(size):
+    """Groups over any cuts of the batches come whole, one after the other."""
+    import pyarrow as pa
+
+    from gaugewise.operators.locations import whole_groups
+
+    keys = [None] * 5 + [1] * 120 + [2] + [3] * 250 + [4, 5, 6] + [7] * 30
+    batch = pa.RecordBatch.from_pydict({"k": keys, "v": list(range(len(keys)))})
+    batches = [batch.slice(i, size) for i in range(0, len(keys), size)]
+    seen = []
+    for table, starts in whole_groups([batches[0].slice(0, 0), *batches], ["k"]):
+        ends = [*starts[1:], table.num_rows]
+        seen += [(table["k"][a].as_py(), table["v"][a:b].to_pylist()) for a, b in zip(starts.tolist(), ends)]
+    assert [k for k, _ in seen] == [None, 1, 2, 3, 4, 5, 6, 7]
+    assert sum((v for _, v in seen), []) == list(range(len(keys)))
+
+
 def test_intervals_need_enough_rows(spark):
     rows = [(g, f"2020-01-{k + 1:02d} 0{h}:00:00", 1.0 * (k + h), 2.0 * k + h * h, k * k - 1.5 * h)
             for g, days in ((1, 4), (2, 20)) for k in range(days) for h in (1, 2)]
